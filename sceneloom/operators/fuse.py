@@ -73,7 +73,7 @@ class EpisodeFold:
 
     def frame(self, at: int, frame_idx: int, rows: list) -> None:
         """``rows``: (det_seq, key, score, partner det_seqs) in detection order."""
-        ids = [self._id_of(key, at, (frame_idx, det)) for det, key, _s, _p in rows]
+        ids = [self._id_of(key, at, frame_idx, det) for det, key, _s, _p in rows]
         root = self._unite(frame_idx, rows, ids)
 
         def top(gid):
@@ -98,7 +98,11 @@ class EpisodeFold:
             life.seen, life.at = frame_idx, at
             self.emit("obs", row[0], gid)
 
-    def _id_of(self, key, at: int, fresh):
+    def fresh_id(self, frame_idx: int, det: int):
+        """Ids are named by the detection that first used them, and numbered at the end."""
+        return (frame_idx, det)
+
+    def _id_of(self, key, at: int, frame_idx: int, det: int):
         gid = self.owner.get(key)
         life = self.lives.get(gid)
         if life is not None and at - life.at - 1 >= self.patience:
@@ -106,7 +110,7 @@ class EpisodeFold:
             self.owner = {k: g for k, g in self.owner.items() if g != gid}
             gid = None
         if gid is None:
-            gid = self.owner[key] = fresh
+            gid = self.owner[key] = self.fresh_id(frame_idx, det)
             self.emit("alloc", gid)
         return gid
 

@@ -104,24 +104,37 @@ class SceneView:
         pose = F.array(r[0], r[1], r[2], t[0], r[3], r[4], r[5], t[1], r[6], r[7], r[8], t[2], z, z, z, one)
         return self.frames.withColumn("t_wc", pose)
 
+    def _lines(self) -> DataFrame:
+        return self.frames.select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(RASTER - 1))).alias("v"))
+
+    def _conf_lines(self) -> DataFrame:
+        """The 100 different confidence lines; line r serves all (17*v + frame) % 100 = r."""
+        return F.broadcast(self.spark.range(100).select(F.col("id").alias("_r"), F.transform(
+            F.sequence(F.lit(0), F.lit(RASTER - 1)),
+            lambda u: (((u * 31 + F.col("id")) % 100) / F.lit(100.0)).cast("float")).alias("conf")))
+
     @cached_property
     def depth_rows(self) -> DataFrame:
-        """Depth and confidence lines of every frame; all values are exact in single precision or compared there."""
-        lines = self.frames.select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(RASTER - 1))).alias("v"))
+        """Depth and confidence lines of every frame; depth is exact in single precision."""
         d = (F.lit(5.0) + F.col("v") / F.lit(64.0) * F.lit(0.5)).cast("float")
-        conf = F.transform(F.sequence(F.lit(0), F.lit(RASTER - 1)), lambda u: (
-            ((u * 31 + F.col("v") * 17 + F.col("frame_idx")) % 100) / F.lit(100.0)).cast("float"))
-        return self._spread(lines, "video_id").select(
-            "video_id", "frame_idx", "v", F.array_repeat(d, RASTER).alias("depth"), conf.alias("conf"))
+        lines = self._lines().withColumn("_r", (F.col("v") * 17 + F.col("frame_idx")) % 100)
+        return lines.join(self._conf_lines(), "_r").select(
+            "video_id", "frame_idx", "v", F.array_repeat(d, RASTER).alias("depth"), "conf")
 
     @cached_property
     def flawed_depth_rows(self) -> DataFrame:
-        """The same lines with invalid depth strewn in."""
-        bad = lambda u: (u + F.col("v") + F.col("frame_idx")) % 97
-        depth = F.transform(F.col("depth"), lambda d, u: F.when(bad(u) == 0, F.lit(float("nan")))
-                            .when(bad(u) == 1, F.lit(0.0)).when(bad(u) == 2, F.lit(-1.0))
-                            .when(bad(u) == 3, F.lit(float("inf"))).otherwise(d).cast("float"))
-        return self.depth_rows.withColumn("depth", depth)
+        """The same lines with invalid depth strewn in, by (u + v + frame) % 97."""
+        d = (F.lit(5.0) + (F.col("id") % 64) / F.lit(64.0) * F.lit(0.5)).cast("float")
+        bad = lambda u: (u + F.floor(F.col("id") / 64)) % 97
+        flawed = F.broadcast(self.spark.range(97 * 64).select(
+            (F.col("id") % 64).cast("int").alias("v"), F.floor(F.col("id") / 64).alias("_q"),
+            F.transform(F.sequence(F.lit(0), F.lit(RASTER - 1)), lambda u: F.when(bad(u) == 0, F.lit(float("nan")))
+                        .when(bad(u) == 1, F.lit(0.0)).when(bad(u) == 2, F.lit(-1.0))
+                        .when(bad(u) == 3, F.lit(float("inf"))).otherwise(d).cast("float")).alias("depth")))
+        lines = (self._lines().withColumn("_r", (F.col("v") * 17 + F.col("frame_idx")) % 100)
+                 .withColumn("_q", (F.col("v") + F.col("frame_idx")) % 97))
+        return lines.join(self._conf_lines(), "_r").join(flawed, ["v", "_q"]).select(
+            "video_id", "frame_idx", "v", "depth", "conf")
 
     @cached_property
     def manifest(self) -> DataFrame:
