@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +80,25 @@ def resample_raster(rows: DataFrame, src: tuple[int, int], dst: tuple[int, int],
         *FRAME, "out_v", *[F.col(c).alias(f"b_{c}") for c in columns])
     both = upper.join(lower, [*FRAME, "out_v"])
 
-    def blend(c: str) -> Column:
-        def at(i):
-            x = F.least(F.greatest((i + 0.5) * F.lit(w / big_w) - 0.5, F.lit(0.0)), F.lit(float(w - 1)))
-            x0 = F.floor(x).cast("int")
-            x1 = F.least(x0 + 1, F.lit(w - 1))
-            wx = x - F.floor(x)
-            row = lambda s: (F.lit(1.0) - wx) * F.col(f"{s}_{c}")[x0] + wx * F.col(f"{s}_{c}")[x1]
-            return ((F.lit(1.0) - F.col("wy")) * row("a") + F.col("wy") * row("b")).cast("float")
-        return F.transform(u, at)
-
-    return both.select(*FRAME, F.col("out_v").alias("v"), *[blend(c).alias(c) for c in columns])
+    x = np.clip((np.arange(big_w) + 0.5) * (w / big_w) - 0.5, 0.0, w - 1.0)
+    blend = _blender(columns, np.floor(x).astype(int), np.minimum(np.floor(x).astype(int) + 1, w - 1), x - np.floor(x), w)
+    fields = ", ".join(["video_id long", "frame_idx long", "v int", *[f"{c} array<float>" for c in columns]])
+    return both.mapInArrow(blend, fields)
+
+
+def _blender(columns, x0, x1, wx, w: int):
+    """Weights two joined source lines into target lines, a batch of lines at a time."""
+
+    def run(batches):
+        for b in batches:
+            wy = b.column("wy").to_numpy()[:, None]
+            out = [b.column("video_id"), b.column("frame_idx"), b.column("out_v")]
+            for c in columns:
+                upper, lower = (b.column(f"{s}_{c}").flatten().to_numpy().reshape(-1, w).astype(float) for s in "ab")
+                rows = [(1.0 - wx) * r[:, x0] + wx * r[:, x1] for r in (upper, lower)]
+                made = ((1.0 - wy) * rows[0] + wy * rows[1]).astype(np.float32)
+                ends = np.arange(0, made.size + 1, made.shape[1], dtype=np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel())))
+            yield pa.RecordBatch.from_arrays(out, names=["video_id", "frame_idx", "v", *columns])
+
+    return run

@@ -137,17 +137,33 @@ def reanchors(streaks: DataFrame, threshold: int, bucket: int = 4096) -> DataFra
     holes = full.filter("n_dets = 0").select("video_id", "_run").distinct()
     plain = (dets.join(holes, ["video_id", "_run"], "left_anti")
              .filter(F.col("streak") % threshold == 0))
-    walk = (dets.join(holes, ["video_id", "_run"], "left_semi")
-            .groupBy("video_id", "_run").agg(F.array_sort(F.collect_list("streak")).alias("_s")))
-    step = lambda acc, s: F.when(
-        s - acc["last"] >= threshold,
-        F.struct(s.alias("last"), F.concat(acc["hits"], F.array(s)).alias("hits"))).otherwise(acc)
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("hits"))
-    hits = walk.select("video_id", "_run", F.explode(F.aggregate("_s", start, step, lambda a: a["hits"])).alias("streak"))
+    walk = (dets.join(holes, ["video_id", "_run"], "left_semi").select("video_id", "_run", "streak")
+            .repartition("video_id", "_run").sortWithinPartitions("video_id", "_run", "streak"))
+    hits = walk.mapInPandas(_prompts(threshold), "video_id long, _run long, streak long")
     again = dets.join(hits, ["video_id", "_run", "streak"], "left_semi")
     return plain.unionByName(again.select(plain.columns)).drop("_run")
 
 
+def _prompts(threshold: int):
+    """First row at least ``threshold`` after the last pick, run by run, in a sorted stream."""
+
+    def step(batches):
+        run, last = None, 0
+        for pdf in batches:
+            hit = []
+            for v, r, s in pdf.itertuples(index=False, name=None):
+                if (v, r) != run:
+                    run, last = (v, r), 0
+                if s - last >= threshold:
+                    last = s
+                    hit.append(True)
+                else:
+                    hit.append(False)
+            yield pdf[hit]
+
+    return step
+
+
 def cumulative_classes(boxes: DataFrame, frames: DataFrame, bucket: int = 4096) -> DataFrame:
     """Classes seen up to and including each frame: their number and sorted list.
 
