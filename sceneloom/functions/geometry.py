@@ -6,7 +6,7 @@ Everything expands to plain arithmetic, which stays inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,15 @@ def pose_to_4x4(t: Column) -> Column:
                                               F.size(t).cast("string")))))
 
 
+def _cofactors(a: list[Column]) -> list[Column]:
+    return [a[4] * a[8] - a[5] * a[7], a[2] * a[7] - a[1] * a[8], a[1] * a[5] - a[2] * a[4],
+            a[5] * a[6] - a[3] * a[8], a[0] * a[8] - a[2] * a[6], a[2] * a[3] - a[0] * a[5],
+            a[3] * a[7] - a[4] * a[6], a[1] * a[6] - a[0] * a[7], a[0] * a[4] - a[1] * a[3]]
+
+
 def inverse3(a: list[Column]) -> list[Column]:
     """Inverse by cofactors of nine cell expressions."""
-    cof = [a[4] * a[8] - a[5] * a[7], a[2] * a[7] - a[1] * a[8], a[1] * a[5] - a[2] * a[4],
-           a[5] * a[6] - a[3] * a[8], a[0] * a[8] - a[2] * a[6], a[2] * a[3] - a[0] * a[5],
-           a[3] * a[7] - a[4] * a[6], a[1] * a[6] - a[0] * a[7], a[0] * a[4] - a[1] * a[3]]
+    cof = _cofactors(a)
     det = a[0] * cof[0] + a[1] * cof[3] + a[2] * cof[6]
     return [c / det for c in cof]
 
@@ -61,6 +65,18 @@ def pose_inverse(t: Column) -> Column:
     return pose_of(inv, [F.lit(0.0) - m for m in moved])
 
 
+def with_pose_inverse(df: DataFrame, pose: str, name: str) -> DataFrame:
+    """The same inverse in steps, so that each shared term is written once."""
+    a = rotation_cells(F.col(pose))
+    df = df.withColumn("_cof", F.array(*_cofactors(a)))
+    cof = cells(F.col("_cof"), 9)
+    df = df.withColumn("_det", a[0] * cof[0] + a[1] * cof[3] + a[2] * cof[6])
+    df = df.withColumn("_inv", F.array(*[c / F.col("_det") for c in cof]))
+    inv = cells(F.col("_inv"), 9)
+    moved = apply3(inv, translation_cells(F.col(pose)))
+    return df.withColumn(name, pose_of(inv, [F.lit(0.0) - m for m in moved])).drop("_cof", "_det", "_inv")
+
+
 def pose_product(a: Column, b: Column) -> Column:
     ra, rb = rotation_cells(a), rotation_cells(b)
     ta, tb = translation_cells(a), translation_cells(b)

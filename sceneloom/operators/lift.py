@@ -18,13 +18,13 @@ MAX_EXTENT = 30.0
 
 def cameras(frames: DataFrame) -> DataFrame:
     """Per frame the intrinsics and the camera-to-world pose, inverted once."""
-    return frames.select(*FRAME, "is_metric", "k", g.pose_inverse(F.col("t_wc")).alias("t_cw"))
+    return g.with_pose_inverse(frames.select(*FRAME, "is_metric", "k", "t_wc"), "t_wc", "t_cw").drop("t_wc")
 
 
 def ego_track(frames: DataFrame) -> DataFrame:
     """Camera position in the world, per frame."""
-    t = g.translation_cells(g.pose_inverse(F.col("t_wc")))
-    return frames.select(*FRAME, *[c.alias(n) for c, n in zip(t, ("x", "y", "z"))])
+    t = g.translation_cells(F.col("_cw"))
+    return g.with_pose_inverse(frames, "t_wc", "_cw").select(*FRAME, *[c.alias(n) for c, n in zip(t, ("x", "y", "z"))])
 
 
 def _valid(d, conf, threshold: float):

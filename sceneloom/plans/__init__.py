@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mask_queries", "geometry_queries", "track_queries"]
+MODULES = ["mask_queries", "geometry_queries", "track_queries", "relation_queries"]
 
 
 def load():

@@ -87,15 +87,17 @@ def sql(body: str, **extra: str) -> str:
     """``body`` with the tables it names placed before it."""
     known = {**CTES, **extra}
     order: list[str] = []
+    busy: list[str] = []
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b(from|join|,)\s+{name}\b", text):
+            if name not in order and name not in busy and re.search(rf"(\bfrom|\bjoin|,)\s+{name}\b", text):
+                busy.append(name)
                 need(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as ({known[n]})" for n in order) + "\n" + body
+    word = "with recursive " if any(re.search(rf"\bfrom {n}\b", known[n]) for n in order) else "with "
+    return word + ",\n".join(f"{n} as ({known[n]})" for n in order) + "\n" + body
