@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mask_queries", "geometry_queries", "track_queries", "relation_queries"]
+MODULES = ["mask_queries", "geometry_queries", "track_queries", "relation_queries", "evaluation_queries",
+           "quality_queries", "align_queries", "stream_queries"]
 
 
 def load():

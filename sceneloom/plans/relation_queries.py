@@ -145,7 +145,7 @@ _AOBS = """select o.*, coalesce(c.tau, []) as tau from obs o left join (
     where ra = 1 and rb = 1""", cand=_CAND, aobs=_AOBS)
 def associate_frames(v):
     s = L.object_state(v.spans, v.depth_rows, v.frames, min_points=30, exact=True)
-    return R.associate_frames(s.withColumnRenamed("det_seq", "object_id"), v.frames, threshold=0.5)
+    return R.associate_frames(v.settle(s).withColumnRenamed("det_seq", "object_id"), v.frames, threshold=0.5)
 
 
 _VIEWS = """select frame_idx, a.object_id % 3 as l_view, b.object_id % 3 as r_view, a.object_id as l_id, b.object_id as r_id,

@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneloom.session import ensure_checkpoint_dir
+
 RASTER = 64
 N_FRAMES = 120
 EPOCH_US = 1704067200000000
@@ -35,6 +37,12 @@ class SceneView:
         n = self.spark.sparkContext.defaultParallelism
         return df.repartition(n, key) if len(df.inputFiles()) < n else df
 
+    @staticmethod
+    def settle(df: DataFrame) -> DataFrame:
+        """Materialise a costly table that a query reads more than once."""
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+
     @cached_property
     def events(self) -> DataFrame:
         return self._spread(self.table("events"), "event_id")

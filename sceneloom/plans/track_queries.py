@@ -108,7 +108,7 @@ _GATED = """select p.video_id, p.frame_idx, p.a, p.b, p.iou,
 def fusion_inputs(v):
     """Object states of the deduplicated detections, with their gated pairs."""
     spans = v.spans_of(v.best_boxes, "run_id")
-    states = L.object_state(spans, v.depth_rows, v.frames, min_points=30, exact=True)
+    states = v.settle(L.object_state(spans, v.depth_rows, v.frames, min_points=30, exact=True))
     pairs = M.mask_iou_pairs(spans, differ="run_id")
     cands = v.best_boxes.select(*DET, "run_id", "local_obj_id", "score").join(states.select(*DET), DET, "left_semi")
     return states, cands, Fu.merge_gate(pairs, states.select(*DET, "cx", "cy", "cz"))
@@ -160,7 +160,9 @@ def single_run_scene(v, window: int = 4):
     obs = Fu.fuse_tracks(c, none, v.frames, LOST, ARCHIVE)
     states = L.object_state(v.spans_of(v.boxes_raw.filter("run_id = 'click'"), "run_id"), v.depth_rows, v.frames,
                             min_points=1, exact=True)
-    return (obs, *Sc.scene_tables(obs, states, v.frames, window=window))
+    obs = v.settle(obs)
+    meta, ego, steps = Sc.scene_tables(obs, states, v.frames, window=window)
+    return obs, meta, ego, v.settle(steps)
 
 
 @query("scene_metadata", """select f.video_id, '16x16' as grid, count(distinct f.frame_idx) as num_frames,

@@ -37,7 +37,7 @@ def session_tracks(obs: DataFrame, lost: int = LOST, archive: int = ARCHIVE, fps
 def rolling_scene(obs: DataFrame, length: str, step: str, ts: str = "event_ts") -> DataFrame:
     """Size of the scene over a sliding stretch of time: frames, objects and observations."""
     w = F.window(ts, length, step)
-    return (obs.groupBy("video_id", w).agg(F.approx_count_distinct("frame_idx").alias("frames"),
+    return (obs.groupBy("video_id", w).agg(F.size(F.collect_set("frame_idx")).cast("bigint").alias("frames"),
                                            F.count(F.lit(1)).alias("observations"),
                                            F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
             .select("video_id", F.col("window.start").alias("window_start"), "frames", "observations",
@@ -166,6 +166,18 @@ def frame_rows(candidates: DataFrame, gated: DataFrame, frames: DataFrame) -> Da
     return frames.select(*FRAME).join(dets, FRAME, "left")
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what has arrived so far, then stop; a later call goes on from the checkpoint."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def absorbed(aliases: DataFrame) -> DataFrame:
     """Where every absorbed id ended: root, and its path of absorptions below it.
 
