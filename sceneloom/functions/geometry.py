@@ -84,24 +84,28 @@ def pose_product(a: Column, b: Column) -> Column:
     return pose_of(product3(ra, rb), shifted)
 
 
-def camera_point(u: Column, v: Column, d: Column, k: Column) -> list[Column]:
-    """d * K^-1 [u, v, 1] for an upper triangular K; skew included."""
-    fx, skew, cx, fy, cy = k[0], k[1], k[2], k[4], k[5]
-    yn = (v - cy) / fy
-    xn = F.when(skew == 0, (u - cx) / fx).otherwise((u - cx - skew * yn) / fx)
-    return [xn * d, yn * d, d]
+def with_rays(frames: DataFrame, name: str = "ray") -> DataFrame:
+    """Per frame the twelve numbers that lift any pixel: R_cw K^-1 beside t_cw, row by row.
 
-
-def camera_point_full(u: Column, v: Column, d: Column, k: Column) -> list[Column]:
-    """The same for any invertible K."""
-    one = F.lit(1.0)
-    return [r * d for r in apply3(inverse3(cells(k, 9)), [u, v, one])]
-
-
-def world_point(p: list[Column], t_cw: Column) -> list[Column]:
-    """T_cw p, each coordinate rounded to single precision as the clouds store it."""
-    turned = apply3(rotation_cells(t_cw), p)
-    return [(m + s).cast("float").cast("double") for m, s in zip(turned, translation_cells(t_cw))]
+    They are worked out once per frame for any invertible K, skew included; a pixel
+    then costs three fused rows: world = (M [u, v, 1]) * depth + t.
+    """
+    d = with_pose_inverse(frames, "t_wc", "_cw")
+    k = cells(F.col("k"), 9)
+    d = d.withColumn("_cof", F.array(*_cofactors(k)))
+    cof = cells(F.col("_cof"), 9)
+    d = d.withColumn("_det", k[0] * cof[0] + k[1] * cof[3] + k[2] * cof[6])
+    d = d.withColumn("_kinv", F.array(*[c / F.col("_det") for c in cof]))
+    m = product3(rotation_cells(F.col("_cw")), cells(F.col("_kinv"), 9))
+    t = translation_cells(F.col("_cw"))
+    rows = [x for i in range(3) for x in (*m[3 * i:3 * i + 3], t[i])]
+    return d.withColumn(name, F.array(*rows)).drop("_cw", "_cof", "_det", "_kinv")
+
+
+def lift(u: Column, v: Column, d: Column, ray: Column) -> list[Column]:
+    """World point of a pixel, each coordinate rounded to single precision as clouds store it."""
+    return [((ray[i] * u + ray[i + 1] * v + ray[i + 2]) * d + ray[i + 3]).cast("float").cast("double")
+            for i in (0, 4, 8)]
 
 
 def transform_point(p: list[Column], t: Column) -> list[Column]:

@@ -17,8 +17,8 @@ MAX_EXTENT = 30.0
 
 
 def cameras(frames: DataFrame) -> DataFrame:
-    """Per frame the intrinsics and the camera-to-world pose, inverted once."""
-    return g.with_pose_inverse(frames.select(*FRAME, "is_metric", "k", "t_wc"), "t_wc", "t_cw").drop("t_wc")
+    """Per frame the numbers that lift a pixel, worked out once."""
+    return g.with_rays(frames.select(*FRAME, "is_metric", "k", "t_wc")).drop("k", "t_wc")
 
 
 def ego_track(frames: DataFrame) -> DataFrame:
@@ -54,14 +54,11 @@ def raster_pixels(depth_rows: DataFrame) -> DataFrame:
         *FRAME, "v", "u", "d", F.coalesce(F.col("conf")[F.col("u")], F.lit(1.0).cast("float")).alias("conf"))
 
 
-def backproject(pixels: DataFrame, frames: DataFrame, full_k: bool = False) -> DataFrame:
+def backproject(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """World position of depth pixels; joins the camera of each frame."""
-    cam = cameras(frames).select(*FRAME, "k", "t_cw")
-    u, v, d = (F.col(c).cast("double") for c in ("u", "v", "d"))
-    ray = g.camera_point_full if full_k else g.camera_point
-    p = g.world_point(ray(u, v, d, F.col("k")), F.col("t_cw"))
-    keep = [c for c in pixels.columns]
-    return pixels.join(cam, FRAME).select(*keep, *[c.alias(n) for c, n in zip(p, ("x", "y", "z"))])
+    p = g.lift(*[F.col(c).cast("double") for c in ("u", "v", "d")], F.col("ray"))
+    return pixels.join(cameras(frames).drop("is_metric"), FRAME).select(
+        *pixels.columns, *[c.alias(n) for c, n in zip(p, ("x", "y", "z"))])
 
 
 def backproject_frame(depth_rows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -107,13 +104,12 @@ def object_moments(spans: DataFrame, depth_rows: DataFrame, frames: DataFrame,
     s = spans.filter("u1 > u0").select(*DET, "v", "u0", "u1").join(cam, FRAME)
     lines = depth_rows.select(*FRAME, "v", "depth", "conf")
     px = s.join(lines, [*FRAME, "v"]).select(
-        *DET, "v", "is_metric", "k", "t_cw", "depth", "conf",
+        *DET, "v", "is_metric", "ray", "depth", "conf",
         F.explode(F.sequence(F.col("u0"), F.col("u1") - 1)).alias("u"))
-    px = px.select(*DET, "is_metric", "k", "t_cw", "u", "v",
+    px = px.select(*DET, "is_metric", "ray", "u", "v",
                    F.col("depth")[F.col("u")].alias("d"), F.col("conf")[F.col("u")].alias("_c"))
     px = px.filter(_valid(F.col("d"), F.col("_c"), conf_thresh))
-    u, v, d = (F.col(c).cast("double") for c in ("u", "v", "d"))
-    p = g.world_point(g.camera_point(u, v, d, F.col("k")), F.col("t_cw"))
+    p = g.lift(*[F.col(c).cast("double") for c in ("u", "v", "d")], F.col("ray"))
     pts = px.select(*DET, "is_metric", *[c.alias(n) for c, n in zip(p, ("x", "y", "z"))])
     return point_moments(pts, [*DET, "is_metric"], exact)
 

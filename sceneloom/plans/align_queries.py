@@ -52,7 +52,7 @@ _CPTS = """select c.video_id, c.frame_idx, c.chunk_id, v, u, s * rx + c.chunk_id
     select k.*, pow(5e-1, k.chunk_id) as s, v, u, y, conf, case k.chunk_id % 4 when 0 then x when 1 then z when 2 then -x else -z end as rx,
         case k.chunk_id % 4 when 0 then z when 1 then -x when 2 then -z else x end as rz
     from chunks k join (
-        select video_id, frame_idx, v, u, cast((u - 32e0) / 5e2 * d - tx as float)::double as x, cast((v - 32e0) / 5e2 * d as float)::double as y,
+        select video_id, frame_idx, v, u, cast((1e0 / 5e2 * u + 0e0 * v + -32e0 / 5e2) * d + (0e0 - tx) as float)::double as x, cast((0e0 * u + 1e0 / 5e2 * v + -32e0 / 5e2) * d as float)::double as y,
             d as z, cast(((u * 31 + v * 17 + frame_idx) % 100) / 1e2 as float) as conf from (
             select *, 5e0 + v / 64e0 * 5e-1 as d from frames, (select unnest(range(0, 64, 8)) as v), (select unnest(range(64)) as u)
             where frame_idx % 4 = 0)) p using (video_id, frame_idx)) c"""

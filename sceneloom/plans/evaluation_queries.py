@@ -45,7 +45,8 @@ _TALK = "select conv_id, turn, text as response, ['left', 'right', 'forward', 'n
 @query("extract_answer_texts", f"select conv_id, turn, {_LETTER} as letter from (select *, {_STRIP} as t from talk)", talk=_TALK)
 def extract_answer_texts(v):
     choices = F.create_map(*[F.lit(x) for kv in zip("ABCD", ("left", "right", "forward", "no")) for x in kv])
-    return v.table("conversations").select("conv_id", "turn", Tx.answer_letter(F.col("text"), choices).alias("letter"))
+    talk = v.spread(v.table("conversations"), "conv_id")
+    return talk.select("conv_id", "turn", Tx.answer_letter(F.col("text"), choices).alias("letter"))
 
 
 _SIMPLE = "coalesce(" + ", ".join(f"nullif(upper(regexp_extract(response, '{p}', 1)), '')" for p in Tx.SIMPLE) + \
@@ -59,7 +60,8 @@ def extract_answer_simple(v):
 
 @query("extract_answer_simple_texts", f"select doc_id, {_SIMPLE} as letter from (select doc_id, text as response from documents)")
 def extract_answer_simple_texts(v):
-    return v.table("documents").select("doc_id", Tx.answer_letter_simple(F.col("text")).alias("letter"))
+    docs = v.spread(v.table("documents"), "doc_id")
+    return docs.select("doc_id", Tx.answer_letter_simple(F.col("text")).alias("letter"))
 
 
 @query("answer_matches", "select event_id, letter, correct from scored", letters=_LETTERS, scored=_SCORED)

@@ -162,9 +162,11 @@ def missing_confidence(v):
     return L.masked_pixels(v.spans, lines).groupBy(*DET).agg(F.count(F.lit(1)).alias("n"))
 
 
-_POINTS = """select video_id, frame_idx, v, u, cast(i[1]*cx + i[2]*cy + i[3]*d + p0 as float)::double as x,
-    cast(i[4]*cx + i[5]*cy + i[6]*d + p1 as float)::double as y, cast(i[7]*cx + i[8]*cy + i[9]*d + p2 as float)::double as z
-    from (select *, (u - 32e0) / 5e2 * d as cx, (v - 32e0) / 5e2 * d as cy from raster) join inv using (video_id, frame_idx)"""
+# M = R K^-1 for K = (500, 0, 32; 0, 500, 32; 0, 0, 1)
+_POINTS = """select video_id, frame_idx, v, u, cast((i[1] * kf * u + i[2] * kf * v + (i[1] * kc + i[2] * kc + i[3])) * d + p0 as float)::double as x,
+    cast((i[4] * kf * u + i[5] * kf * v + (i[4] * kc + i[5] * kc + i[6])) * d + p1 as float)::double as y,
+    cast((i[7] * kf * u + i[8] * kf * v + (i[7] * kc + i[8] * kc + i[9])) * d + p2 as float)::double as z
+    from (select *, 1e0 / 5e2 as kf, -32e0 / 5e2 as kc from raster) join inv using (video_id, frame_idx)"""
 _SUMS = """count(*) as n, sum(floor(x * 1e6)::bigint)::bigint as sx, sum(floor(y * 1e6)::bigint)::bigint as sy,
     sum(floor(z * 1e6)::bigint)::bigint as sz, min(x) as x_min, max(y) as y_max, max(z) as z_max"""
 

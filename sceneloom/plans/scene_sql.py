@@ -23,8 +23,8 @@ CTES = {
     "frames": """select video_id, f.frame_idx, video_id % 2 = 0 as is_metric, 1e-2 * f.frame_idx as tx
         from videos, (select unnest(range(120)) as frame_idx) f""",
     "lifted": """select video_id, frame_idx, det_seq, u, v,
-        cast((u - 32e0) / 5e2 * d - 1e-2 * frame_idx as float)::double as x,
-        cast((v - 32e0) / 5e2 * d as float)::double as y, cast(d as float)::double as z
+        cast((1e0 / 5e2 * u + 0e0 * v + -32e0 / 5e2) * d + (0e0 - 1e-2 * frame_idx) as float)::double as x,
+        cast((0e0 * u + 1e0 / 5e2 * v + -32e0 / 5e2) * d as float)::double as y, cast(d as float)::double as z
         from (select *, 5e0 + v / 64e0 * 5e-1 as d from pixels)
         where ((u * 31 + v * 17 + frame_idx) % 100) >= 50""",
     "moments": """select video_id, frame_idx, det_seq, n_points, is_metric,

@@ -32,7 +32,7 @@ class SceneView:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
         """One small input file is one task; what is derived from it need not be."""
         n = self.spark.sparkContext.defaultParallelism
         return df.repartition(n, key) if len(df.inputFiles()) < n else df
@@ -45,7 +45,7 @@ class SceneView:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._spread(self.table("events"), "event_id")
+        return self.spread(self.table("events"), "event_id")
 
     @cached_property
     def boxes_raw(self) -> DataFrame:
