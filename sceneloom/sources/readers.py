@@ -32,7 +32,8 @@ def read_stills(spark: SparkSession, path: str) -> DataFrame:
 def read_depth_rows(spark: SparkSession, path: str, columns: tuple[str, ...] = ("depth", "conf")) -> DataFrame:
     """Depth lines; a folder partitioned by video_id prunes to the videos asked for."""
     fields = [f for f in schema.DEPTH_ROWS.fields if f.name not in ("depth", "conf") or f.name in columns]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    # a partitioned folder would put its partition columns last
+    return spark.read.schema(T.StructType(fields)).parquet(path).select(*[f.name for f in fields])
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:

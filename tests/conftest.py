@@ -18,4 +18,4 @@ def spark():
 
 def rows(df, *cols):
     """Sorted tuples of the given columns."""
-    return sorted((tuple(r) for r in df.select(*(cols or df.columns)).collect()), key=repr)
+    return sorted((tuple(r) for r in df.select(*(cols or df.columns)).collect()), key=lambda r: [(x is None, 0 if x is None else x) for x in r])
