@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
-from sceneloom.functions.ordered import gap_segments, global_row_number
+from sceneloom.functions.ordered import gap_segments, global_row_number, running_sum, with_previous
 from sceneloom.operators.components import components
 from sceneloom.operators.tracks import ARCHIVE, LOST, frame_ordinals
 from sceneloom.schema import DET, FRAME
@@ -98,6 +98,13 @@ class EpisodeFold:
             life.seen, life.at = frame_idx, at
             self.emit("obs", row[0], gid)
 
+    def hold(self, at: int, frame_idx: int, rows: list) -> None:
+        """The frame just folded repeats unchanged up to ``at``: everyone is seen until then."""
+        for key in dict.fromkeys(row[1] for row in rows):
+            gid = self.owner[key]
+            self.lives[gid].seen, self.lives[gid].at = frame_idx, at
+            self.emit("hold", key, gid)
+
     def fresh_id(self, frame_idx: int, det: int):
         """Ids are named by the detection that first used them, and numbered at the end."""
         return (frame_idx, det)
@@ -156,7 +163,8 @@ class EpisodeFold:
 
 _FIELDS = [("kind", "string"), ("video_id", "bigint"), ("frame_idx", "bigint"), ("det_seq", "bigint"),
            ("gid_frame", "bigint"), ("gid_det", "bigint"), ("root_frame", "bigint"), ("root_det", "bigint"),
-           ("precedence", "int")]
+           ("precedence", "int"), ("stretch", "string"), ("run_id", "string"), ("local_obj_id", "bigint")]
+_NUMBERS = [n for n, t in _FIELDS if t != "string"]
 
 
 def _fold_episodes(patience: int, gap: int, emit_rows: int = 20000):
@@ -164,40 +172,53 @@ def _fold_episodes(patience: int, gap: int, emit_rows: int = 20000):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list = []
-        video = frame_idx = at = episode = fold = None
+        video = frame_idx = at = episode = fold = until = None
         rows: list = []
 
         def emit(kind, *what):
-            if kind == "alloc":
-                out.append((kind, video, None, None, *what[0], None, None, None))
-            elif kind == "obs":
-                out.append((kind, video, frame_idx, what[0], *what[1], None, None, None))
+            row = {"kind": kind, "video_id": video}
+            if kind == "hold":
+                (row["run_id"], row["local_obj_id"]), (row["gid_frame"], row["gid_det"]) = what
+                row["stretch"] = until[0]
+            elif kind == "map":
+                (row["gid_frame"], row["gid_det"]), (row["root_frame"], row["root_det"]), row["precedence"] = what
             else:
-                out.append((kind, video, None, None, *what[0], *what[1], what[2]))
+                row["gid_frame"], row["gid_det"] = what[-1]
+                if kind == "obs":
+                    row["frame_idx"], row["det_seq"] = frame_idx, what[0]
+            out.append(row)
 
         def table() -> pd.DataFrame:
-            pdf = pd.DataFrame(out, columns=[n for n, _t in _FIELDS])
-            for name, _type in _FIELDS[1:]:
-                pdf[name] = pdf[name].astype("Int64")
+            # as objects: whole numbers beside nulls must not pass through floats
+            pdf = pd.DataFrame([[row.get(n) for n, _t in _FIELDS] for row in out], columns=[n for n, _t in _FIELDS],
+                               dtype=object)
+            for n in _NUMBERS:
+                pdf[n] = pdf[n].astype("Int64")
             out.clear()
             return pdf
 
+        def flush():
+            fold.frame(at, frame_idx, rows)
+            if until is not None:
+                fold.hold(until[1], until[2], rows)
+
         for batch in batches:
-            for v, label, ep, o, f, det, run_id, obj, score, mates in batch.itertuples(index=False, name=None):
+            for v, label, ep, o, f, det, run_id, obj, score, mates, *rest in batch.itertuples(index=False, name=None):
                 new_episode = (v, label, ep) != episode
                 if rows and (new_episode or o != at):
-                    fold.frame(at, frame_idx, rows)
+                    flush()
                     rows = []
                 if new_episode:
                     if fold is not None:
                         fold.finish()
                     episode, fold = (v, label, ep), EpisodeFold(patience, gap, emit)
                 video, at, frame_idx = v, o, f
+                until = (rest[0], int(rest[1]), int(rest[2])) if rest[0] is not None else None
                 rows.append((det, (run_id, obj), score, () if mates is None else mates))
             if len(out) >= emit_rows:
                 yield table()
         if rows:
-            fold.frame(at, frame_idx, rows)
+            flush()
             fold.finish()
         if out:
             yield table()
@@ -205,12 +226,45 @@ def _fold_episodes(patience: int, gap: int, emit_rows: int = 20000):
     return run
 
 
+_EPISODE = ["video_id", "label", "_ep"]
+
+
+def _stretches(group: DataFrame, gate: DataFrame, bucket: int) -> DataFrame:
+    """Rows of long episodes with the stretch of unchanged frames they belong to.
+
+    A stretch is a run of consecutive frames showing the same tracker objects with
+    the same gated pairs. Its first frame may allocate and merge, its second may
+    merge what a long absence held apart in the first; from the third on nothing
+    can change, whatever the scores. Adds stretch, _idx (position), end_ord and
+    end_frame.
+    """
+    key = F.struct("run_id", "local_obj_id")
+    at = [*_EPISODE, "ord"]
+    shown = group.groupBy(*at, "frame_idx").agg(F.sort_array(F.collect_list(key)).alias("_keys"))
+    side = lambda s: group.select(*at, *FRAME[1:], F.col("det_seq").alias(f"det_seq_{s}"), key.alias(s))
+    met = (gate.join(side("a"), [*FRAME, "det_seq_a"])
+           .join(side("b").drop(*at[1:]), [*FRAME, "det_seq_b"])
+           .groupBy(*at).agg(F.sort_array(F.collect_list(F.struct(F.least("a", "b"), F.greatest("a", "b")))).alias("_met")))
+    d = shown.join(met, at, "left").select(
+        *at, "frame_idx", F.md5(F.to_json(F.struct("_keys", "_met"))).alias("_sig"))
+    d = with_previous(d.withColumn("_cur", F.struct("ord", "_sig")), _EPISODE, "ord", "_cur", "_was", bucket=bucket).drop("_cur")
+    same = F.coalesce((F.col("_was")["ord"] == F.col("ord") - 1) & (F.col("_was")["_sig"] == F.col("_sig")), F.lit(False))
+    d = running_sum(d.withColumn("_new", (~same).cast("int")).drop("_sig", "_was"), _EPISODE, "ord", F.col("_new"), "_run", bucket=bucket)
+    ends = d.groupBy(*_EPISODE, "_run").agg(F.min("ord").alias("_start"), F.max("ord").alias("end_ord"),
+                                            F.max("frame_idx").alias("end_frame"))
+    d = d.join(ends, [*_EPISODE, "_run"]).select(
+        *at, F.concat_ws("/", *_EPISODE, "_run").alias("stretch"), (F.col("ord") - F.col("_start")).alias("_idx"), "end_ord", "end_frame")
+    return group.join(d, at)
+
+
 def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost: int = LOST,
-                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096) -> DataFrame:
+                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096,
+                long_episode: int = 100_000) -> DataFrame:
     """Fused observations: video_id, object_id, frame_idx, det_seq.
 
     ``candidates`` (DET, run_id, local_obj_id, score), ``gated`` from merge_gate,
-    ``frames`` every processed frame, also those without candidates.
+    ``frames`` every processed frame, also those without candidates. Episodes of
+    more than ``long_episode`` rows are folded over their changes only.
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
@@ -247,15 +301,34 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
     pairs = gate.select(*FRAME, F.col("det_seq_a").alias("det_seq"), F.col("det_seq_b").alias("p")).unionByName(
         gate.select(*FRAME, F.col("det_seq_b").alias("det_seq"), F.col("det_seq_a").alias("p")))
     partners = pairs.groupBy(*DET).agg(F.collect_list("p").alias("partners"))
-    rows = group.join(partners, DET, "left").select(
-        "video_id", "label", "_ep", "ord", "frame_idx", "det_seq", "run_id", "local_obj_id", "score", "partners")
+    sizes = group.groupBy(*_EPISODE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > long_episode).drop("_n")
+    steady = None
+    plain = group.select("*", F.lit(None).cast("string").alias("stretch"), F.lit(None).cast("bigint").alias("end_ord"),
+                         F.lit(None).cast("bigint").alias("end_frame"))
+    if sizes.limit(1).count():
+        cut = _stretches(group.join(sizes, _EPISODE, "left_semi"), gate, bucket).checkpoint()
+        repeats = (F.col("_idx") == 1) & (F.col("end_ord") > F.col("ord"))
+        changes = cut.filter("_idx < 2")
+        for c in ("stretch", "end_ord", "end_frame"):
+            changes = changes.withColumn(c, F.when(repeats, F.col(c)))
+        plain = plain.join(sizes, _EPISODE, "left_anti").unionByName(changes.drop("_idx"))
+        steady = cut.filter("_idx > 1").select(*DET, "run_id", "local_obj_id", "score", "stretch")
+    rows = plain.join(partners, DET, "left").select(
+        *_EPISODE, "ord", "frame_idx", "det_seq", "run_id", "local_obj_id", "score", "partners",
+        "stretch", "end_ord", "end_frame")
     rows = rows.repartition("video_id", "label", "_ep").sortWithinPartitions(
         "video_id", "label", "_ep", "ord", "det_seq")
     folded = rows.mapInPandas(_fold_episodes(patience, gap), ", ".join(f"{n} {t}" for n, t in _FIELDS)).checkpoint()
 
     ids = folded.filter("kind = 'map'")
-    seen = (folded.filter("kind = 'obs'").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det")
-            .join(ids.select("video_id", "gid_frame", "gid_det", "root_frame", "root_det", "precedence"),
+    seen = folded.filter("kind = 'obs'").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det")
+    if steady is not None:
+        held = folded.filter("kind = 'hold'").select("stretch", "run_id", "local_obj_id", "gid_frame", "gid_det")
+        best = Window.partitionBy(*FRAME, "gid_frame", "gid_det").orderBy(F.desc("score"), "det_seq")
+        seen = seen.unionByName(
+            steady.join(held, ["stretch", "run_id", "local_obj_id"]).withColumn("_rn", F.row_number().over(best))
+            .filter("_rn = 1").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det"))
+    seen = (seen.join(ids.select("video_id", "gid_frame", "gid_det", "root_frame", "root_det", "precedence"),
                   ["video_id", "gid_frame", "gid_det"]))
     first_wins = Window.partitionBy("video_id", "root_frame", "root_det", "frame_idx").orderBy("precedence")
     together = (seen.withColumn("_rn", F.row_number().over(first_wins)).filter("_rn = 1")
@@ -267,6 +340,7 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
                                name="_rn", bucket=bucket)
     number = number.select("video_id", F.col("gid_frame").alias("root_frame"), F.col("gid_det").alias("root_det"),
                            (F.col("_rn") - 1).alias("object_id"))
-    return (together.unionByName(solo).join(number, ["video_id", "root_frame", "root_det"])
-            .select("video_id", "object_id", "frame_idx", "det_seq"))
+    fused = (together.unionByName(solo).join(number, ["video_id", "root_frame", "root_det"])
+             .select("video_id", "object_id", "frame_idx", "det_seq"))
+    return fused.checkpoint()  # every scene table reads it, most of them twice
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from sceneloom.plans.scene_sql import sql
 from sceneloom.plans.scene_view import SceneView
+from sceneloom.session import ship_package
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,11 @@ def query(name: str, oracle: str | None = None, **ctes: str):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(SceneView(spark, sf_dir))
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(SceneView(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = sql(oracle, **ctes)
         return fn

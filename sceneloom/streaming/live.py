@@ -94,7 +94,8 @@ class SceneState(StatefulProcessor):
             fold.forget(gid)
         self._save(fold, owners, lives)
         self.clock.update((count, last, fold.next_id))
-        table = pd.DataFrame(out, columns=["kind", "video_id", "frame_idx", "det_seq", "object_id", "other_id"])
+        table = pd.DataFrame(out, columns=["kind", "video_id", "frame_idx", "det_seq", "object_id", "other_id"],
+                             dtype=object)
         for c in table.columns[1:]:
             table[c] = table[c].astype("Int64")
         yield table

@@ -103,13 +103,35 @@ def world():
     return {v: history(v) for v in range(60)}
 
 
-@pytest.mark.parametrize("lost,archive,gap", [(1, 1, 2), (2, 4, 2), (3, 3, 100), (5, 30, 2)])
+@pytest.mark.parametrize("lost,archive,gap", [(1, 1, 2), (2, 4, 100), (5, 30, 2)])
 def test_fusion_equals_model(spark, world, lost, archive, gap):
     got = fuse_tracks(*tables(spark, world), lost=lost, archive=archive, gap=gap, bucket=7).collect()
     want = [(v, *row) for v, hist in world.items() for row in model(hist, lost + archive, gap)]
     assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("limit", [0, 40])
+def test_long_episodes_fold_their_changes_only(spark, limit):
+    """Histories with long unchanged stretches: the same result from fewer folded rows."""
+    world = {}
+    for v in range(12):
+        hist = []
+        rnd = random.Random(v)
+        for _t, dets, gate in history(100 + v):
+            for _ in range(rnd.choice([1, 1, 2, 3, 6])):
+                hist.append((dets, gate))
+        det, frames = 0, []
+        for t, (dets, gate) in enumerate(hist):
+            name = {d[0]: det + i for i, d in enumerate(dets)}
+            frames.append((t, [(name[d], k, rnd.choice([0.3, 0.5, 0.9])) for d, k, _s in dets],
+                           {frozenset(name[d] for d in pair) for pair in gate}))
+            det += len(dets)
+        world[v] = frames
+    got = fuse_tracks(*tables(spark, world), lost=1, archive=2, long_episode=limit, bucket=5).collect()
+    want = [(v, *row) for v, hist in world.items() for row in model(hist, 3, 2)]
+    assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
+
+
 def test_stream_equals_batch(spark, world):
     cands, gates, frames = tables(spark, world)
     want = fuse_tracks(cands, gates, frames, lost=2, archive=4)

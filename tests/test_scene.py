@@ -32,11 +32,12 @@ def small_scene(spark, n=6, window=3):
             spans += [(0, t, 2 * t + r, v, 2, 6, 8, 8) for v in range(2 + r, 6)]
     dets = spark.createDataFrame(dets, schema.DETECTIONS)
     spans = spark.createDataFrame(spans, schema.SPANS)
-    states = L.object_state(spans, lines, frames, grid=4, min_points=1)
+    states = L.object_state(spans, lines, frames, grid=4, min_points=1).checkpoint()
     pairs = M.mask_iou_pairs(spans.join(dets.select(*schema.DET, "run_id"), schema.DET), differ="run_id")
     gated = Fu.merge_gate(pairs, states)
     obs = Fu.fuse_tracks(dets, gated, frames)
-    return (obs, states, frames, *Sc.scene_tables(obs, states, frames, grid=4, window=window))
+    meta, ego, steps = Sc.scene_tables(obs, states, frames, grid=4, window=window)
+    return obs, states, frames, meta, ego, steps.checkpoint()
 
 
 def test_scene_document(spark, tmp_path):
