@@ -20,7 +20,7 @@ def _stretch(df: DataFrame, pos: str, bucket: int) -> DataFrame:
 
 
 def global_row_number(df: DataFrame, keys: list[str], pos: str, ties: list[str] = (),
-                      name: str = "rn", bucket: int = BUCKET, count: str | None = None) -> DataFrame:
+                      name: str = "rn", bucket: float = BUCKET, count: str | None = None) -> DataFrame:
     """1-based rank by (pos, ties) within keys; ``count`` also adds the key's size."""
     d = _stretch(df, pos, bucket)
     local = Window.partitionBy(*keys, "_b").orderBy(pos, *ties)

@@ -54,12 +54,15 @@ def clamp_boxes(boxes: DataFrame, width: float, height: float) -> DataFrame:
 
 def ordered_boxes(boxes: DataFrame) -> DataFrame:
     """Rank of each box in its frame, best score first."""
-    w = Window.partitionBy(*FRAME).orderBy(F.desc("score"), "det_seq")
-    return boxes.withColumn("rank", F.row_number().over(w))
+    d = boxes.withColumn("_p", -F.col("score"))
+    # stretches of a 256th of the score, so that a crowded frame is ranked in parallel
+    return global_row_number(d, FRAME, "_p", ["det_seq"], name="rank", bucket=2 ** -8).drop("_p")
 
 
 def top_k_boxes(boxes: DataFrame, k: int) -> DataFrame:
-    return ordered_boxes(boxes).filter(F.col("rank") <= k)
+    """The k best boxes of each frame; the rank limit is applied before the shuffle."""
+    w = Window.partitionBy(*FRAME).orderBy(F.desc("score"), "det_seq")
+    return boxes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def parse_classes(names: str | None) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
-from sceneloom.functions.ordered import global_row_number
+from sceneloom.functions.ordered import global_row_number, with_previous
 from sceneloom.operators.masks import patch_jaccard
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
@@ -268,13 +268,12 @@ def depth_rank(obs: DataFrame, n: int, keys: list[str] = FRAME, obj: str = "obje
     """Rank by depth (1 = nearest) and order from left to right, in frames showing n objects."""
     per = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).drop("_n")
     full = obs.join(per, list(keys), "left_semi")
-    return (full.withColumn("z_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("z", obj)))
-            .withColumn("x_order", F.row_number().over(Window.partitionBy(*keys).orderBy("x", obj))))
+    by_z = global_row_number(full, list(keys), "z", [obj], name="z_rank", bucket=1)
+    return global_row_number(by_z, list(keys), "x", [obj], name="x_order", bucket=1)
 
 
 def rank_changes(ranks: DataFrame, bucket: int = 4096) -> DataFrame:
     """Frames whose left-to-right depth ranking differs from the last ranked frame."""
-    from sceneloom.functions.ordered import with_previous
     seq = ranks.groupBy(*FRAME).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("x_order", "z_rank"))), lambda s: s["z_rank"]).alias("ranking"))
     d = with_previous(seq, ["video_id"], "frame_idx", "ranking", "_p", bucket=bucket)

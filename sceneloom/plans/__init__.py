@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["mask_queries", "geometry_queries", "track_queries", "relation_queries", "evaluation_queries",
-           "quality_queries", "align_queries", "stream_queries"]
+           "quality_queries", "align_queries", "stream_queries", "source_queries"]
 
 
 def load():

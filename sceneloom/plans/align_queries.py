@@ -68,6 +68,14 @@ def overlap_pairs(v):
         F.count(F.lit(1)).alias("n"), q("sx").alias("ssx"), q("tx").alias("stx"), q("w").alias("sw"))
 
 
+@query("umeyama_moments", """select a.video_id, a.chunk_id as pair_id, count(*) as n, round(sum(least(a.conf, b.conf)::double), 3) as sw
+    from cpts a join cpts b using (video_id, frame_idx, v, u) where b.chunk_id = a.chunk_id + 1 and a.conf > 2e-1 and b.conf > 2e-1
+    group by all""", chunks=_CHUNKS, cpts=_CPTS)
+def umeyama_moments(v):
+    m = A.umeyama_moments(A.overlap_pairs(chunk_points(v)))
+    return m.select("video_id", "pair_id", "n", F.round("sw", 3).alias("sw"))
+
+
 # chunk j+1 to chunk j: scale 2, and one quarter turn back; the truth to five decimals
 _TRUTH = """select f.video_id, c.pair_id, 2e0 as scale, 0e0 as r00, -1e0 as r02, 1e0 as r11, 1e0 as r20
     from videos f, (select unnest(range(7)) as pair_id) c"""
