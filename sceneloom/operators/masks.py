@@ -164,10 +164,18 @@ def top_tau(tau: Column, k: int) -> Column:
     return F.when(F.size(tau) > k, best).otherwise(tau)
 
 
+def token_codes(tau: Column) -> Column:
+    """The cells of a token array as distinct whole numbers."""
+    return F.array_distinct(F.transform(tau, lambda p: p["row"].cast("int") * 65536 + p["col"].cast("int")))
+
+
+def codes_jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two arrays of distinct numbers; an empty or missing side gives 0."""
+    both = F.size(F.array_intersect(a, b))
+    empty = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
+    return F.when(empty, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def patch_jaccard(a: Column, b: Column) -> Column:
     """Shared share of two token arrays by (row, col); an empty side gives 0."""
-    rc = lambda t: F.transform(t, lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col")))
-    x, y = F.array_distinct(rc(a)), F.array_distinct(rc(b))
-    both = F.size(F.array_intersect(x, y))
-    empty = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
-    return F.when(empty, F.lit(0.0)).otherwise(both / F.size(F.array_union(x, y)))
+    return codes_jaccard(token_codes(a), token_codes(b))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
 from sceneloom.functions.ordered import global_row_number, with_previous
-from sceneloom.operators.masks import patch_jaccard
+from sceneloom.operators.masks import codes_jaccard, token_codes
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
 
@@ -175,13 +175,14 @@ def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0,
     overlap). A cost below the threshold bounds the centroid distance, which the
     grid join uses; a mutual best over all pairs is one over the gated pairs.
     """
-    d = obs.join(frame_ordinals(frames), FRAME)
+    # cells as numbers, once per object and not once per pair
+    d = obs.withColumn("_codes", token_codes(F.col("tau"))).join(frame_ordinals(frames), FRAME)
     pos = dict(zip("xyz", ("cx", "cy", "cz")))
     side = lambda s, shift: d.select(
         "video_id", (F.col("ord") + shift).alias("ord"),
         F.col("frame_idx").alias(f"{s}_frame"), F.col(obj).alias(f"{s}_id"),
         *[F.col(pos[c]).alias(f"{s}{c}") for c in "xyz"],
-        F.struct(*_SHAPE).alias(f"{s}_s"), F.col("tau").alias(f"{s}_tau"))
+        F.struct(*_SHAPE).alias(f"{s}_s"), F.col("_codes").alias(f"{s}_tau"))
     met = grid_join(side("l", 0), side("r", 1), ["video_id", "ord"], threshold / geometric)
     sq = None
     for c in "xyz":
@@ -190,20 +191,23 @@ def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0,
     for m in _SHAPE:
         sq = sq + (F.col("l_s")[m] - F.col("r_s")[m]) ** 2
     cost = (F.lit(geometric) * (F.col("dist") + F.lit(0.1) * F.sqrt(sq))
-            + F.lit(semantic) * (F.lit(1.0) - patch_jaccard(F.col("l_tau"), F.col("r_tau"))))
-    met = met.withColumn("cost", cost).filter(F.col("cost") < threshold)
+            + F.lit(semantic) * (F.lit(1.0) - codes_jaccard(F.col("l_tau"), F.col("r_tau"))))
+    met = met.withColumn("cost", cost).filter(F.col("cost") < threshold).select(
+        "video_id", "ord", "l_frame", "r_frame", "l_id", "r_id", "cost")
     return mutual_best(met, ["video_id", "ord"], "r_id", "l_id", "cost").select(
         "video_id", F.col("r_frame").alias("prev_frame"), F.col("l_frame").alias("frame_idx"),
         F.col("r_id").alias("prev_id"), F.col("l_id").alias("object_id"), "cost")
 
 
 def mutual_best(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> DataFrame:
-    """Pairs that are the cheapest choice of both sides; ties go to the smaller id."""
+    """Pairs that are the cheapest choice of both sides; ties go to the smaller id.
+
+    Both ranks are taken over the same rows, so the pairs are worked out once.
+    """
     wa = Window.partitionBy(*keys, a).orderBy(cost, b)
     wb = Window.partitionBy(*keys, b).orderBy(cost, a)
-    best_a = pairs.withColumn("_ra", F.row_number().over(wa)).filter("_ra = 1").drop("_ra")
-    best_b = pairs.withColumn("_rb", F.row_number().over(wb)).filter("_rb = 1")
-    return best_a.join(best_b.select(*keys, a, b), [*keys, a, b], "left_semi")
+    ranked = pairs.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb))
+    return ranked.filter("_ra = 1 and _rb = 1").drop("_ra", "_rb")
 
 
 def match_views(obs: DataFrame, max_dist: float = 5.0, obj: str = "object_id") -> DataFrame:
