@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
+from sceneloom.operators.masks import JOIN
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
 from sceneloom.session import ensure_checkpoint_dir
@@ -66,7 +67,7 @@ def overlap_pairs(points: DataFrame, conf_threshold: float = 0.2, depth_max: flo
                        *[F.col(c).alias(f"t{c}") for c in "xyz"])
     later = p.select(*key, (F.col("chunk_id") - 1).alias("pair_id"), F.col("conf").alias("_cs"),
                      *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    met = earlier.join(later, [*key, "pair_id"])
+    met = earlier.join(later.hint(JOIN), [*key, "pair_id"])
     return met.select(*key, "pair_id", *[f"s{c}" for c in "xyz"], *[f"t{c}" for c in "xyz"],
                       F.least("_cs", "_ct").cast("double").alias("w"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
 from sceneloom.functions.fixed import fixed_mean, fixed_std, square_sums, to_fixed
-from sceneloom.operators.masks import patch_tokens
+from sceneloom.operators.masks import JOIN, patch_tokens
 from sceneloom.schema import DET, FRAME
 
 # The default thresholds of the geometric filters.
@@ -42,7 +42,7 @@ def masked_pixels(spans: DataFrame, depth_rows: DataFrame, conf_thresh: float =
     """
     s = spans.filter("u1 > u0").select(*keys, "v", "u0", "u1")
     lines = depth_rows.select(*FRAME, "v", "depth", "conf")
-    px = s.join(lines, [*FRAME, "v"]).select(
+    px = s.join(lines.hint(JOIN), [*FRAME, "v"]).select(
         *keys, "v", "depth", "conf", F.explode(F.sequence(F.col("u0"), F.col("u1") - 1)).alias("u"))
     return (px.select(*keys, "v", "u", F.col("depth")[F.col("u")].alias("d"), F.col("conf")[F.col("u")].alias("_c"))
             .filter(_valid(F.col("d"), F.col("_c"), conf_thresh)).drop("_c"))
@@ -103,7 +103,8 @@ def object_moments(spans: DataFrame, depth_rows: DataFrame, frames: DataFrame,
     cam = cameras(frames)
     s = spans.filter("u1 > u0").select(*DET, "v", "u0", "u1").join(cam, FRAME)
     lines = depth_rows.select(*FRAME, "v", "depth", "conf")
-    px = s.join(lines, [*FRAME, "v"]).select(
+    # sizes of exploded tables are guessed far too low: never let one be broadcast
+    px = s.join(lines.hint(JOIN), [*FRAME, "v"]).select(
         *DET, "v", "is_metric", "ray", "depth", "conf",
         F.explode(F.sequence(F.col("u0"), F.col("u1") - 1)).alias("u"))
     px = px.select(*DET, "is_metric", "ray", "u", "v",

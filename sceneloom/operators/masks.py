@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sceneloom.schema import DET, FRAME
 
 TILE = 64
+JOIN = "merge"
 
 
 def mask_to_spans(lines: DataFrame, bits: str = "bits") -> DataFrame:
@@ -89,7 +90,8 @@ def _overlap(a: DataFrame, b: DataFrame, cols: list[str], extra: Column | None,
     if extra is not None:
         on = on & extra
     left, right = _renamed(a, cols, "a"), _renamed(b, cols, "b")
-    met = left.join(right, [*FRAME, "v", "tile"]).filter(on)
+    # sizes of exploded tables are guessed far too low: never let one be broadcast
+    met = left.join(right.hint(JOIN), [*FRAME, "v", "tile"]).filter(on)
     shared = F.least("u1_a", "u1_b") - F.greatest("u0_a", "u0_b")
     names = [f"{c}_{s}" for s in "ab" for c in [*cols, "area"]]
     total = met.groupBy(*FRAME, *names).agg(F.sum(shared.cast("bigint")).alias("inter"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom.operators.masks import JOIN
 from sceneloom.schema import FRAME
 
 
@@ -78,7 +79,7 @@ def resample_raster(rows: DataFrame, src: tuple[int, int], dst: tuple[int, int],
         *FRAME, "out_v", "wy", *[F.col(c).alias(f"a_{c}") for c in columns])
     lower = rows.join(F.broadcast(lines.select("out_v", F.col("y1").alias("v"))), "v").select(
         *FRAME, "out_v", *[F.col(c).alias(f"b_{c}") for c in columns])
-    both = upper.join(lower, [*FRAME, "out_v"])
+    both = upper.join(lower.hint(JOIN), [*FRAME, "out_v"])
 
     x = np.clip((np.arange(big_w) + 0.5) * (w / big_w) - 0.5, 0.0, w - 1.0)
     blend = _blender(columns, np.floor(x).astype(int), np.minimum(np.floor(x).astype(int) + 1, w - 1), x - np.floor(x), w)
