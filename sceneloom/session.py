@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,31 +24,9 @@ def local_session(cpus: str | int = "*", memory: str = "16g", shuffle_partitions
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
     return spark
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
-
-    Needed wherever it is not installed on the executors; workers need not share
-    the driver's working folder.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
