@@ -8,33 +8,38 @@ from pyspark.sql import functions as F
 from sceneloom.session import ensure_checkpoint_dir
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Label of every node of an undirected edge table (group, a, b): group, node, label.
 
-    The label is the smallest node of the component. Each round takes the least
-    label among neighbours and then the label's own label, so distances halve;
-    a component of any size is spread over its edges. Lineage is cut by a
-    checkpoint every round, and only one count comes back to the driver.
+    The label is the smallest node of the component. Large-star and small-star steps in
+    turn hang neighbours under the smallest one they know until every component is a
+    star; the number of rounds grows with the logarithm of the largest component. A
+    node's neighbours are never gathered: each step is one minimum per node, joined back
+    to its edges, and a join with a busy node splits. Lineage is cut by a checkpoint every
+    round; the driver sees the number of edges and a checksum of them.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    one = edges.select("group", "a", "b").filter("a <> b")
-    both = one.unionByName(one.select("group", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("group", F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.col("node")).alias("label")).checkpoint()
-    for _ in range(max_rounds):
-        heard = (both.join(labels.select("group", F.col("node").alias("b"), "label"), ["group", "b"])
-                 .groupBy("group", F.col("a").alias("node")).agg(F.min("label").alias("_heard")))
-        step = labels.join(heard, ["group", "node"]).select(
-            "group", "node", "label", F.least("label", "_heard").alias("_l"))
-        up = labels.select("group", F.col("node").alias("_l"), F.col("label").alias("_top"))
-        nxt = step.join(up, ["group", "_l"]).select(
-            "group", "node", F.least("_l", "_top").alias("_new"), "label").checkpoint()
-        changed = nxt.filter("_new <> label").limit(1).count()
-        labels = nxt.select("group", "node", F.col("_new").alias("label"))
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    ensure_checkpoint_dir(edges.sparkSession)
+    mark = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("group", "a", "b")).alias("x")]
+    now = (edges.filter("a <> b").select("group", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+           .distinct().checkpoint())
+    before = now.agg(*mark).first()
+    while before.n:
+        # large star: the larger neighbours of a node move to the smallest of all it knows
+        both = now.unionByName(now.select("group", F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("group", "a").agg(F.min("b").alias("_m")).select("group", "a", F.least("_m", "a").alias("_m"))
+        large = (both.filter("b > a").join(low, ["group", "a"])
+                 .select("group", F.col("b").alias("a"), F.col("_m").alias("b")).distinct())
+        # small star: a node and its smaller neighbours move to the smallest of them
+        low = large.groupBy("group", "a").agg(F.min("b").alias("_m"))
+        small = (large.join(low, ["group", "a"])
+                 .select("group", F.explode(F.array("a", "b")).alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct())
+        now = small.checkpoint()
+        after = now.agg(*mark).first()
+        if after == before:
+            break
+        before = after
+    roots = now.select("group", F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return now.select("group", F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
 def merge_views(points: DataFrame, matches: DataFrame) -> DataFrame:
