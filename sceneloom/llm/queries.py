@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, langid, line_dedup, minhash, sentencepieces
+from sceneloom.llm import decontaminate, langid, line_dedup, minhash, quality_rules, sentencepieces, sharding
 from sceneloom.llm.common import table
 
+#: Shards of the training order.
+SHARDS = 24
 #: A line on so many sources is boilerplate.
 SITES = 10
 #: The least margin, as a share of the runner-up's size, for a language to be accepted.
@@ -43,6 +45,14 @@ def taught(docs: DataFrame) -> DataFrame:
     return docs.filter(_third() != 1)
 
 
+@_query("op2_sharding")
+def op2(spark, sf_dir):
+    out = sharding.shards(table(spark, sf_dir, "documents"), SHARDS)
+    text = F.col("record.text")
+    return out.select(F.col("record.doc_id").alias("doc_id"), sharding.text_size(text).alias("size"), F.crc32(text).alias("text_crc32"),
+                      F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("keeper").alias("kept"))
@@ -65,6 +75,32 @@ def op8(spark, sf_dir):
         "doc_id", F.coalesce(_third() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_accepted")
 
 
+_WORDS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_BOUNDS = " and ".join(f"{m} {op} {bound}" for m, least, most in quality_rules.RULES for op, bound in ((">=", least), ("<=", most)) if bound is not None)
+
+
+@_query("op9_quality_rules", f"""
+    with d as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]'), lambda w: w <> '') as w from documents),
+    m as (select doc_id, t, w, len(w) as n_words, list_filter(string_split(t, chr(10)), lambda x: length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0) as l from d),
+    g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) as i from m where len(w) > 8)),
+    twice as (select doc_id, i from g join (select doc_id, g from g group by all having count(*) > 1) using (doc_id, g)),
+    covered as (select doc_id, count(distinct i + k) as c from twice, (select unnest(range(0, 8)) as k) group by doc_id),
+    f as (select m.doc_id, n_words::bigint as n_words, length(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
+                 (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::bigint as n_symbols,
+                 (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c, 0)::bigint as n_repeat_words, len(l) as n_lines,
+                 len(list_filter(w, lambda x: lower(x) in ({_WORDS}))) as n_stop,
+                 length(regexp_replace(t, '[\\p{{P}}\\p{{S}}\\p{{N}}\\s]+', '', 'g')) as n_letters
+          from m left join covered using (doc_id)),
+    r as (select *, n_stop / greatest(n_words, 1) as stop_share, word_chars / greatest(n_words, 1) as mean_word,
+                 n_symbols / greatest(word_chars, 1) as symbol_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_share,
+                 n_repeat_words / greatest(n_words, 1) as repeat_share, n_letters / greatest(word_chars, 1) as letter_share,
+                 n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_BOUNDS} as kept from r""")
+def op9(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_query("op10_line_dedup", f"""
     with line as (select doc_id, source, p as pos, (string_split(text, chr(10)))[p] as line
                   from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as p from documents where text is not null)),
