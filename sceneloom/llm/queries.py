@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, langid, line_dedup, minhash, quality_rules, sentencepieces, sharding
+from sceneloom.llm import decontaminate, langid, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
+# The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+BAD_WORDS = ["adult", "ads", "adserver", "bet", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
 #: Shards of the training order.
 SHARDS = 24
 #: A line on so many sources is boilerplate.
@@ -58,6 +61,18 @@ def op4(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("keeper").alias("kept"))
 
 
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, label): the pages' URLs, 1 where the host's name has one of the BAD_WORDS."""
+    found = F.exists(F.split(urls.host_of(F.col("url")), "[.-]"), lambda w: w.isin(BAD_WORDS))
+    return pages.select("url", found.cast("int").alias("label"))
+
+
+@_query("op5_url_filter")
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.train(labelled_urls(pages)), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 @_query("op6_sentencepiece")
 def op6(spark, sf_dir):
     return sentencepieces.encode(table(spark, sf_dir, "documents"), MODEL_PATH)
