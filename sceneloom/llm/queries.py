@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, langid, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
+from sceneloom.llm import decontaminate, langid, licenses, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
 # The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 BAD_WORDS = ["adult", "ads", "adserver", "bet", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
+#: The cosine from which a notice is a licence's.
+LICENCE_SCORE = 0.5
 #: Shards of the training order.
 SHARDS = 24
 #: A line on so many sources is boilerplate.
@@ -48,6 +50,54 @@ def taught(docs: DataFrame) -> DataFrame:
     return docs.filter(_third() != 1)
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files: source/thousand/hundred/<doc_id>.txt, and a hundred's first document as its LICENSE file.
+
+    A thousand's first document is the LICENSE of the thousand, a ten thousand's that of the source.
+    """
+    i = F.col("doc_id")
+    k, h = (i / 1000).cast("long").cast("string"), (i / 100).cast("long").cast("string")
+    path = (F.when(i % 10000 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), i)))
+            .when(i % 1000 == 0, F.concat_ws("/", "source", k, F.concat(F.lit("LICENSE-"), i)))
+            .when(i % 100 == 0, F.concat_ws("/", "source", k, h, F.concat(F.lit("LICENSE-"), i)))
+            .when(i.isNotNull(), F.concat_ws("/", "source", k, h, F.concat(i, F.lit(".txt")))))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{a}', {b}, '{c}', {d}, {e})" for a, b, c, d, e in licenses.template_rows())
+_IDF_ROWS = ", ".join(f"('{t}', {w})" for t, w in licenses.idf().items())
+_CUE = licenses.CUE.replace("(?i)", "")
+
+
+@_query("op1_license_scan", f"""
+    with model(licence, variant, term, weight, square) as (values {_TEMPLATE_ROWS}), known(term, idf) as (values {_IDF_ROWS}),
+    f as (select doc_id, coalesce(text, '') as text, concat_ws('/', source, case when doc_id % 10000 = 0 then 'LICENSE-' || doc_id
+             when doc_id % 1000 = 0 then doc_id // 1000 || '/LICENSE-' || doc_id
+             when doc_id % 100 = 0 then doc_id // 1000 || '/' || doc_id // 100 || '/LICENSE-' || doc_id
+             else doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id || '.txt' end) as path from documents),
+    u as (select path, array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when regexp_matches(x, '{_CUE}', 'i') then x else '' end), chr(10)) as cued,
+                 path like '%LICENSE-%' as whole, text from f),
+    n as (select path, unnest(list_concat(case when whole then [text] else [] end, list_filter(regexp_split_to_array(cued, '\n\n+'), lambda x: x <> ''))) as body from u),
+    t as (select path, row_number() over () as unit, body from n),
+    tok as (select path, unit, unnest(regexp_extract_all(lower(body), '{licenses.TERM}')) as term from t),
+    v as (select path, unit, term, (count(*) * coalesce(any_value(idf), {licenses.rare_idf()}))::bigint as w from tok left join known using (term) group by path, unit, term),
+    s as (select unit, sum(w * w)::bigint as own from v group by unit),
+    d as (select path, unit, licence, variant, sum(w * weight)::bigint as dot, any_value(square) as square from v join model using (term) group by path, unit, licence, variant),
+    c as (select path, licence, dot::double / sqrt(own::double * square::double) as score from d join s using (unit)),
+    o as (select path, licence, score from c where score >= {LICENCE_SCORE} qualify row_number() over (partition by path order by score desc, licence) = 1),
+    decl as (select regexp_replace(path, '/?[^/]*$', '') as dir, licence from o where path like '%LICENSE-%'
+             qualify row_number() over (partition by regexp_replace(path, '/?[^/]*$', '') order by score desc, licence) = 1),
+    dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from f),
+    near as (select dirs.dir, decl.dir as from_dir, decl.licence as from_licence from dirs join decl on dirs.dir = decl.dir or starts_with(dirs.dir, decl.dir || '/')
+             qualify row_number() over (partition by dirs.dir order by length(decl.dir) desc) = 1)
+    select doc_id, path, o.licence as own_licence, score, coalesce(o.licence, from_licence) as licence, case when o.licence is null then from_dir end as from_dir
+    from f left join o using (path) left join near on near.dir = regexp_replace(path, '/?[^/]*$', '')""")
+def op1(spark, sf_dir):
+    files = as_files(table(spark, sf_dir, "documents"))
+    found = licenses.scan(files, LICENCE_SCORE)
+    return found.select(F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1).cast("long").alias("doc_id"), "path", "own_licence", "score", "licence", "from_dir")
+
+
 @_query("op2_sharding")
 def op2(spark, sf_dir):
     out = sharding.shards(table(spark, sf_dir, "documents"), SHARDS)
