@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, langid, licenses, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
+from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
 # The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
@@ -106,6 +106,12 @@ def op2(spark, sf_dir):
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query("op3_html_extract")
+def op3(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 @_query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("keeper").alias("kept"))
