@@ -275,6 +275,17 @@ def disguises(page: str, rng: np.random.Generator) -> str:
         page = re.sub(r"<nav\b", f'<div class="{pick(["menu", "navbar", "nav"])}"', page).replace("</nav>", "</div>")
     if rng.random() < 0.4:
         page = re.sub(r"<footer\b", f'<div id="{pick(["footer", "colophon"])}"', page).replace("</footer>", "</div>")
+    def inner(m):
+        kind = rng.random()
+        if kind < 0.08:
+            return "<ul>" + "".join(f"<li>{pick(told) if rng.random() < 0.5 else some()}" for _ in range(int(rng.integers(1, 6)))) + "</ul>"
+        if kind < 0.12:
+            return f"<blockquote><p>{m[1]}</p></blockquote>"
+        if kind < 0.16:
+            return f"<table><tr><td>{m[1]}</td><td>{some()}</td></tr></table>"
+        return f"<h2>{m[1]}</h2>" if kind < 0.2 else f"<ol><li>{m[1]}</ol>" if kind < 0.24 else f"<pre>{m[1]}</pre>" if kind < 0.28 else m[0]
+
+    page = re.sub(r"<p>([^<]*)</p>", inner, page)
     extra = [box(pick(SIDE_NAMES), some()) for _ in range(int(rng.integers(0, 5)))]
     extra += [f"<aside><p>{some()}</p></aside>", f"<header><p>{some()}</p></header>", f"<form><p>{some()}</p></form>"][:int(rng.integers(0, 4))]
     for e in extra:

@@ -40,9 +40,9 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def _third(doc_id=F.col("doc_id")):
+def _third():
     """crc32 of the doc_id as text, modulo 3."""
-    return F.crc32(doc_id.cast("string")) % 3
+    return F.crc32(F.col("doc_id").cast("string")) % 3
 
 
 def taught(docs: DataFrame) -> DataFrame:
