@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters stripped from both ends of a text (Unicode white space).
-SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space as answers have it, and stripped from both ends of a text (Unicode white space).
+_S = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{_S}]"
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 
 # The ordered patterns of an answer letter; each counts by its first match only.
-FINAL = r"(?i)final answer is[:\s]*\$?\s*([A-D])"
+FINAL = rf"(?i)final answer is[:{_S}]*\$?{SPACE}*([A-D])"
 WHOLE = r"^([A-Z])\z"
 LEADING = r"^([A-Z])[ .)]"
-KEYWORDS = [r"(?i)answer[:\s]+([A-D])", r"(?i)answer\s+is[:\s]+([A-D])",
-            r"(?i)option[:\s]+([A-D])", r"(?i)choice[:\s]+([A-D])"]
+KEYWORDS = [rf"(?i)answer[:{_S}]+([A-D])", rf"(?i)answer{SPACE}+is[:{_S}]+([A-D])",
+            rf"(?i)option[:{_S}]+([A-D])", rf"(?i)choice[:{_S}]+([A-D])"]
 BRACKETS = [r"\(([A-D])\)", r"\[([A-D])\]"]
 ALONE = rf"(?:^|{_NOT_WORD})([A-D])(?:\z|{_NOT_WORD})"
-SIMPLE = [r"(?i)final answer[:\s]+([A-D])", r"(?i)answer[:\s]+([A-D])", r"(?i)\(([A-D])\)",
-          r"(?im)^([A-D])[.:\s]"]
+SIMPLE = [rf"(?i)final answer[:{_S}]+([A-D])", rf"(?i)answer[:{_S}]+([A-D])", r"(?i)\(([A-D])\)",
+          rf"(?i)(?:^|\n)([A-D])[.:{_S}]"]
 
 
 def strip(c: Column) -> Column:
@@ -57,6 +58,36 @@ def same_answer(letter: Column, choices: Column, truth: Column) -> Column:
     return F.coalesce((letter != "") & (F.lower(strip(picked)) == F.lower(strip(truth))), F.lit(False))
 
 
+def hundredths(x: Column, places: int = 2) -> Column:
+    """x in whole steps of 10^-places, rounded on its exact binary value, ties to the even step.
+
+    The step below comes from a product that may be rounded; whether x lies beyond the
+    middle above it is then decided without rounding: x is split in two halves of its
+    digits, whose products with the step count are exact.
+    """
+    steps = 10 ** places
+    a = F.abs(x)
+    k = F.floor(a * F.lit(float(steps)))
+    wide = a * F.lit(134217729.0)
+    high = wide - (wide - a)
+    beyond = (high * F.lit(2.0 * steps) - (k * 2 + 1).cast("double")) + (a - high) * F.lit(2.0 * steps)
+    up = (beyond > 0) | ((beyond == 0) & (k % 2 == 1))
+    return (k + up.cast("int")) * F.when(x < 0, -1).otherwise(1)
+
+
+def rounded(x: Column, places: int = 2) -> Column:
+    """The double nearest to x rounded to ``places`` digits."""
+    return hundredths(x, places) / F.lit(float(10 ** places))
+
+
+def fixed_places(x: Column, places: int = 2) -> Column:
+    """x with exactly ``places`` digits after the point; a negative number that rounds to zero keeps its sign."""
+    n = F.abs(hundredths(x, places))
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    steps = F.lit(10 ** places)
+    return F.concat(sign, F.floor(n / steps).cast("string"), F.lit("."), F.lpad((n % steps).cast("string"), places, "0"))
+
+
 def plain_number(x: Column) -> Column:
     """A double written the way scene texts write it: shortest digits, exponent only below
     1e-4 or from 1e16 on."""

@@ -61,7 +61,7 @@ def overlap_pairs(points: DataFrame, conf_threshold: float = 0.2, depth_max: flo
     over the pairs are used later, so all pairs are kept; none are sampled away.
     """
     far = F.lit(float(depth_max))
-    p = points.filter((F.col("conf") > conf_threshold) & (g.norm([F.col(c) for c in "xyz"]) < far))
+    p = points.filter((F.col("conf") > conf_threshold) & ~F.isnan("conf") & (g.norm([F.col(c) for c in "xyz"]) < far))
     key = ["video_id", "frame_idx", "v", "u"]
     earlier = p.select(*key, F.col("chunk_id").alias("pair_id"), F.col("conf").alias("_ct"),
                        *[F.col(c).alias(f"t{c}") for c in "xyz"])

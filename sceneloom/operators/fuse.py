@@ -16,6 +16,7 @@ end from the (frame, detection) at which each id was allocated.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,17 +64,23 @@ class EpisodeFold:
     """Ids of one episode, frame by frame, over a few rows per frame.
 
     ``emit`` receives ("alloc", id), ("obs", det_seq, id) and, once an id can no
-    longer change, ("map", id, root, precedence).
+    longer change, ("map", id, root, precedence). An id that has been away for
+    ``patience`` frames is closed and forgotten, so what is held are the live ids
+    and their sightings of the last ``patience`` frames.
     """
 
     def __init__(self, patience: int, gap: int, emit):
-        self.patience, self.gap, self.emit = patience, gap, emit
+        # only a missed frame can archive: an object seen in every frame lives on
+        self.patience, self.gap, self.emit = max(patience, 1), gap, emit
         self.owner: dict = {}     # (run, object) -> id
+        self.owned: dict = {}     # id -> its keys in owner
         self.lives: dict = {}     # id -> Life
+        self.sightings: deque = deque()  # (ordinal, id), oldest first
 
     def frame(self, at: int, frame_idx: int, rows: list) -> None:
         """``rows``: (det_seq, key, score, partner det_seqs) in detection order."""
-        ids = [self._id_of(key, at, frame_idx, det) for det, key, _s, _p in rows]
+        self._expire(at)
+        ids = [self._id_of(key, frame_idx, det) for det, key, _s, _p in rows]
         root = self._unite(frame_idx, rows, ids)
 
         def top(gid):
@@ -81,13 +88,12 @@ class EpisodeFold:
                 gid = root[gid]
             return gid
 
-        moved = False
         for gid in sorted(set(ids)):
-            if top(gid) != gid:
-                self._absorb(top(gid), gid)
-                moved = True
-        if moved:
-            self.owner = {key: top(gid) for key, gid in self.owner.items()}
+            keep = top(gid)
+            if keep != gid:
+                self._absorb(keep, gid)
+                for key in self.owned.pop(gid, ()):
+                    self._own(key, keep)
         best: dict = {}
         for row, gid in zip(rows, ids):
             held = best.get(top(gid))
@@ -96,6 +102,7 @@ class EpisodeFold:
         for gid, row in best.items():
             life = self.lives.setdefault(gid, Life(frame_idx, at, [gid]))
             life.seen, life.at = frame_idx, at
+            self.sightings.append((at, gid))
             self.emit("obs", row[0], gid)
 
     def hold(self, at: int, frame_idx: int, rows: list) -> None:
@@ -103,21 +110,32 @@ class EpisodeFold:
         for key in dict.fromkeys(row[1] for row in rows):
             gid = self.owner[key]
             self.lives[gid].seen, self.lives[gid].at = frame_idx, at
+            self.sightings.append((at, gid))
             self.emit("hold", key, gid)
 
     def fresh_id(self, frame_idx: int, det: int):
         """Ids are named by the detection that first used them, and numbered at the end."""
         return (frame_idx, det)
 
-    def _id_of(self, key, at: int, frame_idx: int, det: int):
+    def _own(self, key, gid) -> None:
+        self.owner[key] = gid
+        self.owned.setdefault(gid, set()).add(key)
+
+    def _expire(self, at: int) -> None:
+        """Close the ids that were last seen more than ``patience`` frames before this one."""
+        while self.sightings and at - self.sightings[0][0] - 1 >= self.patience:
+            seen, gid = self.sightings.popleft()
+            life = self.lives.get(gid)
+            if life is not None and life.at == seen:
+                for key in self.owned.pop(gid, ()):
+                    del self.owner[key]
+                self._close(gid)
+
+    def _id_of(self, key, frame_idx: int, det: int):
         gid = self.owner.get(key)
-        life = self.lives.get(gid)
-        if life is not None and at - life.at - 1 >= self.patience:
-            self._close(gid)
-            self.owner = {k: g for k, g in self.owner.items() if g != gid}
-            gid = None
         if gid is None:
-            gid = self.owner[key] = self.fresh_id(frame_idx, det)
+            gid = self.fresh_id(frame_idx, det)
+            self._own(key, gid)
             self.emit("alloc", gid)
         return gid
 
@@ -230,7 +248,7 @@ _EPISODE = ["video_id", "label", "_ep"]
 
 
 def _stretches(group: DataFrame, gate: DataFrame, bucket: int) -> DataFrame:
-    """Rows of long episodes with the stretch of unchanged frames they belong to.
+    """Rows of episodes with the stretch of unchanged frames they belong to.
 
     A stretch is a run of consecutive frames showing the same tracker objects with
     the same gated pairs. Its first frame may allocate and merge, its second may
@@ -258,17 +276,17 @@ def _stretches(group: DataFrame, gate: DataFrame, bucket: int) -> DataFrame:
 
 
 def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost: int = LOST,
-                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096,
-                long_episode: int = 100_000) -> DataFrame:
+                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096) -> DataFrame:
     """Fused observations: video_id, object_id, frame_idx, det_seq.
 
     ``candidates`` (DET, run_id, local_obj_id, score), ``gated`` from merge_gate,
-    ``frames`` every processed frame, also those without candidates. Episodes of
-    more than ``long_episode`` rows are folded over their changes only.
+    ``frames`` every processed frame, also those without candidates; gated pairs of
+    detections that are no candidates don't count. Episodes are folded over their
+    changes only, since frames that repeat the ones before them change nothing.
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
-    patience = lost + archive
+    patience = max(lost + archive, 1)
     node = F.xxhash64("run_id", "local_obj_id")
     c = candidates.select(*DET, "run_id", "local_obj_id", "score", node.alias("_node"))
     c = c.join(frame_ordinals(frames, bucket), FRAME).checkpoint()
@@ -276,7 +294,11 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
     # components of tracker objects; a hash clash would only join two of them
     nodes = c.select(*FRAME, "det_seq", "_node")
     side = lambda s: nodes.select(*FRAME, F.col("det_seq").alias(f"det_seq_{s}"), F.col("_node").alias(s))
-    gate = gated.select(*FRAME, "det_seq_a", "det_seq_b").checkpoint()
+    there = nodes.select(*DET)
+    gate = gated.select(*FRAME, "det_seq_a", "det_seq_b")
+    for side_name in ("det_seq_a", "det_seq_b"):
+        gate = gate.join(there.withColumnRenamed("det_seq", side_name), [*FRAME, side_name], "left_semi")
+    gate = gate.checkpoint()
     edges = (gate.join(side("a"), [*FRAME, "det_seq_a"]).join(side("b"), [*FRAME, "det_seq_b"])
              .select(F.col("video_id").alias("group"), "a", "b").distinct())
     labels = components(edges).select(F.col("group").alias("video_id"), F.col("node").alias("_node"), "label")
@@ -301,19 +323,13 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
     pairs = gate.select(*FRAME, F.col("det_seq_a").alias("det_seq"), F.col("det_seq_b").alias("p")).unionByName(
         gate.select(*FRAME, F.col("det_seq_b").alias("det_seq"), F.col("det_seq_a").alias("p")))
     partners = pairs.groupBy(*DET).agg(F.collect_list("p").alias("partners"))
-    sizes = group.groupBy(*_EPISODE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > long_episode).drop("_n")
-    steady = None
-    plain = group.select("*", F.lit(None).cast("string").alias("stretch"), F.lit(None).cast("bigint").alias("end_ord"),
-                         F.lit(None).cast("bigint").alias("end_frame"))
-    if sizes.limit(1).count():
-        cut = _stretches(group.join(sizes, _EPISODE, "left_semi"), gate, bucket).checkpoint()
-        repeats = (F.col("_idx") == 1) & (F.col("end_ord") > F.col("ord"))
-        changes = cut.filter("_idx < 2")
-        for c in ("stretch", "end_ord", "end_frame"):
-            changes = changes.withColumn(c, F.when(repeats, F.col(c)))
-        plain = plain.join(sizes, _EPISODE, "left_anti").unionByName(changes.drop("_idx"))
-        steady = cut.filter("_idx > 1").select(*DET, "run_id", "local_obj_id", "score", "stretch")
-    rows = plain.join(partners, DET, "left").select(
+    cut = _stretches(group, gate, bucket).checkpoint()
+    repeats = (F.col("_idx") == 1) & (F.col("end_ord") > F.col("ord"))
+    changes = cut.filter("_idx < 2")
+    for c in ("stretch", "end_ord", "end_frame"):
+        changes = changes.withColumn(c, F.when(repeats, F.col(c)))
+    steady = cut.filter("_idx > 1").select(*DET, "run_id", "local_obj_id", "score", "stretch")
+    rows = changes.join(partners, DET, "left").select(
         *_EPISODE, "ord", "frame_idx", "det_seq", "run_id", "local_obj_id", "score", "partners",
         "stretch", "end_ord", "end_frame")
     rows = rows.repartition("video_id", "label", "_ep").sortWithinPartitions(
@@ -322,12 +338,11 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
 
     ids = folded.filter("kind = 'map'")
     seen = folded.filter("kind = 'obs'").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det")
-    if steady is not None:
-        held = folded.filter("kind = 'hold'").select("stretch", "run_id", "local_obj_id", "gid_frame", "gid_det")
-        best = Window.partitionBy(*FRAME, "gid_frame", "gid_det").orderBy(F.desc("score"), "det_seq")
-        seen = seen.unionByName(
-            steady.join(held, ["stretch", "run_id", "local_obj_id"]).withColumn("_rn", F.row_number().over(best))
-            .filter("_rn = 1").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det"))
+    held = folded.filter("kind = 'hold'").select("stretch", "run_id", "local_obj_id", "gid_frame", "gid_det")
+    best = Window.partitionBy(*FRAME, "gid_frame", "gid_det").orderBy(F.desc("score"), "det_seq")
+    seen = seen.unionByName(
+        steady.join(held, ["stretch", "run_id", "local_obj_id"]).withColumn("_rn", F.row_number().over(best))
+        .filter("_rn = 1").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det"))
     seen = (seen.join(ids.select("video_id", "gid_frame", "gid_det", "root_frame", "root_det", "precedence"),
                   ["video_id", "gid_frame", "gid_det"]))
     first_wins = Window.partitionBy("video_id", "root_frame", "root_det", "frame_idx").orderBy("precedence")

@@ -28,9 +28,9 @@ def ego_track(frames: DataFrame) -> DataFrame:
 
 
 def _valid(d, conf, threshold: float):
-    """Finite, positive and trusted; a missing confidence counts as 1."""
-    return (~F.isnan(d) & (d > 0) & (d < float("inf"))
-            & (F.coalesce(conf, F.lit(1.0).cast("float")) >= F.lit(threshold).cast("float")))
+    """Finite, positive and trusted; a missing confidence counts as 1, one that is no number as none."""
+    c = F.coalesce(conf, F.lit(1.0).cast("float"))
+    return ~F.isnan(d) & (d > 0) & (d < float("inf")) & ~F.isnan(c) & (c >= F.lit(threshold).cast("float"))
 
 
 def masked_pixels(spans: DataFrame, depth_rows: DataFrame, conf_thresh: float = CONF_THRESH,
@@ -48,22 +48,38 @@ def masked_pixels(spans: DataFrame, depth_rows: DataFrame, conf_thresh: float =
             .filter(_valid(F.col("d"), F.col("_c"), conf_thresh)).drop("_c"))
 
 
-def raster_pixels(depth_rows: DataFrame) -> DataFrame:
-    """Every pixel of every line, invalid ones included."""
-    return depth_rows.select(*FRAME, "v", "conf", F.posexplode("depth").alias("u", "d")).select(
-        *FRAME, "v", "u", "d", F.coalesce(F.col("conf")[F.col("u")], F.lit(1.0).cast("float")).alias("conf"))
+def raster_pixels(depth_rows: DataFrame, *more: str) -> DataFrame:
+    """Every pixel of every line, invalid ones included, with ``more`` columns of the line."""
+    return depth_rows.select(*FRAME, *more, "v", "conf", F.posexplode("depth").alias("u", "d")).select(
+        *FRAME, *more, "v", "u", "d", F.coalesce(F.col("conf")[F.col("u")], F.lit(1.0).cast("float")).alias("conf"))
 
 
-def backproject(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """World position of depth pixels; joins the camera of each frame."""
+def _lifted(pixels: DataFrame) -> DataFrame:
+    """World positions of pixels (u, v, d) that already carry their frame's ray."""
     p = g.lift(*[F.col(c).cast("double") for c in ("u", "v", "d")], F.col("ray"))
-    return pixels.join(cameras(frames).drop("is_metric"), FRAME).select(
-        *pixels.columns, *[c.alias(n) for c, n in zip(p, ("x", "y", "z"))])
+    return pixels.select(*[c for c in pixels.columns if c != "ray"], *[c.alias(n) for c, n in zip(p, ("x", "y", "z"))])
+
+
+def backproject(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """World position of depth pixels that exist as rows; joins the camera of each frame.
+
+    Where pixels still lie in lines, ``backproject_masked`` and ``backproject_frame`` give
+    the camera to the lines first, so that no pixel row is shuffled.
+    """
+    return _lifted(pixels.join(cameras(frames).drop("is_metric"), FRAME).select(*pixels.columns, "ray"))
+
+
+def backproject_masked(spans: DataFrame, depth_rows: DataFrame, frames: DataFrame, conf_thresh: float = CONF_THRESH,
+                       keys: list[str] = DET) -> DataFrame:
+    """World positions of the valid depth pixels under each mask; the camera rides on the runs."""
+    cam = cameras(frames).drop("is_metric")
+    return _lifted(masked_pixels(spans.join(cam, FRAME), depth_rows, conf_thresh, [*keys, "ray"]))
 
 
 def backproject_frame(depth_rows: DataFrame, frames: DataFrame) -> DataFrame:
-    """The whole raster lifted to the world, no mask and no filter."""
-    return backproject(raster_pixels(depth_rows), frames)
+    """The whole raster lifted to the world, no mask and no filter; the camera rides on the lines."""
+    lines = depth_rows.join(cameras(frames).drop("is_metric"), FRAME)
+    return _lifted(raster_pixels(lines, "ray"))
 
 
 def point_moments(points: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
@@ -83,7 +99,7 @@ def point_moments(points: DataFrame, keys: list[str], exact: bool = False) -> Da
     out = [*keys, "n_points"]
     for a in "xyz":
         out += [fixed_mean(F.col(f"_s{a}"), n).alias(f"c{a}"),
-                fixed_std(n, F.col(f"_s{a}"), F.col(f"_s{a}_hi"), F.col(f"_s{a}_lo")).alias(f"{a}_sigma"),
+                fixed_std(n, F.col(f"_s{a}"), f"_s{a}").alias(f"{a}_sigma"),
                 f"{a}_min", f"{a}_max"]
     return q.groupBy(*keys).agg(*aggs).select(*out)
 

@@ -36,8 +36,14 @@ def rescale_intrinsics(frames: DataFrame, method: str = "upper_bound_resize", pr
     return frames.withColumn("k", out)
 
 
+def _trusted() -> Column:
+    """The confidence line; a missing one trusts every pixel."""
+    return F.coalesce("conf", F.transform("depth", lambda _: F.lit(1.0).cast("float")))
+
+
 def pad_raster(rows: DataFrame, top: int, bottom: int, left: int, right: int, height: int) -> DataFrame:
     """Undo a crop: depth repeats its border, confidence is 0 outside."""
+    rows = rows.withColumn("conf", _trusted())
     d, c = F.col("depth"), F.col("conf")
     wide = rows.withColumn("depth", F.concat(F.array_repeat(d[0], left), d, F.array_repeat(F.element_at(d, -1), right)))
     zero = F.lit(0.0).cast("float")
@@ -61,6 +67,8 @@ def resample_raster(rows: DataFrame, src: tuple[int, int], dst: tuple[int, int],
     size, broadcast), and whole lines are joined; pixels meet inside the arrays.
     """
     (h, w), (big_h, big_w) = src, dst
+    if "conf" in columns:
+        rows = rows.withColumn("conf", _trusted())
     spark = rows.sparkSession
     u = F.sequence(F.lit(0), F.lit(big_w - 1))
     out = spark.range(big_h).select(F.col("id").cast("int").alias("out_v"))

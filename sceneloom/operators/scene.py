@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.functions.text import plain_list, plain_number
+from sceneloom.functions.text import fixed_places, plain_list, plain_number, rounded
 from sceneloom.operators.lift import ego_track
 from sceneloom.operators.masks import top_tau
 from sceneloom.operators.tracks import WINDOW, track_window
@@ -143,7 +143,7 @@ def _step_line() -> Column:
     num = lambda c: plain_number(c)
     tau = F.concat(F.lit("["), F.array_join(F.transform(s["tau"], lambda p: F.concat(
         F.lit("("), p["row"].cast("string"), F.lit(", "), p["col"].cast("string"), F.lit(", "),
-        num(F.bround(p["iou"], 2)), F.lit(")"))), ", "), F.lit("]"))
+        num(rounded(p["iou"])), F.lit(")"))), ", "), F.lit("]"))
     axis = lambda a: F.concat(F.lit(f'"{a}": {{'), F.concat_ws(", ", *[
         F.concat(F.lit(f'"{m}": '), num(s["s"][a][m])) for m in ("mu", "sigma", "min", "max")]), F.lit("}"))
     return F.concat(F.lit("  t="), s["t"].cast("string"), F.lit(": tau="), tau,
@@ -177,7 +177,7 @@ def scene_summary_parts(ego: DataFrame, steps: DataFrame, edges: DataFrame, last
     """A short human form: positions to two decimals, the last observations, the last frame's edges."""
     zero = F.lit(0)
     videos = ego.select("video_id").distinct()
-    two = lambda c: F.format_string("%.2f", c)
+    two = fixed_places
     n = steps.groupBy("video_id").agg(F.countDistinct("object_id").alias("_n"))
     count = F.concat(F.lit("\nObjects ("), F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" tracked):"))
     tail = track_window(steps, last)
@@ -190,7 +190,8 @@ def scene_summary_parts(ego: DataFrame, steps: DataFrame, edges: DataFrame, last
     end = edges.groupBy("video_id").agg(F.max("frame_idx").alias("frame_idx"))
     from sceneloom.operators.relations import top_k_edges
     shown = top_k_edges(edges.join(end, FRAME, "left_semi"), max_edges)
-    edge_line = F.concat(F.format_string("  Object %d is %s of Object %d (%.1fm)", "src", "relation", "dst", "dist"))
+    edge_line = F.concat(F.format_string("  Object %d is %s of Object %d (", "src", "relation", "dst"),
+                         fixed_places(F.col("dist"), 1), F.lit("m)"))
     return (_part(videos, 0, zero, zero, F.lit("=== 4D Scene Graph ===\n\nEgo Agent Trajectory:"))
             .unionByName(_part(ego, 1, F.col("frame_idx"), zero, F.concat(
                 F.lit("  Frame "), F.col("frame_idx").cast("string"), F.lit(": position=("),

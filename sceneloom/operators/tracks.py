@@ -22,13 +22,13 @@ def frame_ordinals(frames: DataFrame, bucket: int = 4096) -> DataFrame:
 
 def track_segments(obs: DataFrame, frames: DataFrame, lost: int = LOST, archive: int = ARCHIVE,
                    keys: list[str] | None = None, bucket: int = 4096) -> DataFrame:
-    """Adds ``ord`` and ``segment``: a new life after lost+archive missed frames.
+    """Adds ``ord`` and ``segment``: a new life after lost+archive missed frames, one at least.
 
     Frames are counted as processed, not by their index, which may be strided.
     """
     keys = keys or ["video_id", "local_obj_id"]
     d = obs.join(frame_ordinals(frames, bucket), FRAME)
-    return gap_segments(d, keys, "ord", lost + archive, name="segment", bucket=bucket)
+    return gap_segments(d, keys, "ord", max(lost + archive, 1), name="segment", bucket=bucket)
 
 
 def track_status(segments: DataFrame, frames: DataFrame, lost: int = LOST, archive: int = ARCHIVE,
@@ -41,8 +41,8 @@ def track_status(segments: DataFrame, frames: DataFrame, lost: int = LOST, archi
     missed = F.col("_n") - 1 - F.col("_last")
     return (last.join(n, "video_id")
             .withColumn("missing_streak", missed)
-            .withColumn("status", F.when(missed >= lost + archive, "archived")
-                        .when(missed >= lost, "lost").otherwise("active"))
+            .withColumn("status", F.when(missed >= max(lost + archive, 1), "archived")
+                        .when(missed >= max(lost, 1), "lost").otherwise("active"))
             .drop("_n", "_last"))
 
 

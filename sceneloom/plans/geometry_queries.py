@@ -187,12 +187,12 @@ def backproject_frame(v):
     where ((u * 31 + v * 17 + frame_idx) % 100) >= 50 group by all""",
        turns=_TURNS, inv=_INV, raster=_RASTER, points3=_POINTS)
 def backproject(v):
-    return _point_sums(L.backproject(L.masked_pixels(v.spans, v.depth_rows), v.turning_frames), DET)
+    return _point_sums(L.backproject_masked(v.spans, v.depth_rows, v.turning_frames), DET)
 
 
 @query("centroid_shape", "select video_id, frame_idx, det_seq, n_points, cx, cy, cz, x_sigma, y_sigma, z_sigma from moments")
 def centroid_shape(v):
-    pts = L.backproject(L.masked_pixels(v.spans, v.depth_rows), v.frames)
+    pts = L.backproject_masked(v.spans, v.depth_rows, v.frames)
     return L.point_moments(pts, DET, exact=True).select(*DET, "n_points", "cx", "cy", "cz", "x_sigma", "y_sigma", "z_sigma")
 
 

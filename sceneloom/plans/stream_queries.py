@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sceneloom.plans.registry import query
-from sceneloom.plans.track_queries import _SEEN, _SEGS, _SINGLE, ARCHIVE, LOST, fusion_inputs, seen
+from sceneloom.plans.track_queries import (
+    _SEEN, _SEGS, _SINGLE, _WHOLE, ARCHIVE, FOREVER, LOST, WHOLE_PARTS, fusion_inputs, seen, whole_objects)
 from sceneloom.session import ensure_checkpoint_dir
 from sceneloom.sources.readers import stream_observations
 from sceneloom.streaming import live
@@ -32,7 +33,7 @@ def rolling_scene(v):
     return d.withColumn("window_start", F.unix_seconds("window_start"))
 
 
-def _streamed(v, cands, gated):
+def _streamed(v, cands, gated, lost=LOST, archive=ARCHIVE, gap=2):
     """Frames written in three parts of forty frames each, then streamed in that order."""
     base = f"{ensure_checkpoint_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     rows = v.settle(live.frame_rows(cands, gated, v.frames))
@@ -41,7 +42,7 @@ def _streamed(v, cands, gated):
         (rows.filter(F.expr(f"frame_idx div 40 = {part}")).repartition("video_id")
          .write.mode("append").parquet(f"{base}/in"))
     stream = stream_observations(v.spark, f"{base}/in", rows.schema, files_per_trigger=8)
-    live.run_to_end(live.stream_scene(stream, LOST, ARCHIVE), f"{base}/out", f"{base}/state")
+    live.run_to_end(live.stream_scene(stream, lost, archive, gap), f"{base}/out", f"{base}/state")
     out = v.spark.read.parquet(f"{base}/out")
     return live.relabel(out.filter("kind = 'obs'"), out.filter("kind = 'alias'"))
 
@@ -53,6 +54,12 @@ def stream_scene(v):
     return _streamed(v, cands, gated)
 
 
+@query("stream_scene_no_archive", _WHOLE, **WHOLE_PARTS)
+def stream_scene_no_archive(v):
+    _, cands, gated = fusion_inputs(v)
+    return whole_objects(_streamed(v, cands, gated, FOREVER, FOREVER, FOREVER))
+
+
 @query("stream_scene_single_run", """select video_id, frame_idx, det_seq, object_id from (
     select *, dense_rank() over (partition by video_id order by born_frame, born) - 1 as object_id from single)
     where rn = 1""", single=_SINGLE)

@@ -125,6 +125,36 @@ def fused(v):
     return Fu.fuse_tracks(cands, gated, v.frames, LOST, ARCHIVE), states
 
 
+# With a patience and a gap longer than any video nothing is archived and every gated pair
+# merges: the objects are then the connected components of the tracker objects.
+FOREVER = 1000
+_WHOLE = """select video_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame,
+        string_agg(distinct frame_idx, ',' order by frame_idx) as frames
+    from cand join part using (video_id, k) group by video_id, label"""
+WHOLE_PARTS = {
+    "gated": _GATED,
+    "cand": """select b.video_id, b.frame_idx, b.det_seq, b.run_id || '/' || b.local_obj_id as k
+        from best b join obs o using (video_id, frame_idx, det_seq)""",
+    "met": """select distinct x.video_id, x.k as p, y.k as q from gated g join cand x on x.det_seq = g.a join cand y on y.det_seq = g.b
+        where g.centroid_dist < 2e0""",
+    "linked": "select video_id, p, q from met union select video_id, q, p from met",
+    "reach": "select distinct video_id, k, k as other from cand union select r.video_id, r.k, l.q from reach r join linked l on l.video_id = r.video_id and l.p = r.other",
+    "part": "select video_id, k, min(other) as label from reach group by all",
+}
+
+
+def whole_objects(fused_rows):
+    return fused_rows.groupBy("video_id", "object_id").agg(
+        F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"),
+        F.array_join(F.array_sort(F.collect_set("frame_idx")), ",").alias("frames")).drop("object_id")
+
+
+@query("fuse_tracks_no_archive", _WHOLE, **WHOLE_PARTS)
+def fuse_tracks_no_archive(v):
+    _, cands, gated = fusion_inputs(v)
+    return whole_objects(Fu.fuse_tracks(cands, gated, v.frames, FOREVER, FOREVER, gap=FOREVER))
+
+
 @query("fuse_tracks")
 def fuse_tracks(v):
     return fused(v)[0]

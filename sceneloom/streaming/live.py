@@ -54,11 +54,12 @@ class SceneState(StatefulProcessor):
 
     Observations leave with the id they have when they are made; a later merge leaves
     an ``alias`` row (object_id absorbed other_id). Nothing already emitted is kept,
-    so the state is the live objects. Repeated or late frames are ignored.
+    so the state is the live objects. A frame that is not after the last one leaves a
+    ``late`` row and changes nothing.
     """
 
     def __init__(self, lost: int = LOST, archive: int = ARCHIVE, gap: int = 2):
-        self.patience, self.gap = lost + archive, gap
+        self.patience, self.gap = max(lost + archive, 1), gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.owners = handle.getMapState("owners", "run_id string, obj long", "gid long")
@@ -77,11 +78,12 @@ class SceneState(StatefulProcessor):
                 out.append(("obs", video, frame_idx, what[0], what[1], None))
 
         fold = _LiveFold(self.patience, self.gap, emit, next_id)
-        fold.owner = {(k[0], k[1]): v[0] for k, v in self.owners.iterator()}
-        fold.lives = {k[0]: Life(v[0], v[1], []) for k, v in self.lives.iterator()}
+        fold.load({(k[0], k[1]): v[0] for k, v in self.owners.iterator()},
+                  {k[0]: Life(v[0], v[1], []) for k, v in self.lives.iterator()})
         owners, lives = dict(fold.owner), {g: (x.seen, x.at) for g, x in fold.lives.items()}
         for f in frames.itertuples(index=False):
             if f.frame_idx <= last:
+                out.append(("late", video, int(f.frame_idx), None, None, None))
                 continue
             last = frame_idx = int(f.frame_idx)
             dets = sorted(f.dets if f.dets is not None else [], key=lambda d: d["det_seq"])
@@ -90,8 +92,7 @@ class SceneState(StatefulProcessor):
                  tuple(d["mates"]) if d["mates"] is not None else ()) for d in dets])
             out += [("alias", video, frame_idx, None, keep, drop) for keep, drop in fold.drain()]
             count += 1
-        for gid in [g for g, x in fold.lives.items() if count - 1 - x.at >= self.patience]:
-            fold.forget(gid)
+        fold.expire(count)
         self._save(fold, owners, lives)
         self.clock.update((count, last, fold.next_id))
         table = pd.DataFrame(out, columns=["kind", "video_id", "frame_idx", "det_seq", "object_id", "other_id"],
@@ -137,10 +138,16 @@ class _LiveFold(EpisodeFold):
     def _close(self, gid) -> None:
         self.lives.pop(gid)
 
-    def forget(self, gid) -> None:
-        """An archived id can never be seen again; its owners start anew when they return."""
-        self.lives.pop(gid)
-        self.owner = {k: g for k, g in self.owner.items() if g != gid}
+    def load(self, owner: dict, lives: dict) -> None:
+        """Go on from a saved state."""
+        for key, gid in owner.items():
+            self._own(key, gid)
+        self.lives = lives
+        self.sightings.extend(sorted((x.at, gid) for gid, x in lives.items()))
+
+    def expire(self, at: int) -> None:
+        """Forget what can't be seen again in frame ``at`` or later."""
+        self._expire(at)
 
     def drain(self) -> list:
         log, self.log = self.log, []

@@ -105,3 +105,23 @@ def test_question_and_prediction_files(spark, tmp_path):
 def test_numbers_in_scene_texts(spark, x, s):
     assert repr(x) == s
     assert spark.createDataFrame([(x,)], "x double").select(Tx.plain_number(F.col("x")).alias("s")).first().s == s
+
+
+def test_rounding_on_the_binary_value(spark):
+    """Ties and near ties come out as correct rounding of the stored double has them."""
+    from sceneloom.functions.text import fixed_places, rounded
+    values = [0.525, 0.575, 0.125, 0.375, 0.625, 2.675, 1.005, 0.285, 0.565, 0.57, 0.29, -0.001, -0.0, 0.0, -2.5, 1234.565, 99999.995, -0.375,
+              0.005, 0.015, 0.995, 1.115, 4.35, 1e-12, 123456.785] + [k / 1000 for k in range(0, 1200)] + [k / 16 for k in range(-80, 80)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", rounded(F.col("x")).alias("r"), fixed_places(F.col("x")).alias("t"), fixed_places(F.col("x"), 1).alias("o")).collect():
+        assert (r.r, r.t, r.o) == (round(r.x, 2), f"{r.x:.2f}", f"{r.x:.1f}"), r.x
+
+
+def test_answers_know_unicode_spaces_and_line_ends(spark):
+    choices = F.create_map(*[F.lit(x) for kv in zip("ABCD", ("left", "right", "forward", "no way")) for x in kv])
+    rows = [("final answer is\u00a0B", "B", None), ("answer\u2003is:\u3000C", "C", None), ("option:\u2028D", "D", None),
+            ("Had it\rC. yes", None, "A"), ("Had it\u2028C. yes", None, "A"), ("Had it\nC. yes", None, "C"), ("B\u00a0then", None, "B")]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string")
+    got = df.select("t", Tx.answer_letter(F.col("t"), choices).alias("a"), Tx.answer_letter_simple(F.col("t")).alias("b")).collect()
+    for r, (_, a, b) in zip(got, rows):
+        assert (a is None or r.a == a) and (b is None or r.b == b), r

@@ -110,8 +110,8 @@ def test_fusion_equals_model(spark, world, lost, archive, gap):
     assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("limit", [0, 40])
-def test_long_episodes_fold_their_changes_only(spark, limit):
+@pytest.mark.parametrize("limit", [5, 4096])
+def test_episodes_fold_their_changes_only(spark, limit):
     """Histories with long unchanged stretches: the same result from fewer folded rows."""
     world = {}
     for v in range(12):
@@ -127,7 +127,7 @@ def test_long_episodes_fold_their_changes_only(spark, limit):
                            {frozenset(name[d] for d in pair) for pair in gate}))
             det += len(dets)
         world[v] = frames
-    got = fuse_tracks(*tables(spark, world), lost=1, archive=2, long_episode=limit, bucket=5).collect()
+    got = fuse_tracks(*tables(spark, world), lost=1, archive=2, bucket=limit).collect()
     want = [(v, *row) for v, hist in world.items() for row in model(hist, 3, 2)]
     assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
 
@@ -169,3 +169,27 @@ def test_archived_object_gets_a_new_id(spark):
     hist = {0: [(t, [(t, (0, 0), 0.9)] if t in (0, 4) else [], set()) for t in range(5)]}
     got = sorted((r.frame_idx, r.object_id) for r in fuse_tracks(*tables(spark, hist), lost=1, archive=1).collect())
     assert got == [(0, 0), (4, 1)]
+
+
+def test_fold_forgets_what_is_away():
+    """Two new objects each frame for 5,000 frames: only those within reach are held."""
+    from sceneloom.operators.fuse import EpisodeFold
+    closed = []
+    fold = EpisodeFold(2, 2, lambda kind, *what: closed.append(what[0]) if kind == "map" else None)
+    most = 0
+    for t in range(5000):
+        rows = [(2 * t + k, ("r", 2 * t + k), 0.5, (2 * t + 1 - k,) if t % 3 == 0 else ()) for k in (0, 1)]
+        fold.frame(t, t, rows)
+        most = max(most, len(fold.lives), len(fold.owner), len(fold.owned), len(fold.sightings))
+    fold.finish()
+    assert most <= 8 and len(closed) == 5000 * 2 - 1667
+
+
+def test_gate_of_no_candidate_and_no_patience(spark):
+    """Pairs with detections that are no candidates are left out; an object seen in every frame keeps its id at lost+archive = 0."""
+    c = spark.createDataFrame([(1, t, 10 * t + k, r, 5, 0.5) for t in range(6) for k, r in enumerate("ab") if (t, r) != (3, "b")],
+                              "video_id long, frame_idx long, det_seq long, run_id string, local_obj_id long, score double")
+    gate = spark.createDataFrame([(1, t, 10 * t, 10 * t + 1) for t in (2, 3)], "video_id long, frame_idx long, det_seq_a long, det_seq_b long")
+    frames = spark.createDataFrame([(1, t) for t in range(6)], "video_id long, frame_idx long")
+    got = fuse_tracks(c, gate, frames, lost=0, archive=0).collect()
+    assert sorted((r.object_id, r.frame_idx) for r in got) == [(0, t) for t in range(6)]

@@ -210,3 +210,27 @@ def test_chain_of_similarities(spark):
     s1, r1, t1 = sims[1][2:]
     r, r1 = np.array(r).reshape(3, 3), np.array(r1).reshape(3, 3)
     assert one[2].t == pytest.approx(list(s * (r @ np.array(t1)) + np.array(t)))
+
+
+def test_untrusted_and_missing_confidence(spark):
+    """NaN is no trust, null is full trust; padding and resampling keep that."""
+    from sceneloom.operators.raster import pad_raster, resample_raster
+    nan = float("nan")
+    rows = spark.createDataFrame([(0, 0, 0, [1.0, 2.0], [nan, 0.9]), (0, 0, 1, [1.0, 2.0], None)],
+                                 "video_id long, frame_idx long, v int, depth array<float>, conf array<float>")
+    runs = rect(spark, 0, 2, 0, 2, 1, 7)
+    assert sorted((r.v, r.u) for r in L.masked_pixels(runs, rows).collect()) == [(0, 1), (1, 0), (1, 1)]
+    padded = {r.v: r.conf for r in pad_raster(rows, 0, 1, 1, 0, 2).collect()}
+    assert padded[1] == [0.0, 1.0, 1.0] and padded[2] == [0.0, 0.0, 0.0]
+    assert [r.conf for r in resample_raster(rows.filter("v = 1").withColumn("v", F.lit(0)), (1, 2), (1, 4)).collect()] == [[1.0] * 4]
+
+
+def test_exact_moments_of_far_pixels(spark):
+    """A pixel a thousand kilometres away is measured, not an overflow; depth beyond all bounds counts as very far."""
+    import numpy as np
+    pts = spark.createDataFrame([(1, x, y, 5.0) for x, y in ((0.25, 1e6), (1.5, -1e6), (-3.0, 12.0), (2e5, 7.5))] + [(2, 1e30, 0.0, 1.0)],
+                                "k int, x double, y double, z double")
+    got = {r.k: r for r in L.point_moments(pts, ["k"], exact=True).collect()}
+    xs, ys = np.array([0.25, 1.5, -3.0, 2e5]), np.array([1e6, -1e6, 12.0, 7.5])
+    assert np.isclose(got[1].x_sigma, xs.std(), rtol=1e-12) and np.isclose(got[1].y_sigma, ys.std(), rtol=1e-12)
+    assert got[1].z_sigma == 0 and got[2].x_max == 1e30 and got[2].x_sigma == 0
