@@ -90,12 +90,12 @@ def patch_tokens_remainder(v):
     return c.withColumn("row", F.col("row").cast("bigint")).withColumn("col", F.col("col").cast("bigint"))
 
 
-@query("top_tau", """select video_id, frame_idx, det_seq, string_agg(row || ':' || col, ' ' order by iou desc, row, col)
-    as tau from (select *, row_number() over (partition by det_seq order by iou desc, row, col) as rn,
+@query("top_tau", """select video_id, frame_idx, det_seq, string_agg(row || ':' || col, ' '
+        order by case when n > 3 then -iou else 0 end, row, col) as tau from (select *, row_number() over (partition by det_seq order by iou desc, row, col) as rn,
         count(*) over (partition by det_seq) as n from cells7 where iou > 25e-2)
-    where n > 3 and rn <= 3 group by all""", cells7=_CELLS7)
+    where n <= 3 or rn <= 3 group by all""", cells7=_CELLS7)
 def top_tau(v):
-    t = M.patch_tokens(v.spans, grid=7, threshold=0.25).filter(F.size("tau") > 3)
+    t = M.patch_tokens(v.spans, grid=7, threshold=0.25)
     best = M.top_tau(F.col("tau"), 3)
     return t.select(*DET, F.array_join(F.transform(best, lambda p: F.concat_ws(
         ":", p["row"].cast("string"), p["col"].cast("string"))), " ").alias("tau"))

@@ -8,23 +8,28 @@ from sceneloom.operators import quality as Q
 from sceneloom.plans.registry import query
 from sceneloom.schema import FRAME
 
-_PER = """select f.video_id, f.frame_idx, count(d.det_seq) as n from frames f
-    left join (select * from dets where local_obj_id % 15 < 4) d using (video_id, frame_idx) group by all"""
+# every tracked object for itself: its sightings in all frames of its video
+_PER = """select f.local_obj_id as video_id, f.frame_idx, count(d.det_seq) as n
+    from (select distinct d.local_obj_id, f.frame_idx from dets d join frames f using (video_id)) f
+    left join dets d using (local_obj_id, frame_idx) group by all"""
 
 
-def _few(v):
-    return v.detections.filter("local_obj_id % 15 < 4")
+def by_object(v):
+    """Detections and frames with each object in the place of a video."""
+    own = v.detections.select("local_obj_id", "video_id").distinct()
+    frames = v.frames.join(own, "video_id").select(F.col("local_obj_id").alias("video_id"), "frame_idx")
+    return v.detections.withColumn("video_id", F.col("local_obj_id")), frames
 
 
 @query("detection_stats", """select video_id, count(*) as frames, count_if(n > 0)::bigint as frames_with, sum(n)::bigint as total,
     max(n) as most, sum(n) / count(*) as mean from per group by all""", per=_PER)
 def detection_stats(v):
-    return Q.detection_stats(_few(v), v.frames)
+    return Q.detection_stats(*by_object(v))
 
 
 @query("empty_rate", "select video_id, count_if(n = 0) / count(*) as empty_rate from per group by all", per=_PER)
 def empty_rate(v):
-    return Q.empty_rate(_few(v), v.frames)
+    return Q.empty_rate(*by_object(v))
 
 
 @query("latency_stats", """select event_type, count(*) as n, quantile_cont(value, 5e-1) as median_ms,

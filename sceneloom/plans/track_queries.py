@@ -293,19 +293,23 @@ def objects_at(v):
 
 # ---- runs of empty frames, classes, switches
 
-_COUNTS = """select f.video_id, f.frame_idx, count(d.det_seq) as n_masks, count(b.det_seq) as n_dets
-    from frames f left join (select * from dets where local_obj_id % 15 = 3) d using (video_id, frame_idx)
-    left join (select * from dets where run_id = 'error') b using (video_id, frame_idx) group by all"""
+_COUNTS = """select f.local_obj_id as video_id, f.frame_idx, count(d.det_seq) as n_masks, any_value(coalesce(e.n, 0)) as n_dets
+    from (select distinct d.local_obj_id, f.frame_idx, f.video_id as v from dets d join frames f using (video_id)) f
+    left join dets d using (local_obj_id, frame_idx)
+    left join (select video_id as v, frame_idx, count(*) as n from dets where run_id = 'error' group by all) e using (v, frame_idx) group by all"""
 _STREAKS = """select *, case when n_masks > 0 then 0 else frame_idx - coalesce(max(case when n_masks > 0 then frame_idx end)
     over (partition by video_id order by frame_idx), -1) end as streak from counts"""
 
 
 def streaks(v):
-    """Masks of one object per video, detections of one kind."""
-    frames = T.frame_ordinals(v.frames)
-    masks = Q.masks_per_frame(v.detections.filter("local_obj_id % 15 = 3"), v.frames)
-    dets = Q.masks_per_frame(v.detections.filter("run_id = 'error'"), v.frames, "n_dets")
-    return T.empty_streaks(frames.join(masks, FRAME).join(dets, FRAME))
+    """Masks of every object in the frames of its video, and the video's detections of one kind."""
+    from sceneloom.plans.quality_queries import by_object
+    found, shown = by_object(v)
+    masks = Q.masks_per_frame(found, shown)
+    errors = v.detections.filter("run_id = 'error'").join(
+        found.select(F.col("video_id").alias("_o"), F.expr("video_id div 15").alias("video_id")).distinct(), "video_id")
+    dets = Q.masks_per_frame(errors.withColumn("video_id", F.col("_o")), shown, "n_dets")
+    return T.empty_streaks(T.frame_ordinals(shown).join(masks, FRAME).join(dets, FRAME))
 
 
 @query("empty_streaks", """select video_id, frame_idx, streak, (streak >= 1)::int + (streak >= 5)::int + (streak >= 10)::int
@@ -320,18 +324,28 @@ def reanchor_dense(v):
     return T.reanchors(streaks(v).withColumn("n_dets", F.lit(1)), 3).select(*FRAME, "streak")
 
 
-@query("reanchor_sparse")
+# the next prompt after each place of an empty run, then the walk over them from the run's start
+_PROMPTS = {
+    "shown": "select video_id, frame_idx - streak as run, streak, frame_idx from streaks where streak > 0 and n_dets > 0",
+    "places": "select video_id, run, streak from shown union select video_id, run, 0 from shown",
+    "leaps": "select p.video_id, p.run, p.streak, min(s.streak) as reached from places p join shown s on s.video_id = p.video_id and s.run = p.run and s.streak >= p.streak + 3 group by all",
+    "walked": "select distinct video_id, run, 0 as streak from shown union all select w.video_id, w.run, l.reached from walked w join leaps l on l.video_id = w.video_id and l.run = w.run and l.streak = w.streak",
+}
+
+
+@query("reanchor_sparse", "select s.video_id, s.frame_idx, s.streak from shown s join walked w using (video_id, run, streak)",
+       counts=_COUNTS, streaks=_STREAKS, **_PROMPTS)
 def reanchor_sparse(v):
     return T.reanchors(streaks(v), 3).select(*FRAME, "streak")
 
 
-_CLASSES = """select video_id, run_id as class_name, min(frame_idx) as frame_idx from dets where score > 7e-1 group by all"""
+_CLASSES = """select video_id, run_id as class_name, min(frame_idx) as frame_idx from dets group by all"""
 
 
 @query("cumulative_classes", """select f.video_id, f.frame_idx, coalesce(string_agg(c.class_name, ',' order by c.class_name), '') as classes
     from frames f left join firsts c on c.video_id = f.video_id and c.frame_idx <= f.frame_idx group by all""", firsts=_CLASSES)
 def cumulative_classes(v):
-    d = T.cumulative_classes(pixel_boxes(v).filter("score > 7e-1"), v.frames)
+    d = T.cumulative_classes(pixel_boxes(v), v.frames)
     return d.select(*FRAME, F.array_join("classes", ",").alias("classes"))
 
 
