@@ -195,13 +195,18 @@ def single_run_scene(v, window: int = 4):
     return obs, meta, ego, v.settle(steps)
 
 
+def whole_scene(v):
+    """The scene of all runs, nothing archived, so that SQL knows its objects."""
+    from sceneloom.operators.build import build_scene
+    return build_scene(v.frames, v.depth_rows, v.spans, v.boxes_raw.select(*DET, "run_id", "local_obj_id", "score"), min_points=30,
+                       gap=FOREVER, lost=FOREVER, archive=FOREVER, window=4, exact=True)
+
+
 @query("scene_metadata", """select f.video_id, '16x16' as grid, count(distinct f.frame_idx) as num_frames,
-    count(distinct t.object_id) as num_tracks from frames f left join tracks t using (video_id) group by all""",
-       single=_SINGLE, tracks=_TRACKS)
+    count(distinct p.label) as num_tracks from frames f
+    left join (select distinct video_id, label from cand join part using (video_id, k)) p using (video_id) group by all""", **WHOLE_PARTS)
 def scene_metadata(v):
-    c = v.detections.filter("run_id = 'click'")
-    none = v.spark.createDataFrame([], "video_id long, frame_idx long, det_seq_a long, det_seq_b long")
-    return Sc.scene_metadata(Fu.fuse_tracks(c, none, v.frames, LOST, ARCHIVE), v.frames)
+    return whole_scene(v).metadata
 
 
 def _flat(step):
@@ -217,12 +222,13 @@ _FLAT = """select video_id, object_id, frame_idx as t, tau, t_start, t_end, cx,
     cy, cy as y_mu, y_sigma, y_min, y_max, cz, cz as z_mu, z_sigma, z_min, z_max from steps"""
 
 
-@query("ordered_scene", """select video_id, object_id, string_agg(frame_idx, ',' order by frame_idx) as frames,
-    count(*) as n_steps from steps group by all""", single=_SINGLE, tracks=_TRACKS, steps=_STEPS, obs="select * from moments")
+@query("ordered_scene", """select video_id, string_agg(frame_idx, ',' order by frame_idx) as frames, count(*) as n_steps from (
+        select video_id, label, frame_idx, row_number() over (partition by video_id, label order by frame_idx desc) as rn from (
+            select distinct video_id, label, frame_idx from cand join part using (video_id, k))) where rn <= 4
+    group by video_id, label""", **WHOLE_PARTS)
 def ordered_scene(v):
-    _, _, _, steps = single_run_scene(v)
-    d = Sc.track_documents(steps)
-    return d.select("video_id", "object_id", F.array_join(F.transform("F_k", lambda s: s["t"].cast("string")), ",").alias("frames"),
+    d = Sc.track_documents(whole_scene(v).steps)
+    return d.select("video_id", F.array_join(F.transform("F_k", lambda s: s["t"].cast("string")), ",").alias("frames"),
                     F.size("F_k").cast("bigint").alias("n_steps"))
 
 
