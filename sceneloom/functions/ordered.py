@@ -89,3 +89,23 @@ def gap_segments(df: DataFrame, keys: list[str], pos: str, gap: int, name: str =
     d = d.join(carried, [*keys, "_b"])
     return d.withColumn(name, (F.col("_s") + F.col("_before")).cast("bigint")).drop(
         "_b", "_p", "_brk", "_s", "_before")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], step: float = 1.0) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of ``value`` by key, one column for each name in ``shares``.
+
+    Equal values are counted first; the counts are then summed in order of the value over
+    stretches ``step`` wide, so no task holds all values of a key.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(counts, keys, value, F.col("_n"), "_c", bucket=step)
+    d = upto.join(counts.groupBy(*keys).agg((F.sum("_n") - 1).alias("_last")), keys)
+    picks, out = [], []
+    for name, p in shares.items():
+        at = F.col("_last") * F.lit(p)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("_c") > rank) & (F.col("_c") - F.col("_n") <= rank)
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{side}_{name}"))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return d.groupBy(*keys, "_last").agg(*picks).select(*keys, *out)

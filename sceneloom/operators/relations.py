@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
-from sceneloom.functions.ordered import global_row_number, with_previous
+from sceneloom.functions.ordered import global_row_number, percentiles, with_previous
 from sceneloom.operators.masks import codes_jaccard, token_codes
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
@@ -263,7 +263,7 @@ def relations_at(edges: DataFrame, frame_idx: int) -> DataFrame:
 
 def foreground(obs: DataFrame, n: int, keys: list[str] = ("video_id",), obj: str = "object_id") -> DataFrame:
     """The n objects of each video with the least median depth."""
-    med = obs.groupBy(*keys, obj).agg(F.percentile("z", F.lit(0.5)).alias("median_z"))
+    med = percentiles(obs, [*keys, obj], "z", {"median_z": 0.5})
     w = Window.partitionBy(*keys).orderBy("median_z", obj)
     return med.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
