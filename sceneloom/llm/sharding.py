@@ -46,8 +46,12 @@ def shards(docs: DataFrame, n: int = 24, seed: int = 7, bucket_bytes: int = BUCK
     if total.rows and (fullest.rows > 4 * bucket_rows or fullest.bytes > 4 * bucket_bytes):
         rows = scattered(F.monotonically_increasing_id())
         counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    # a running sum over one row for each bucket
-    first = counts.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("_first"))
+    # running sums over stretches of buckets, and over one row for each stretch
+    counts = counts.select("bucket", "rows", F.expr("bucket div 4096").alias("_s"))
+    stretch = counts.groupBy("_s").agg(F.sum("rows").alias("_all"))
+    stretch = stretch.select("_s", (F.sum("_all").over(Window.orderBy("_s")) - F.col("_all")).alias("_before"))
+    inside = F.sum("rows").over(Window.partitionBy("_s").orderBy("bucket")) - F.col("rows")
+    first = counts.withColumn("_inside", inside).join(stretch, "_s").select("bucket", (F.col("_before") + F.col("_inside")).alias("_first"))
     # a bucket to a task, buckets in order: a task that is run again shuffles alike
     held = rows.repartition(buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("o0", "o1", F.col("_row").alias("record")))).alias("_all")).sortWithinPartitions("bucket")
     mixed = held.select("bucket", F.shuffle("_all", seed).alias("_all"))
