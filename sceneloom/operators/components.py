@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select("group", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("group", "a").agg(F.min("b").alias("_m")).select("group", "a", F.least("_m", "a").alias("_m"))
         large = (both.filter("b > a").join(low, ["group", "a"])
-                 .select("group", F.col("b").alias("a"), F.col("_m").alias("b")).distinct())
+                 .select("group", F.col("b").alias("a"), F.col("_m").alias("b")))
         # small star: a node and its smaller neighbours move to the smallest of them
         low = large.groupBy("group", "a").agg(F.min("b").alias("_m"))
         small = (large.join(low, ["group", "a"])
