@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sceneloom.session import ensure_checkpoint_dir
 
 #: Bytes of text that a task vectorises at a time; a longer single text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A kept table of few narrow columns, to be broadcast if it has ``rows`` rows at most; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def about(rows: int, of: int | Column, *key: Column) -> Column:
+    """A condition that keeps some ``rows`` of ``of`` rows by the hash of their key, without any sorting or gathering."""
+    whole = 1 << 40
+    share = F.lit(float(whole) * rows) / F.greatest(of if isinstance(of, Column) else F.lit(of), F.lit(1))
+    return F.pmod(F.xxhash64(*key), F.lit(whole)) < share
+
+
 def packed(df: DataFrame, **own: Column) -> DataFrame:
     """Each row as the struct ``_row``, beside the operator's own columns."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(e.alias(n) for n, e in own.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm.common import kept, packed, text_key, unpacked
+from sceneloom.llm.common import bounded, kept, packed, text_key, unpacked
 
 _BLANK = " \t\x0b\x0c\r"
 
@@ -32,7 +32,7 @@ def spread_lines(docs: DataFrame, sites: int = 10, band: float = 0.25, lg_k: int
     estimates = kept(each.groupBy("line").agg(F.hll_sketch_agg("source", F.lit(lg_k)).alias("_s")).select(
         "line", F.hll_sketch_estimate("_s").alias("n")).filter(F.col("n") >= sites * (1 - band)))
     sure = estimates.filter(F.col("n") > sites * (1 + band)).select("line")
-    near = estimates.filter(F.col("n") <= sites * (1 + band)).select("line")
+    near = bounded(estimates.filter(F.col("n") <= sites * (1 + band)).select("line"))
     exact = (each.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") >= sites).select("line"))
     return sure.unionByName(exact)
@@ -49,7 +49,7 @@ def drop_spread_lines(docs: DataFrame, sites: int = 10, band: float = 0.25, lg_k
     pass through, and n_chars, where there is one, is counted anew.
     """
     key = text_key(F.col("doc_id"), F.col("text"))
-    spread = kept(spread_lines(docs, sites, band, lg_k))
+    spread = bounded(kept(spread_lines(docs, sites, band, lg_k)))
     places = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "_l")).filter(
         _has_text(F.col("_l"))).select("id", "key", "pos", F.xxhash64("_l").alias("line"))
     found = kept(places.join(spread, "line", "left_semi"))
