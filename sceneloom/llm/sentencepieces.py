@@ -27,7 +27,7 @@ from sceneloom.llm.common import slices
 
 SPACE = "▁"
 #: Words that a task remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 120_000, 48
 
 
 class Model:
