@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.llm.common import packed, slices, unpacked
+from sceneloom.llm.common import about, packed, slices, unpacked
 
 #: Texts of each language and characters of each that dictionaries are made of; bytes compressed at a time.
 SAMPLE_TEXTS, SAMPLE_CHARS, BLOCK_BYTES = 64, 2000, 1024
@@ -37,11 +37,17 @@ def _encoder(dictionary: bytes):
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionaries by language from (text, lang, ...) rows; rows with a null in either don't count.
 
-    Of each language the ``sample_texts`` texts of least hash are taken, of each
+    Of each language ``sample_texts`` texts are taken by their hash, of each
     ``sample_chars`` characters at most: the sample and so the driver's share are bounded.
+    A language's rows are counted first, and only some four times the sample go on.
     """
+    full = labelled.filter("text is not null and lang is not null and length(text) > 0")
+    sizes = {r.lang: r.n for r in full.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return {}
+    many = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    some = (labelled.filter("text is not null and lang is not null and length(text) > 0").select("lang", F.substring("text", 1, sample_chars).alias("text"))
+    some = (full.filter(about(4 * sample_texts, many, F.col("text"))).select("lang", F.substring("text", 1, sample_chars).alias("text")).distinct()
             .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_texts).orderBy("lang", "_r"))
     texts: dict[str, list[str]] = {}
     for row in some.collect():

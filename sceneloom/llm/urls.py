@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom.llm.common import about
+
 #: Labelled URLs that the trees are trained on, and the hosts' smoothing weight.
 SAMPLE_URLS, SMOOTH = 20_000, 5.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,13 +89,15 @@ class UrlModel:
 def train(labelled: DataFrame, sample: int = SAMPLE_URLS, trees: int = 20, depth: int = 4, seed: int = 3) -> UrlModel:
     """Trees from (url, label) rows, label 1 for URLs to block; rows with a null in either don't count.
 
-    The ``sample`` distinct URLs of least hash are used, each with its most frequent label
-    as a mean of at least one half, so a hot URL counts once. Suffix statistics are
+    Some ``sample`` distinct URLs, taken by their hash, are used, each with its most frequent
+    label (a mean of at least one half), so a hot URL counts once. Suffix statistics are
     smoothed rates within the sample. With fewer than two labels no tree is grown, and the
     only label is the verdict.
     """
-    one = labelled.filter("url is not null and label is not null").groupBy("url").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
-    rows = features(one.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(sample)).persist()
+    full = labelled.filter("url is not null and label is not null")
+    urls = full.agg(F.approx_count_distinct("url")).first()[0]
+    one = full.filter(about(sample, urls, F.col("url"), F.lit(seed))).groupBy("url").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+    rows = features(one).persist()
     seen = rows.agg(F.avg("label").alias("p"), F.count_distinct("label").alias("n")).first()
     prior = seen.p or 0.0
     if seen.n < 2:
