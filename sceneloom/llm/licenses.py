@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom.llm.common import kept
+
 # Notices of common licences, as their publishers give them.
 TEMPLATES = {
     "Apache-2.0": [
@@ -110,16 +112,24 @@ def notices(files: DataFrame) -> DataFrame:
 def own_licences(files: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(path, licence, score) of the files whose best notice reaches ``threshold``; ties go to the first licence by name."""
     spark = files.sparkSession
-    # the templates above, some hundreds of rows
-    known = F.broadcast(spark.createDataFrame(list(idf().items()), "term string, idf long"))
-    model = F.broadcast(spark.createDataFrame(template_rows(), "licence string, variant int, term string, weight long, square long"))
-    tokens = notices(files).select("path", "unit", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0))).alias("term"))
-    vector = (tokens.groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")).join(known, "term", "left")
-              .select("path", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare_idf()))).alias("w")))
-    size = vector.groupBy("path", "unit").agg(F.sum(F.col("w") * F.col("w")).alias("own"))
-    dot = vector.join(model, "term").groupBy("path", "unit", "licence", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("square").alias("square"))
-    cosine = F.col("dot").cast("double") / F.sqrt(F.col("own").cast("double") * F.col("square").cast("double"))
-    scored = dot.join(size, ["path", "unit"]).select("path", "licence", cosine.alias("score")).filter(F.col("score") >= threshold)
+    # the templates above, some hundreds of rows: each term's weight and its entries in the templates
+    entry = F.struct("licence", "variant", "weight", "square")
+    model = (spark.createDataFrame(list(idf().items()), "term string, idf long")
+             .join(spark.createDataFrame(template_rows(), "licence string, variant int, term string, weight long, square long"), "term")
+             .groupBy("term", "idf").agg(F.collect_list(entry).alias("entries")))
+    # only the notices move, once; all sums below are over rows of one notice
+    at = ["path", "unit"]
+    tokens = notices(files).repartition(*at).select(*at, F.explode(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0))).alias("term"))
+    vector = (tokens.groupBy(*at, "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(model), "term", "left")
+              .select(*at, (F.col("tf") * F.coalesce("idf", F.lit(rare_idf()))).alias("w"), "entries"))
+    own = F.struct(F.lit(None).cast("string").alias("licence"), F.lit(None).cast("int").alias("variant"), F.col("w").alias("weight"), F.lit(None).cast("bigint").alias("square"))
+    products = vector.select(*at, "w", F.explode(F.concat(F.array(own), F.coalesce("entries", F.array().cast("array<struct<licence:string,variant:int,weight:bigint,square:bigint>>")))).alias("e"))
+    dots = products.groupBy(*at, "e.licence", "e.variant").agg(F.sum(F.col("w") * F.col("e.weight")).alias("dot"), F.first("e.square").alias("square"))
+    # at most one entry for each template variant, and the notice's own squared length
+    notice = dots.groupBy(*at).agg(F.max(F.when(F.col("licence").isNull(), F.col("dot"))).alias("own"), F.collect_list(F.when(
+        F.col("licence").isNotNull(), F.struct("licence", "dot", "square"))).alias("d"))
+    cosine = F.col("d.dot").cast("double") / F.sqrt(F.col("own").cast("double") * F.col("d.square").cast("double"))
+    scored = notice.select("path", "own", F.explode("d").alias("d")).select("path", "d.licence", cosine.alias("score")).filter(F.col("score") >= threshold)
     best = scored.groupBy("path").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence"))
     return best.select("path", "licence", "score")
 
@@ -146,7 +156,7 @@ def scan(files: DataFrame, threshold: float = 0.5) -> DataFrame:
     licence by name. Rows of one path are one file. Null and empty texts have no notice; a null path neither
     declares nor inherits.
     """
-    own = own_licences(files.filter("path is not null"), threshold)
+    own = kept(own_licences(files.filter("path is not null"), threshold))
     rows = files.select("path").join(own, "path", "left").withColumn("dir", _parent(F.col("path")))
     declared = (own.filter(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE)).select(_parent(F.col("path")).alias("dir"), "licence", "score")
                 .groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence")))
