@@ -26,6 +26,8 @@ from sceneloom.llm.wordhash import owners, words
 # Fixed values of HTML: elements without an end, with raw text, inline, and those that end an open p.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea select iframe svg math object title".split())
+# Of the elements with raw text those whose content has no tags: only their own end tag ends them, whatever stands before it.
+RAW_TEXT = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in "script style textarea iframe title".split()}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
              "time tt u var br img wbr".split())
 ENDS_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
@@ -56,7 +58,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # open block-level elements and their names
     said: list[str] = []
-    linked, in_link, at, raw = 0, 0, 0, ""
+    linked, in_link, at, pos, raw = 0, 0, 0, 0, ""
 
     def flush():
         nonlocal linked
@@ -79,14 +81,22 @@ def blocks(page: str) -> list[Block]:
         flush()
         del stack[i:]
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, pos):
+        pos = m.end()
+        if m[2] and not m[1] and m[2].lower() in RAW_TEXT and not m[3].rstrip().endswith("/"):
+            end = RAW_TEXT[m[2].lower()].search(page, pos)
+            pos = end.end() if end else len(page)
+            if not raw:
+                say(page[at:m.start()])
+                at = pos
+            continue
         if raw:
             # the text of these elements is no text of the page; only their own end tag counts
             if m[1] and m[2].lower() == raw:
-                raw, at = "", m.end()
+                raw, at = "", pos
             continue
         say(page[at:m.start()])
-        at = m.end()
+        at = pos
         if not m[2]:
             if m[0].startswith("<![CDATA["):
                 said.append(m[0][9:].removesuffix("]]>"))

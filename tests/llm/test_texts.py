@@ -162,6 +162,15 @@ def test_blocks():
         html_extract.blocks(broken)
 
 
+def test_blocks_after_raw_text():
+    """What stands in a script, and looks like a tag or a comment, ends neither before nor after the script's own end tag."""
+    for script in ("<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if(a<b){s='</p>\"'}</Script >", "<style><!-- a{}</style>", "<script>'</scripted>'; x<y</script>",
+                   "<title>a<b</title>", "<svg><script>i<n</script><text>t</text></svg>", "<template><style>a<b{}</style>x</template>", "<noscript><p>x</p></noscript>"):
+        got = [b.text for b in html_extract.blocks(f"<p>one</p>{script}<article><p>two</p>{script}<p>three</p></article>four")]
+        assert got == ["one", "two", "three", "four"], script
+    assert [b.text for b in html_extract.blocks("<p>one</p><script>i<n <p>two</p>")] == ["one"]
+
+
 def test_extract_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     model = html_extract.fit(pages)
