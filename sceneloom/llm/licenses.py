@@ -65,6 +65,8 @@ TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: A line with one of these words may belong to a notice.
 CUE = (r"(?i)\b(licen[sc]e[ds]?|copyright|spdx|permi(?:ssion|tted)|redistribut\w*|warrant(?:y|ies)|creative commons|cc0?|public domain|"
        r"rights|apache|mit|bsd|gnu|gpl|lgpl|mozilla|mpl|isc|unlicense)\b")
+#: So many distinct template words make a header of lines without a cue.
+WORDING = 8
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_][\w.\-]*)?$"
 
 
@@ -101,12 +103,37 @@ def _parent(path: Column) -> Column:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """(path, unit, body): runs of adjacent lines with a cue, from anywhere in the text; of a licence file the whole text."""
-    line = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(x.rlike(CUE), x).otherwise(""))
-    runs = F.filter(F.split(F.array_join(line, "\n"), "\n\n+"), lambda x: x != "")
-    whole = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE)
-    cued = files.filter(F.col("text").rlike(CUE) | whole).select("path", F.when(whole, F.concat(F.array("text"), runs)).otherwise(runs).alias("_u"))
-    return cued.select("path", F.posexplode("_u").alias("unit", "body"))
+    """(path, unit, body) from anywhere in the text; of a licence file the whole text too. The best unit of a file counts.
+
+    Units are runs of adjacent lines with a cue (a one-line notice amid prose); runs of lines that
+    have a cue or take half of their words or more from the templates (a wrapped header, commented
+    or not), if they have a cue or WORDING template words; and all paragraphs of a text that has such a
+    run. A line of comment marks only ends no header, a blank line does.
+    """
+    known, none = list(idf()), F.array().cast("array<string>")
+
+    def terms(body: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TERM), F.lit(0)))
+
+    def level(x: Column) -> Column:
+        surplus = F.aggregate(terms(x), F.lit(0), lambda n, t: n + F.when(t.isin(known), 1).otherwise(-1))
+        return F.when(x.rlike(CUE), 2).when(x.rlike("\\S"), F.when(surplus >= 0, 1).otherwise(0)).otherwise(-1)
+
+    def runs(least: int) -> Column:
+        marked = F.zip_with("_lines", "_levels", lambda x, n: F.when(n >= least, x).otherwise(""))
+        return F.filter(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda x: x != "")
+
+    def header(x: Column) -> Column:
+        # a cue of two words may be wrapped, with a comment mark between them
+        return F.regexp_replace(x, "[^A-Za-z0-9]+", " ").rlike(CUE) | (F.size(F.filter(terms(x), lambda t: t.isin(known))) >= WORDING)
+
+    whole = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) & F.col("text").isNotNull()
+    lined = files.select("path", F.when(whole, F.array("text")).otherwise(none).alias("_whole"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    levels = lined.withColumn("_levels", F.transform("_lines", level))
+    found = levels.withColumn("_runs", F.concat(F.when(F.array_max("_levels") == 2, runs(2)).otherwise(none), F.when(F.array_max("_levels") > 0, F.filter(runs(1), header)).otherwise(none)))
+    units = F.array_distinct(F.concat("_whole", "_runs", F.when(F.size("_runs") > 0, runs(0)).otherwise(none)))
+    # the outer form, as Spark would otherwise work out the units once more to drop files without one
+    return found.select("path", F.posexplode_outer(units).alias("unit", "body")).filter("body is not null")
 
 
 def own_licences(files: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -244,3 +244,24 @@ def test_licences(spark):
     assert at["a/b2/q.py"].licence == at["w/v.py"].licence == at["top.py"].licence == "Apache-2.0"
     assert at[None].licence is None and at["m/long.py"].own_licence == "MIT" and at["a/b/COPYING.txt"].own_licence == "MIT"
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_wrapped_licence_headers(spark):
+    """Every template, wrapped as a plain text, as a comment before code and amid prose, is found whole."""
+    import textwrap
+    want, rows = {}, []
+    for name, group in licenses.TEMPLATES.items():
+        for variant, text in enumerate(group):
+            for width in (40, 72):
+                wrapped = textwrap.wrap(text, width)
+                for kind, body in (("plain", "\n".join(wrapped)), ("hash", "\n".join("# " + x for x in wrapped) + "\nimport os\nprint(os.name)"),
+                                   ("star", "/*\n *\n" + "\n".join(" * " + x for x in wrapped) + "\n */\nint main;"),
+                                   ("prose", "Shanre anin ndenon thenat.\n" + "\n".join(wrapped) + "\nErtion erre therth inorea enly.")):
+                    rows.append((f"src/{name}/{variant}/{width}/{kind}.txt", body))
+                    want[rows[-1][0]] = name
+    half = licenses.TEMPLATES["MIT"][1]
+    rows.append(("src/uncued.txt", "\n".join(textwrap.wrap(half[half.index("to deal in"):half.index("and to permit")], 72))))
+    got = {r.path: r for r in licenses.own_licences(spark.createDataFrame(rows, "path string, text string"), 0.5).collect()}
+    assert {p: got[p].licence for p in want if p in got} == want
+    assert all(got[p].score > 0.9 for p in want), [(p, got[p].score) for p in want if got[p].score <= 0.9]
+    assert got["src/uncued.txt"].licence == "MIT"
