@@ -143,15 +143,14 @@ def shingle_sets(texts: DataFrame, words_each: int = 5) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, sh array<int>")
 
 
-def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_each: int = 5, leaders: int = 4, shared: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_each: int = 5, leaders: int = 4) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of nodes that hold the classes together, and (node, label) of the linked nodes.
 
     Members of a bucket are first compared with a few leaders of the bucket only, so a
     group of m near copies costs some m comparisons, not m * m / 2. Leaders are drawn from
     the nodes that share most buckets with others: the least edited copies, to which the
     rest is most alike. What is then still in different classes of a bucket is compared
-    pair by pair, once a pair, where at least ``shared`` bands agree (a pair at the
-    threshold shares a third of them). Pairs are checked on the exact
+    pair by pair, once a pair, however few bands it shares. Pairs are checked on the exact
     shingle sets.
     """
     nodes = kept(sketches.filter("node is not null").groupBy("node").agg(
@@ -187,9 +186,9 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_ea
     now = kept(now.drop("met").join(mixed, "bucket").join(nodes.select("node", "bands"), "node"))
     other = now.select("bucket", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("bands").alias("bands2"))
     apart = (F.col("node") < F.col("other")) & (F.col("label") != F.col("l2")) & F.expr(near)
-    both_have = F.array_intersect("bands", "bands2")
+    first_shared = F.array_min(F.array_intersect("bands", "bands2"))
     rest = now.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart
-                               & (F.size(both_have) >= shared) & (F.array_min(both_have) == F.col("x.bucket"))).select(*ordered)
+                               & (first_shared == F.col("x.bucket"))).select(*ordered)
     more = check(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")).filter("ok").select("a", "b")
     if more.isEmpty():
         return linked, labels
@@ -202,8 +201,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, ro
     """(doc_id, key, class_id, keeper) for every row of ``docs``.
 
     A class is a connected component of documents whose five-word shingle sets have a
-    Jaccard similarity of ``threshold`` or more (found with a probability of
-    at the threshold itself 1 - 3e-6 beside a leader, 0.998 beside another member, and more above it). ``class_id`` is its
+    Jaccard similarity of ``threshold`` or more (found with a probability of 1 - 3e-6
+    at the threshold itself, and more above it). ``class_id`` is its
     smallest doc_id; a document like no other, and one without words, is its own class.
     ``keeper`` is true for the row that stays: the smallest doc_id, then the smallest key.
     Rows without doc_id are never the keeper beside one that has it; a class of only such

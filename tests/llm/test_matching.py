@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sceneloom.llm import decontaminate, line_dedup, minhash
 from sceneloom.llm.wordhash import distinct, shingles, words
@@ -69,6 +70,18 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == classes(corpus)
 
 
+def test_one_shared_band_is_enough(spark):
+    """Two near copies in one common bucket, whose leaders are other texts."""
+    rng = random.Random(4)
+    twin = [word(rng) for _ in range(100)]
+    texts = [(1, " ".join(twin)), (2, " ".join(twin[:-1]))] + [(i, " ".join(word(rng) for _ in range(100))) for i in range(3, 12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when(i == 1, 0).otherwise(F.when(F.col("id") < 3, F.col("id") * 1000).otherwise(0) + i).cast("long"))
+    sketches = minhash.sketch(docs).withColumn("bands", own)
+    _, labels = minhash.links(docs, sketches)
+    assert labels.join(sketches, "node").select("id").distinct().count() == 2 and labels.select("label").distinct().count() == 1
+
+
 def test_one_of_each_class_stays(spark, corpus):
     docs = spark.createDataFrame([(*r, "mine", 1) for r in corpus], SCHEMA + ", key string, node int")
     left = minhash.drop_near_duplicates(docs)
