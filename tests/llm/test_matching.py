@@ -173,6 +173,24 @@ def test_matches_equal_a_plain_search(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in docs} - {d for d, _ in got}
 
 
+def test_items_with_an_edited_tail(spark):
+    """One changed or missing word among the last eight, or an excerpt that stops early, hides no item; a real answer must be there."""
+    rng = random.Random(12)
+    items = [(i, [word(rng) + str(i) for _ in range(n)]) for i, n in enumerate((16, 20, 30, 60))]
+    docs, want = [], set()
+    for i, x in items:
+        cuts = [x[:at] + new + x[at + 1:] for at in range(len(x) - 8, len(x)) for new in ([], ["other"])] + ([x[:-4]] if i > 1 else [])
+        for c in cuts:
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(["before"] * 30 + c + ["after"] * 30), "en", "s", 0))
+    frame = spark.createDataFrame(docs, SCHEMA)
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, table).collect()} == want
+    assert decontaminate.drop_contaminated(frame, table).count() == 0
+    asked = spark.createDataFrame([(i, " ".join(x[:-8]), " ".join(x[-8:])) for i, x in items], "item_id long, question string, answer string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, asked).collect()} < want
+
+
 def test_block_max_search_misses_nothing(spark):
     """Against scores of all items for all passages, with several blocks and indexes."""
     import pyarrow as pa
