@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, quality_rules, sentencepieces, sharding, urls
+from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, quality_rules, runs, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
 # The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
@@ -24,6 +24,8 @@ SHARDS = 24
 SITES = 10
 #: The least margin, as a share of the runner-up's size, for a language to be accepted.
 MIN_MARGIN = 0.002
+#: A run of words has so many words and periods at least.
+RUN_WORDS, RUN_PERIODS = 6, 4
 #: The public vocabulary; every executor has the file.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -186,3 +188,32 @@ def op9(spark, sf_dir):
     from documents d left join rest r using (doc_id) left join n using (doc_id)""")
 def op10(spark, sf_dir):
     return line_dedup.drop_spread_lines(table(spark, sf_dir, "documents"), SITES).select("doc_id", "text", "n_chars", "n_removed")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts, by crc32 of the doc_id, all words from some word on repeat with one period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.expr("_h div 10")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def planted(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    chosen = F.get(F.transform(F.array(words), planted), F.lit(0))
+    return docs.select("doc_id", "text", h.alias("_h")).select(
+        "doc_id", F.when((F.col("_h") % 10 == 0) & F.col("text").isNotNull(), F.coalesce(chosen, F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), RUN_WORDS, RUN_PERIODS)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    # the greatest length / period, compared as whole numbers; runs come by start, then period, so the first of equals stays
+    best = F.reduce(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)),
+                    lambda top, r: F.when(r.length * top.period > top.length * r.period, r).otherwise(top))
+    return found.select("_row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "collapsed", listed.alias("listed")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("listed", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
