@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, quality_rules, runs, sentencepieces, sharding, urls
+from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, neighbours, quality_rules, runs, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
 # The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
@@ -26,6 +26,8 @@ SITES = 10
 MIN_MARGIN = 0.002
 #: A run of words has so many words and periods at least.
 RUN_WORDS, RUN_PERIODS = 6, 4
+#: Neighbours of a vector, and the share of them that a search must find.
+NEAREST, RECALL = 10, 0.97
 #: The public vocabulary; every executor has the file.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -217,3 +219,11 @@ def op11(spark, sf_dir):
     return found.select("_row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "collapsed", listed.alias("listed")).select(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join("listed", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query("op13_nearest_vectors")
+def op13(spark, sf_dir):
+    index = neighbours.build_index(table(spark, sf_dir, "embeddings"))
+    asked = index.rows.filter("vec_id % 100 = 0").select("vec_id", "vec")
+    visits, _ = neighbours.calibrate(index, asked, NEAREST, RECALL)
+    return neighbours.search(index, asked, visits, NEAREST)
