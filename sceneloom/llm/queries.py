@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, minhash, neighbours, quality_rules, runs, sentencepieces, sharding, urls
+from sceneloom.llm import conversations, decontaminate, html_extract, langid, licenses, line_dedup, minhash, neighbours, quality_rules, runs, sentencepieces, sharding, urls
 from sceneloom.llm.common import table
 
 # The rules of the URL filter, and words by which hosts are labelled as unwanted for training.
@@ -227,3 +227,26 @@ def op13(spark, sf_dir):
     asked = index.rows.filter("vec_id % 100 = 0").select("vec_id", "vec")
     visits, _ = neighbours.calibrate(index, asked, NEAREST, RECALL)
     return neighbours.search(index, asked, visits, NEAREST)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, doubled or given to the user, by crc32 of conv_id and turn; nulls become a space."""
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    place = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    hurt = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(place) % 20).alias("_h")).filter("_h <> 0")
+    return hurt.select(
+        "conv_id", "turn", F.when(F.col("_h") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("_h") == 1, "").when(F.col("_h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("_h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_again")).drop("_again")
+
+
+@_query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    audited, mended = conversations.repair(damaged(given))
+    ids = given.select(F.col("conv_id").alias("_id")).distinct()
+    found = audited.join(conversations.digests(mended).withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    out = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
