@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sceneloom.llm.common import about, kept
 
 #: Vectors that the tree is fitted on, and queries that the visits are calibrated with.
-FIT_ROWS, CALIBRATION_QUERIES = 65_536, 256
+FIT_ROWS, CALIBRATION_QUERIES = 8_192, 256
 #: Fitted vectors to a leaf, and children to a node.
 LEAF_ROWS, BRANCHES = 256, 8
 #: Rows and queries of a block.

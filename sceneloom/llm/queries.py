@@ -27,7 +27,7 @@ MIN_MARGIN = 0.002
 #: A run of words has so many words and periods at least.
 RUN_WORDS, RUN_PERIODS = 6, 4
 #: Neighbours of a vector, and the share of them that a search must find.
-NEAREST, RECALL = 10, 0.97
+NEAREST, RECALL = 10, 0.95
 #: The public vocabulary; every executor has the file.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
