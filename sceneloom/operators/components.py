@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.session import ensure_checkpoint_dir
+from sceneloom.session import discard, ensure_checkpoint_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     star; the number of rounds grows with the logarithm of the largest component. A
     node's neighbours are never gathered: each step is one minimum per node, joined back
     to its edges, and a join with a busy node splits. Lineage is cut by a checkpoint every
-    round; the driver sees the number of edges and a checksum of them.
+    round, which deletes the one before; the driver sees the number of edges and a checksum of them.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     mark = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("group", "a", "b")).alias("x")]
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("group", "a").agg(F.min("b").alias("_m"))
         small = (large.join(low, ["group", "a"])
                  .select("group", F.explode(F.array("a", "b")).alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct())
-        now = small.checkpoint()
+        small = small.checkpoint()
+        discard(now)
+        now = small
         after = now.agg(*mark).first()
         if after == before:
             break
