@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sceneloom.llm.common import kept, packed, slices, text_key, unpacked
 from sceneloom.llm.wordhash import distinct, mix, owners, shingles, words
 from sceneloom.operators.components import components
+from sceneloom.session import discard
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose darts are thrown at a time.
@@ -126,21 +127,41 @@ def sketch(docs: DataFrame, bands: int = 32, rows: int = 5, words_each: int = 5,
                 [part.column("id"), part.column("key"), pa.array(node.view(np.int64), mask=empty), pa.array(n.astype(np.int32)), lists],
                 ["id", "key", "node", "n", "bands"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    read = docs.select(F.expr("try_cast(doc_id as long)").alias("id"), text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     return read.mapInArrow(run, "id long, key long, node long, n int, bands array<long>")
 
 
+def _bitmaps(elements: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """A bitmap of each set as 64-bit words: at least four bits for each element, a power of two in all."""
+    n = np.diff(at)
+    bits = np.maximum(64, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate(([0], np.cumsum(bits)))
+    own = owners(at)
+    flags = np.zeros(begin[-1], np.uint8)
+    flags[begin[own] + (mix(elements) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)] = 1
+    packed_bits = np.packbits(flags, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(begin // 64, pa.int32()), pa.array(packed_bits))
+
+
 def shingle_sets(texts: DataFrame, words_each: int = 5) -> DataFrame:
-    """(node, sh): the distinct shingles of each text as 32-bit numbers."""
+    """(node, sh, bits): the distinct shingles of each text as 44-bit numbers, and a bitmap of them."""
 
     def run(batches):
         for part in slices(batches):
             elements, at, _ = distinct(*shingles(*words(part.column("text")), words_each))
-            sh = (elements & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sh))], ["node", "sh"])
+                [part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(elements.view(np.int64))), _bitmaps(elements, at)],
+                ["node", "sh", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, sh array<long>, bits array<long>")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, sh array<int>")
+
+def _differing(x: str, y: str) -> str:
+    """How many bits two bitmaps differ in, the longer one folded to the other's length: no more than elements differ."""
+    def folded(a, b):
+        half = f"cast(size({a}) / 2 as int)"
+        return f"if(size({a}) > size({b}), zip_with(slice({a}, 1, {half}), slice({a}, {half} + 1, {half}), (p, q) -> p | q), {a})"
+    return f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
 
 
 def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_each: int = 5, leaders: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -150,8 +171,10 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_ea
     group of m near copies costs some m comparisons, not m * m / 2. Leaders are drawn from
     the nodes that share most buckets with others: the least edited copies, to which the
     rest is most alike. What is then still in different classes of a bucket is compared
-    pair by pair, once a pair, however few bands it shares. Pairs are checked on the exact
-    shingle sets.
+    pair by pair, however few bands it shares, but becomes a pair only if the bitmaps
+    allow it: sets of n and m elements and a similarity of t or more differ in at most
+    (n + m)(1 - t) / (1 + t) elements, and bitmaps never differ in more bits than that.
+    For a threshold below 0.5 bitmaps are not used. Pairs are checked on the exact shingle sets.
     """
     nodes = kept(sketches.filter("node is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -163,6 +186,7 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_ea
     wanted = nodes.join(multi.select("node").distinct(), "node", "left_semi").select("node", "key")
     texts = docs.select(text_key(F.col("doc_id"), F.col("text")).alias("key"), "text").join(wanted, "key")
     sets = kept(shingle_sets(texts, words_each).dropDuplicates(["node"]))
+    discard(nodes)
     near = "node <> other and least(n, n2) >= greatest(n, n2) * %r" % threshold
     ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
 
@@ -183,13 +207,16 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_ea
     labels = classes(linked)
     now = multi.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("bucket")
-    now = kept(now.drop("met").join(mixed, "bucket").join(nodes.select("node", "bands"), "node"))
-    other = now.select("bucket", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("bands").alias("bands2"))
+    now = kept(now.drop("met").join(mixed, "bucket").join(sets.select("node", "bits"), "node"))
+    discard(multi)
+    other = now.select("bucket", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("bits").alias("bits2"))
     apart = (F.col("node") < F.col("other")) & (F.col("label") != F.col("l2")) & F.expr(near)
-    first_shared = F.array_min(F.array_intersect("bands", "bands2"))
-    rest = now.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart
-                               & (first_shared == F.col("x.bucket"))).select(*ordered)
-    more = check(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")).filter("ok").select("a", "b")
+    if threshold >= 0.5:
+        apart &= F.expr(f"{_differing('bits', 'bits2')} <= (n + n2) * {(1 - threshold) / (1 + threshold) + 1e-9!r}")
+    rest = now.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(*ordered).distinct()
+    more = check(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(now, sets)
+    more = more.filter("ok").select("a", "b")
     if more.isEmpty():
         return linked, labels
     linked = linked.unionByName(more)
@@ -198,7 +225,7 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = 0.8, words_ea
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 5, words_each: int = 5,
                     sketches: DataFrame | None = None) -> DataFrame:
-    """(doc_id, key, class_id, keeper) for every row of ``docs``.
+    """(doc_id, key, class_id, keeper, n_links) for every row of ``docs``.
 
     A class is a connected component of documents whose five-word shingle sets have a
     Jaccard similarity of ``threshold`` or more (found with a probability of 1 - 3e-6
@@ -206,19 +233,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, ro
     smallest doc_id; a document like no other, and one without words, is its own class.
     ``keeper`` is true for the row that stays: the smallest doc_id, then the smallest key.
     Rows without doc_id are never the keeper beside one that has it; a class of only such
-    rows has a null class_id. Rows equal in doc_id and text share key and keeper.
+    rows has a null class_id. Rows equal in doc_id and text share key and keeper. ``n_links``
+    counts the checked links of the row's text to other texts that hold its class together.
+    Empty tables give no row, texts of any length count whole, further columns are left out;
+    a doc_id that is no number counts as null.
     """
     s = kept(sketch(docs, bands, rows, words_each)) if sketches is None else sketches
-    _, labels = links(docs, s, threshold, words_each)
-    by_node = s.select("id", "key", "node").join(labels, "node", "left").select(
-        "id", "key", F.coalesce("label", "node", "key").alias("cls"))
+    linked, labels = links(docs, s, threshold, words_each)
+    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    by_node = s.select("id", "key", "node").join(labels.join(degree, "node", "left"), "node", "left").select(
+        "id", "key", F.coalesce("label", "node", "key").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = by_node.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("key").alias("key"))).alias("_k"))
     return by_node.join(least, "cls").select(
-        F.col("id").alias("doc_id"), "key", F.col("_k.id").alias("class_id"), (F.col("key") == F.col("_k.key")).alias("keeper"))
+        F.col("id").alias("doc_id"), "key", F.col("_k.id").alias("class_id"), (F.col("key") == F.col("_k.key")).alias("keeper"), "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, and one of rows equal in doc_id and text."""
+    """The rows of ``docs`` that stay: one of each class.
+
+    Of rows equal in doc_id and text, but not elsewhere, the one of least hash stays.
+    """
     kept_keys = near_duplicates(docs, **options).filter("keeper").select(F.col("key").alias("_k")).distinct()
     rows = packed(docs, _key=text_key(F.col("doc_id"), F.col("text")))
-    return unpacked(rows.join(kept_keys, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]))
+    stay = rows.join(kept_keys, F.col("_key") == F.col("_k"), "left_semi")
+    return unpacked(stay.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")))

@@ -118,7 +118,7 @@ def op3(spark, sf_dir):
 
 @_query("op4_minhash_near_dedup")
 def op4(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("keeper").alias("kept"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("keeper").alias("kept"), "n_links")
 
 
 def labelled_urls(pages: DataFrame) -> DataFrame:

@@ -82,6 +82,50 @@ def test_one_shared_band_is_enough(spark):
     assert labels.join(sketches, "node").select("id").distinct().count() == 2 and labels.select("label").distinct().count() == 1
 
 
+def test_bitmaps_never_differ_more_than_the_sets(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(1 << 20, n)).astype(np.uint64) for n in (0, 1, 3, 15, 16, 17, 40, 60, 66, 130, 250, 257, 1000, 1030)]
+    sets += [np.unique(np.concatenate((x[: int(0.9 * len(x))], rng.choice(1 << 20, len(x) // 8).astype(np.uint64)))) for x in sets]
+    at = np.cumsum([0] + [len(x) for x in sets])
+    bits = minhash._bitmaps(np.concatenate(sets), at).to_pylist()
+    table = spark.createDataFrame([(i, b) for i, b in enumerate(bits)], "i int, b array<long>")
+    got = table.selectExpr("i", "b").crossJoin(table.selectExpr("i as j", "b as c")).selectExpr("i", "j", minhash._differing("b", "c") + " as d").collect()
+    tight = 0
+    for r in got:
+        a, b = set(sets[r.i].tolist()), set(sets[r.j].tolist())
+        if 2 * min(len(a), len(b)) < max(len(a), len(b)):
+            continue
+        assert r.d <= len(a ^ b)
+        tight += len(a ^ b) > 20 and r.d > 0.6 * len(a ^ b)
+    assert tight > 30
+
+
+def test_a_group_of_many_classes(spark):
+    """Copies of one text with many edits: most share buckets and few are alike enough."""
+    rng = random.Random(6)
+    base = [word(rng) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(120)] = word(rng)
+        rows.append((i, " ".join(text), "en", "s", 1)[:len(SCHEMA.split(","))])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = classes(rows)
+    assert 10 < len({c for _, c in want}) < 150
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == want
+    assert all((r.n_links > 0) == (sum(c == r.class_id for _, c in want) > 1) for r in got)
+
+
+def test_rows_equal_in_id_and_text_stay_once_and_alike(spark):
+    rows = [(1, "some words of a text that is long", x) for x in range(20)]
+    one = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect()
+    two = minhash.drop_near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string, x int").repartition(5)).collect()
+    assert len(one) == 1 and one == two
+    odd = spark.createDataFrame([("a", "some words"), ("7", "other")], "doc_id string, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(odd).collect()} == {(None, None), (7, 7)}
+
+
 def test_one_of_each_class_stays(spark, corpus):
     docs = spark.createDataFrame([(*r, "mine", 1) for r in corpus], SCHEMA + ", key string, node int")
     left = minhash.drop_near_duplicates(docs)
