@@ -39,15 +39,16 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: i
 
     Of each language ``sample_texts`` texts are taken by their hash, of each
     ``sample_chars`` characters at most: the sample and so the driver's share are bounded.
-    A language's rows are counted first, and only some four times the sample go on.
+    A language's different texts are counted first, and only some four times the sample go
+    on; copies of one text count and go on once, so no language gets lost by them.
     """
-    full = labelled.filter("text is not null and lang is not null and length(text) > 0")
-    sizes = {r.lang: r.n for r in full.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    full = labelled.filter("text is not null and lang is not null and length(text) > 0").select("lang", F.substring("text", 1, sample_chars).alias("text"))
+    sizes = {r.lang: r.n for r in full.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return {}
     many = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv])[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    some = (full.filter(about(4 * sample_texts, many, F.col("text"))).select("lang", F.substring("text", 1, sample_chars).alias("text")).distinct()
+    some = (full.filter(about(4 * sample_texts, many, F.col("text"))).distinct()
             .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_texts).orderBy("lang", "_r"))
     texts: dict[str, list[str]] = {}
     for row in some.collect():
