@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sceneloom.llm.common import packed, slices, text_key, unpacked
 from sceneloom.llm.wordhash import owners, shingles, words
@@ -26,10 +27,10 @@ BLOCK_ITEMS, INDEX_BYTES = 16, 16_000_000
 class Index:
     """Postings, block maxima and word lists of some benchmark items."""
 
-    def __init__(self, ids: list[int], questions: list[str], answers: list[str], idf: dict[int, float], mean_words: float, threshold: float,
+    def __init__(self, ids: list, questions: list[str], answers: list[str], idf: dict[int, float], mean_words: float, threshold: float,
                  stand_in: bool = False):
         self.stand_in = stand_in  # the answers are only the items' last words
-        self.ids = np.array(ids, np.int64)
+        self.ids = list(ids)
         asked, asked_at = words(pa.array(questions, pa.string()))
         told, told_at = words(pa.array(answers, pa.string()))
         self.question = [asked[a:b] for a, b in zip(asked_at[:-1], asked_at[1:])]
@@ -191,10 +192,11 @@ def indexes(items: DataFrame, threshold: float) -> list[Index]:
     """Indexes that together hold all items, each over INDEX_BYTES of text at most (a longer item stands alone).
 
     Spark counts words and items; idf and mean length are those of all items, so scores
-    don't depend on the number of indexes. Items without a word or an id take no part.
+    don't depend on the number of indexes. Items without a word take no part; an id may be
+    null or of any type, and rows equal in id and text are one item.
     """
     q, a = _sides(items)
-    rows = items.select(F.col("item_id").cast("long").alias("id"), q.alias("q"), a.alias("a")).filter("id is not null").distinct()
+    rows = items.select(F.col("item_id").alias("id"), q.alias("q"), a.alias("a")).distinct()
 
     def count(batches):
         for part in slices(batches, "t"):
@@ -225,7 +227,7 @@ def indexes(items: DataFrame, threshold: float) -> list[Index]:
 
         mine = part.select(F.concat_ws(" ", "q", "a").alias("t")).mapInArrow(own_terms, "term long").distinct()
         weights = {r.term: r.idf for r in idf.join(mine, "term").collect()}
-        got = sorted(part.collect())
+        got = sorted(part.collect(), key=lambda r: (r.id is not None, r.id if r.id is not None else 0, r.q, r.a))
         if got:
             out.append(Index([r.id for r in got], [r.q for r in got], [r.a for r in got], weights, sizes.mean, threshold, not _answered(items)))
     return out
@@ -238,12 +240,15 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
     checked: ``overlap`` of the five-word runs of the question, and of the answer's, must
     stand in it. Items with only ``text`` have no real answer: ``overlap`` of the last eight
     words, or of the whole item's runs, is enough there. Of several passages the best counts. Null and empty texts match nothing;
-    rows equal in doc_id and text give equal rows.
+    rows equal in doc_id and text give equal rows, an empty table gives none, further columns are left out.
+    A doc_id that is no number counts as null; item ids stay as they are, null and texts too.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    read = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), text_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     spark = docs.sparkSession
-    schema = "doc_id long, key long, item_id long, question_overlap double, answer_overlap double"
+    kind = items.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id long, key long, item_id {kind}, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     for index in indexes(items, threshold):
         held = spark.sparkContext.broadcast(index)  # INDEX_BYTES of text bound its size
 
@@ -253,7 +258,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap:
                 found = sorted(best)
                 rows = pa.array([t for t, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(rows), part.column("key").take(rows), pa.array([int(held.value.ids[i]) for _, i in found], pa.int64()),
+                    [part.column("doc_id").take(rows), part.column("key").take(rows), pa.array([held.value.ids[i] for _, i in found], id_type),
                      pa.array([best[x][0] for x in found], pa.float64()), pa.array([best[x][1] for x in found], pa.float64())],
                     ["doc_id", "key", "item_id", "question_overlap", "answer_overlap"])
 
