@@ -22,7 +22,7 @@ STOP_WORDS = ("the and of to in is that for with on as by it be are this from at
 
 #: Thresholds by measure; null on a side: no bound there. A text that breaks one is not kept.
 RULES: list[tuple[str, float | None, float | None]] = [
-    ("n_words", 20, 200_000),
+    ("n_words", 20, None),
     ("repeat_share", None, 0.30),
     ("symbol_ratio", None, 0.10),
     ("mean_word", 2.0, 14.0),
