@@ -299,7 +299,7 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(n), pa.array(same, pa.bool_())],
                                              ["doc_id", "ids", "n_ids", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
@@ -314,5 +314,5 @@ def decode(coded: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
             gone = ids.is_null().to_pylist()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([None if g else t for g, t in zip(gone, texts)], pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(
+    return coded.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(
         run, "doc_id long, text string")

@@ -217,6 +217,26 @@ def test_matches_equal_a_plain_search(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in docs} - {d for d, _ in got}
 
 
+def test_items_of_any_id(spark):
+    rng = random.Random(2)
+    texts = [" ".join(word(rng) for _ in range(30)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, "none of them")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, texts[0]), ("q-1", texts[1]), ("q-1", texts[2]), (None, texts[0])], "item_id string, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()) == [(0, None), (1, "q-1"), (2, "q-1")]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [9]
+
+
+def test_copies_stay_whole_for_near_dedup(spark):
+    """One page on twelve sources beside pages with a common footer: only the footer goes."""
+    page = "\n".join(f"line {i} of a page that was copied" for i in range(20))
+    rows = [(i, page, "en", f"s{i}", 1) for i in range(12)] + [(100 + i, f"own text {i}\nthat stays here {i}\nfooter", "en", f"s{i}", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_spread_lines(docs, 10, most=0.5).collect()}
+    assert all(got[i] == (page, 0) for i in range(12))
+    assert got[100][1] == 0 and all(got[100 + i] == (f"own text {i}\nthat stays here {i}", 1) for i in range(1, 12))
+    assert {r.doc_id for r in minhash.drop_near_duplicates(line_dedup.drop_spread_lines(docs, 10, most=0.5)).collect()} == {0, *range(100, 112)}
+
+
 def test_items_with_an_edited_tail(spark):
     """One changed or missing word among the last eight, or an excerpt that stops early, hides no item; a real answer must be there."""
     rng = random.Random(12)

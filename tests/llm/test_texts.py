@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,13 +33,24 @@ def test_shards(spark, bucket_rows):
         assert r.record.shard == 9
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.shards(docs.repartition(5), 7, bucket_rows=bucket_rows).collect()
+    assert sorted((r.shard, r.slot, str(r.record)) for r in got) == sorted((r.shard, r.slot, str(r.record)) for r in again)
     if bucket_rows == 20_000:
-        again = sharding.shards(docs.repartition(5), 7).collect()
-        assert sorted((r.shard, r.slot, str(r.record)) for r in got) == sorted((r.shard, r.slot, str(r.record)) for r in again)
         other = sharding.shards(docs, 7, seed=8).collect()
         assert sorted((r.shard, r.slot, str(r.record)) for r in got) != sorted((r.shard, r.slot, str(r.record)) for r in other)
 
 
+def test_many_copies_are_dealt_alike_and_evenly(spark):
+    rows = [(1, "same", "en", "s", 1)] * 600 + [(i, f"other {i}", "en", "s", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    runs = [sorted((r.shard, r.slot, r.record.doc_id) for r in sharding.shards(docs.repartition(p), 7, bucket_rows=10).collect()) for p in (1, 6, 13)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 650
+    # the copies are scattered: no long stretch without one of the others
+    order = sorted((slot, shard, doc) for shard, slot, doc in runs[0])
+    at = [i for i, r in enumerate(order) if r[2] != 1]
+    assert max(b - a for a, b in zip(at, at[1:])) < 120
+
+
 def test_shards_of_nothing_and_files(spark, tmp_path):
     assert sharding.shards(spark.createDataFrame([], DOCS)).count() == 0
     sharding.write_shards(spark.createDataFrame(odd_docs(), DOCS), str(tmp_path / "out"), 3)
@@ -87,6 +99,12 @@ def test_languages(spark):
     held = spark.createDataFrame([(*r, 1) for r in rows if third(r[0]) == 1], "doc_id long, text string, lang string, score int")
     got = langid.predict(held, models).collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
+    # the plain form: one dictionary after the other, the whole text block by block
+    for r in got:
+        data = langid._plain(pa.array([r.text])).to_pylist()[0].encode()
+        sizes = {x: sum(len(langid._encoder(models[x])(data[i:i + langid.BLOCK_BYTES])) for i in range(0, len(data), langid.BLOCK_BYTES)) for x in models}
+        least, other = sorted(sizes.values())[:2]
+        assert r.lang_pred == min(x for x in sizes if sizes[x] == least) and abs(r.score - (other - least) / other) < 1e-12
     odd = spark.createDataFrame(odd_docs() + [(900, "123 !!", None, None, None)], DOCS)
     out = {r.doc_id: r for r in langid.predict(odd, models).collect()}
     assert out[200].lang_pred == out[201].lang_pred == out[900].lang_pred == "und" and not out[900].lang_accepted
@@ -97,6 +115,16 @@ def test_languages(spark):
     assert {r.score for r in langid.predict(odd.filter("doc_id = 5"), {"en": b"the of word"}).collect()} <= {1.0, 0.0}
 
 
+def test_copies_hide_no_language(spark):
+    """A language whose rows are copies of a few texts is learnt, and so is a labeller from copies of few pages."""
+    rows = [("ein Satz auf Deutsch mit Wörtern", "de")] * 10000 + [(f"an English sentence {i}", "en") for i in range(3000)]
+    assert sorted(langid.learn(spark.createDataFrame(rows, "text string, lang string"))) == ["de", "en"]
+    pages = [("<html><body><nav>Menu</nav><article><p>Some text of it.</p></article></body></html>",)] * 3000
+    model = html_extract.fit(spark.createDataFrame(pages, "html string"))
+    start = html_extract.train([])
+    assert any((model.p[k] != start.p[k]).any() for k in model.p)
+
+
 def test_token_ids_equal_the_library(spark):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
