@@ -10,12 +10,22 @@ meets another needs no sequence at all and is solved by gaps and runs. The rest
 is folded episode by episode over rows of a few numbers each, in streams sorted
 by frame, holding one frame and the live ids of one episode.
 
+An episode may last a whole video. It is cut into pieces of ``span`` frames that
+are folded at the same time, each as if nothing came before it. What a piece hands
+on is its live ids, without names: when each was last seen and which tracker
+objects it holds, oldest first. A piece whose predecessor hands on something else
+than it started from is folded again, until nothing changes; as live ids depend on
+little more than the last frames, that takes few rounds. A piece names what it was
+given by place; names and absorptions are then followed through the pieces by
+pointer doubling.
+
 Global ids are the order of first use over the video; they are numbered at the
 end from the (frame, detection) at which each id was allocated.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,15 +36,18 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
 from sceneloom.functions.ordered import gap_segments, global_row_number, running_sum, with_previous
+from sceneloom.operators.chains import chain_ends
 from sceneloom.operators.components import components
 from sceneloom.operators.tracks import ARCHIVE, LOST, frame_ordinals
 from sceneloom.schema import DET, FRAME
-from sceneloom.session import ensure_checkpoint_dir
+from sceneloom.session import discard, ensure_checkpoint_dir, written
 
 # Default merge gate.
 IOU = 0.5
 CENTROID_DIST = 2.0
 TEMPORAL_GAP = 2
+#: Frames of an episode that are folded in one piece.
+SPAN = 4096
 
 
 def merge_gate(pairs: DataFrame, obs: DataFrame, iou: float = IOU, dist: float = CENTROID_DIST) -> DataFrame:
@@ -113,6 +126,19 @@ class EpisodeFold:
             self.sightings.append((at, gid))
             self.emit("hold", key, gid)
 
+    def take_over(self, state: list) -> None:
+        """Start from the lives that an earlier piece handed on; they are named (-1, place)."""
+        for place, (seen, at, keys) in enumerate(state):
+            self.lives[-1, place] = Life(seen, at, [(-1, place)])
+            for key in keys:
+                self._own(tuple(key), (-1, place))
+        self.sightings.extend(sorted((life.at, gid) for gid, life in self.lives.items()))
+
+    def hand_on(self) -> tuple[list, list]:
+        """The live ids, oldest first, and what a later piece needs to know of them."""
+        ids = sorted(self.lives)
+        return ids, [(self.lives[i].seen, self.lives[i].at, sorted(self.owned.get(i, ()))) for i in ids]
+
     def fresh_id(self, frame_idx: int, det: int):
         """Ids are named by the detection that first used them, and numbered at the end."""
         return (frame_idx, det)
@@ -179,32 +205,41 @@ class EpisodeFold:
             self._close(gid)
 
 
-_FIELDS = [("kind", "string"), ("video_id", "bigint"), ("frame_idx", "bigint"), ("det_seq", "bigint"),
-           ("gid_frame", "bigint"), ("gid_det", "bigint"), ("root_frame", "bigint"), ("root_det", "bigint"),
-           ("precedence", "int"), ("stretch", "string"), ("run_id", "string"), ("local_obj_id", "bigint")]
+_FIELDS = [("kind", "string"), ("video_id", "bigint"), ("label", "bigint"), ("_ep", "bigint"), ("piece", "bigint"),
+           ("frame_idx", "bigint"), ("det_seq", "bigint"), ("gid_frame", "bigint"), ("gid_det", "bigint"), ("root_frame", "bigint"),
+           ("root_det", "bigint"), ("precedence", "int"), ("stretch", "string"), ("run_id", "string"), ("local_obj_id", "bigint")]
 _NUMBERS = [n for n, t in _FIELDS if t != "string"]
+_FOLDED = ", ".join(f"{n} {t}" for n, t in _FIELDS)
 
 
-def _fold_episodes(patience: int, gap: int, emit_rows: int = 20000):
-    """Folds a stream sorted by (episode, frame, detection); holds one frame and one episode's live ids."""
+def _fold_episodes(patience: int, gap: int, states_only: bool = False, emit_rows: int = 20000):
+    """Folds a stream sorted by (episode, piece, frame, detection); holds one frame and one piece's live ids.
+
+    A row with det_seq -1 comes before a piece's others and brings the state it starts
+    from. ``states_only`` leaves out everything but what the pieces hand on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list = []
-        video = frame_idx = at = episode = fold = until = None
+        frame_idx = at = piece = fold = until = None
         rows: list = []
 
+        def put(kind, **what):
+            out.append({"kind": kind, "video_id": piece[0], "label": piece[1], "_ep": piece[2], "piece": piece[3], **what})
+
         def emit(kind, *what):
-            row = {"kind": kind, "video_id": video}
+            if states_only:
+                return
             if kind == "hold":
-                (row["run_id"], row["local_obj_id"]), (row["gid_frame"], row["gid_det"]) = what
-                row["stretch"] = until[0]
+                (run_id, obj), (f, d) = what
+                put(kind, run_id=run_id, local_obj_id=obj, gid_frame=f, gid_det=d, stretch=until[0])
             elif kind == "map":
-                (row["gid_frame"], row["gid_det"]), (row["root_frame"], row["root_det"]), row["precedence"] = what
+                (f, d), (root_f, root_d), precedence = what
+                put(kind, gid_frame=f, gid_det=d, root_frame=root_f, root_det=root_d, precedence=precedence)
+            elif kind == "obs":
+                put(kind, gid_frame=what[1][0], gid_det=what[1][1], frame_idx=frame_idx, det_seq=what[0])
             else:
-                row["gid_frame"], row["gid_det"] = what[-1]
-                if kind == "obs":
-                    row["frame_idx"], row["det_seq"] = frame_idx, what[0]
-            out.append(row)
+                put(kind, gid_frame=what[0][0], gid_det=what[0][1])
 
         def table() -> pd.DataFrame:
             # as objects: whole numbers beside nulls must not pass through floats
@@ -220,30 +255,96 @@ def _fold_episodes(patience: int, gap: int, emit_rows: int = 20000):
             if until is not None:
                 fold.hold(until[1], until[2], rows)
 
+        def leave():
+            ids, state = fold.hand_on()
+            if states_only:
+                put("state", stretch=json.dumps(state))
+            else:
+                for place, (f, d) in enumerate(ids):
+                    put("life", precedence=place, gid_frame=f, gid_det=d)
+            fold.finish()
+
         for batch in batches:
-            for v, label, ep, o, f, det, run_id, obj, score, mates, *rest in batch.itertuples(index=False, name=None):
-                new_episode = (v, label, ep) != episode
-                if rows and (new_episode or o != at):
+            for v, label, ep, part, o, f, det, run_id, obj, score, mates, *rest in batch.itertuples(index=False, name=None):
+                new_piece = (v, label, ep, part) != piece
+                if rows and (new_piece or o != at):
                     flush()
                     rows = []
-                if new_episode:
+                if new_piece:
                     if fold is not None:
-                        fold.finish()
-                    episode, fold = (v, label, ep), EpisodeFold(patience, gap, emit)
-                video, at, frame_idx = v, o, f
+                        leave()
+                    piece, fold = (v, label, ep, part), EpisodeFold(patience, gap, emit)
+                if det == -1:
+                    fold.take_over(json.loads(rest[3]))
+                    continue
+                at, frame_idx = o, f
                 until = (rest[0], int(rest[1]), int(rest[2])) if rest[0] is not None else None
                 rows.append((det, (run_id, obj), score, () if mates is None else mates))
             if len(out) >= emit_rows:
                 yield table()
-        if rows:
-            flush()
-            fold.finish()
+        if fold is not None:
+            if rows:
+                flush()
+            leave()
         if out:
             yield table()
 
     return run
 
 
+def _with_states(rows: DataFrame, states: DataFrame | None) -> DataFrame:
+    """The rows of pieces, and before each the state (json) it starts from, dealt by piece and sorted."""
+    names = [*_EPISODE, "piece", "ord", "frame_idx", "det_seq", "run_id", "local_obj_id", "score", "partners", "stretch", "end_ord", "end_frame"]
+    rows = rows.select(*names, F.lit(None).cast("string").alias("state"))
+    if states is not None:
+        # no nulls in whole-number columns, which pandas would turn into floats
+        blank = [F.lit(-1 if n in ("ord", "frame_idx", "det_seq", "local_obj_id") else None).cast(rows.schema[n].dataType).alias(n) for n in names[4:]]
+        rows = rows.unionByName(states.select(*_EPISODE, "piece", *blank, "state"))
+    by = [*_EPISODE, "piece"]
+    # dealt by a value of its own: a shuffle by columns that both sides of a union are dealt by would be left
+    # out, though adaptive execution may have merged their partitions in different ways
+    return rows.withColumn("_deal", F.xxhash64(*by)).repartition("_deal").drop("_deal").sortWithinPartitions(*by, "ord", "det_seq")
+
+
+def _settled_states(rows: DataFrame, patience: int, gap: int) -> DataFrame:
+    """(episode, piece, state): what each piece but the first of its episode starts from.
+
+    Every piece is folded from nothing; those that should have started from something else
+    are folded again with what their predecessor handed on, and so on. Piece n is right
+    after n rounds at the latest, and a round folds only the pieces whose start changed.
+    """
+    by = [*_EPISODE, "piece"]
+    start = rows.select(*by).distinct().select(*by, F.lit("[]").alias("state"))
+    todo, ran = start, written(start.withColumn("out", F.lit(None).cast("string")))
+    while True:
+        some = rows.join(todo.select(*by), by, "left_semi")
+        new = _with_states(some, todo).mapInPandas(_fold_episodes(patience, gap, True), _FOLDED).select(*by, F.col("stretch").alias("_new"))
+        after = written(ran.join(todo.select(*by, F.col("state").alias("_from")), by, "left").join(new, by, "left").select(
+            *by, F.coalesce("_from", "state").alias("state"), F.coalesce("_new", "out").alias("out")))
+        discard(ran)
+        ran = after
+        given = ran.select(*_EPISODE, (F.col("piece") + 1).alias("piece"), F.col("out").alias("_given"))
+        todo = ran.join(given, by).filter("_given <> state").select(*by, F.col("_given").alias("state"))
+        if todo.isEmpty():
+            return ran.filter("piece > 0").select(*by, "state")
+
+
+def _named(folded: DataFrame) -> DataFrame:
+    """Rows of folded pieces with ids that were named by place given their own name, that of the detection that first used them."""
+    place = lambda piece, f, d: F.struct(piece.alias("piece"), f.alias("f"), d.alias("d"))
+    none = F.lit(-1).cast("bigint")
+    own = place(F.when(F.col("gid_frame") == -1, F.col("piece")).otherwise(none), F.col("gid_frame"), F.col("gid_det"))
+    links = folded.filter("kind = 'life'").select(
+        *_EPISODE, place(F.col("piece") + 1, none, F.col("precedence").cast("bigint")).alias("node"), own.alias("up"), F.array().cast("array<int>").alias("path"))
+    # one key for each named place: many equal columns in one condition would cost the planner more than the join
+    key = lambda piece, at: F.concat_ws("/", *_EPISODE, piece, at)
+    names = chain_ends(links, _EPISODE).select(key(F.col("node.piece"), F.col("node.d")).alias("_k"), F.col("root").alias("_name"))
+    for c in ("gid", "root"):
+        folded = folded.withColumn("_k", F.when(F.col(f"{c}_frame") == -1, key(F.col("piece"), F.col(f"{c}_det")))).join(names, "_k", "left").withColumns({
+            f"{c}_frame": F.coalesce("_name.f", f"{c}_frame"), f"{c}_det": F.coalesce("_name.d", f"{c}_det")}).drop("_name", "_k")
+    return folded.filter("kind <> 'life'")
+
+
 _EPISODE = ["video_id", "label", "_ep"]
 
 
@@ -276,13 +377,14 @@ def _stretches(group: DataFrame, gate: DataFrame, bucket: int) -> DataFrame:
 
 
 def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost: int = LOST,
-                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096) -> DataFrame:
+                archive: int = ARCHIVE, gap: int = TEMPORAL_GAP, bucket: int = 4096, span: int = SPAN) -> DataFrame:
     """Fused observations: video_id, object_id, frame_idx, det_seq.
 
     ``candidates`` (DET, run_id, local_obj_id, score), ``gated`` from merge_gate,
     ``frames`` every processed frame, also those without candidates; gated pairs of
     detections that are no candidates don't count. Episodes are folded over their
-    changes only, since frames that repeat the ones before them change nothing.
+    changes only, since frames that repeat the ones before them change nothing, and
+    in pieces of ``span`` frames.
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
@@ -332,20 +434,39 @@ def fuse_tracks(candidates: DataFrame, gated: DataFrame, frames: DataFrame, lost
     rows = changes.join(partners, DET, "left").select(
         *_EPISODE, "ord", "frame_idx", "det_seq", "run_id", "local_obj_id", "score", "partners",
         "stretch", "end_ord", "end_frame")
-    rows = rows.repartition("video_id", "label", "_ep").sortWithinPartitions(
-        "video_id", "label", "_ep", "ord", "det_seq")
-    folded = rows.mapInPandas(_fold_episodes(patience, gap), ", ".join(f"{n} {t}" for n, t in _FIELDS)).checkpoint()
-
-    ids = folded.filter("kind = 'map'")
+    # an episode within one span is one piece; the others' pieces are numbered without gaps
+    spans = rows.select(*_EPISODE, F.expr(f"ord div {int(span)}").alias("_span")).distinct()
+    inside = Window.partitionBy(*_EPISODE)
+    pieces = spans.withColumn("_many", F.count(F.lit(1)).over(inside) > 1).filter("_many").select(
+        *_EPISODE, "_span", (F.row_number().over(inside.orderBy("_span")) - 1).cast("bigint").alias("piece")).checkpoint()
+    split = not pieces.isEmpty()
+    states = None
+    if split:
+        rows = written(rows.withColumn("_span", F.expr(f"ord div {int(span)}")).join(pieces, [*_EPISODE, "_span"], "left").drop("_span"))
+        states = _settled_states(rows.filter("piece is not null"), patience, gap)
+        rows = rows.withColumn("piece", F.coalesce("piece", F.lit(0).cast("bigint")))
+    else:
+        rows = rows.withColumn("piece", F.lit(0).cast("bigint"))
+    folded = _with_states(rows, states).mapInPandas(_fold_episodes(patience, gap), _FOLDED)
+    folded = written(_named(written(folded))) if split else folded.filter("kind <> 'life'").checkpoint()
+
+    # where each absorbed id ended, and its place among the absorbed: by piece, then as they came
+    name = lambda c: F.struct(F.col(f"{c}_frame").alias("f"), F.col(f"{c}_det").alias("d"))
+    ids = folded.filter("kind = 'map' and precedence > 0").select(
+        "video_id", name("gid").alias("node"), name("root").alias("up"), F.array(F.struct("piece", "precedence")).alias("path"))
+    ids = chain_ends(ids, ["video_id"]) if split else ids.withColumnRenamed("up", "root")
+    ids = ids.select("video_id", F.col("node.f").alias("gid_frame"), F.col("node.d").alias("gid_det"), F.col("root.f").alias("root_frame"),
+                     F.col("root.d").alias("root_det"), F.col("path").alias("precedence"))
     seen = folded.filter("kind = 'obs'").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det")
     held = folded.filter("kind = 'hold'").select("stretch", "run_id", "local_obj_id", "gid_frame", "gid_det")
     best = Window.partitionBy(*FRAME, "gid_frame", "gid_det").orderBy(F.desc("score"), "det_seq")
     seen = seen.unionByName(
         steady.join(held, ["stretch", "run_id", "local_obj_id"]).withColumn("_rn", F.row_number().over(best))
         .filter("_rn = 1").select("video_id", "frame_idx", "det_seq", "gid_frame", "gid_det"))
-    seen = (seen.join(ids.select("video_id", "gid_frame", "gid_det", "root_frame", "root_det", "precedence"),
-                  ["video_id", "gid_frame", "gid_det"]))
-    first_wins = Window.partitionBy("video_id", "root_frame", "root_det", "frame_idx").orderBy("precedence")
+    seen = seen.join(ids, ["video_id", "gid_frame", "gid_det"], "left").withColumns({
+        "root_frame": F.coalesce("root_frame", "gid_frame"), "root_det": F.coalesce("root_det", "gid_det")})
+    # the id that kept the object comes first, then what it absorbed
+    first_wins = Window.partitionBy("video_id", "root_frame", "root_det", "frame_idx").orderBy(F.col("precedence").asc_nulls_first())
     together = (seen.withColumn("_rn", F.row_number().over(first_wins)).filter("_rn = 1")
                 .select("video_id", "frame_idx", "det_seq", "root_frame", "root_det"))
 

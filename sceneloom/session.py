@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def discard(*checkpointed: DataFrame) -> None:
-    """Deletes the files of checkpointed tables that nothing reads any more."""
-    for df in checkpointed:
-        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder and read again.
+
+    Like ``checkpoint()``, but nothing of the plan comes along: a checkpointed table keeps the
+    constraints known of its columns, which pile up from round to round of an iteration.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of checkpointed or written tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path is None:
+            file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            path = file.get() if file.isDefined() else None
+        if path is not None:
+            discard_folder(df.sparkSession, path)
 
 
 def discard_folder(spark: SparkSession, folder: str) -> None:

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from sceneloom.operators import fuse
 from sceneloom.operators.fuse import fuse_tracks
 from sceneloom.sources.readers import stream_observations
 from sceneloom.session import ensure_checkpoint_dir
@@ -103,9 +104,10 @@ def world():
     return {v: history(v) for v in range(60)}
 
 
-@pytest.mark.parametrize("lost,archive,gap", [(1, 1, 2), (2, 4, 100), (5, 30, 2)])
-def test_fusion_equals_model(spark, world, lost, archive, gap):
-    got = fuse_tracks(*tables(spark, world), lost=lost, archive=archive, gap=gap, bucket=7).collect()
+@pytest.mark.parametrize("lost,archive,gap,span", [(1, 1, 2, 4096), (2, 4, 100, 4096), (5, 30, 2, 4096), (1, 1, 2, 5), (2, 4, 100, 9), (5, 30, 2, 3)])
+def test_fusion_equals_model(spark, world, lost, archive, gap, span):
+    """Also with episodes cut into pieces of a few frames, folded at the same time."""
+    got = fuse_tracks(*tables(spark, world), lost=lost, archive=archive, gap=gap, bucket=7, span=span).collect()
     want = [(v, *row) for v, hist in world.items() for row in model(hist, lost + archive, gap)]
     assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
 
@@ -132,6 +134,23 @@ def test_episodes_fold_their_changes_only(spark, limit):
     assert sorted((r.video_id, r.object_id, r.frame_idx, r.det_seq) for r in got) == sorted(want)
 
 
+def test_one_component_over_many_pieces(spark, monkeypatch):
+    """One episode as long as its video: pieces are folded apart, few of them twice, and give the same rows."""
+    rnd = random.Random(3)
+    hist, det = [], 0
+    for t in range(400):
+        dets = [(det + i, (r, o), rnd.choice([0.4, 0.8])) for i, (r, o) in enumerate((r, o) for r in range(3) for o in range(2) if rnd.random() < 0.9)]
+        det += 6
+        gate = {frozenset((a[0], b[0])) for a in dets for b in dets if a[1][1] == b[1][1] and a[1][0] < b[1][0] and rnd.random() < 0.5}
+        hist.append((t, dets, gate))
+    folds = []
+    plain = fuse._with_states
+    monkeypatch.setattr(fuse, "_with_states", lambda rows, states: folds.append(rows.select("piece").distinct().count()) or plain(rows, states))
+    got = fuse_tracks(*tables(spark, {7: hist}), lost=3, archive=30, span=20).collect()
+    assert sorted((r.object_id, r.frame_idx, r.det_seq) for r in got) == model(hist, 33, 2)
+    assert folds[0] == folds[-1] == 20 and len(folds) <= 6 and sum(folds[1:-1]) < 40
+
+
 def test_stream_equals_batch(spark, world):
     cands, gates, frames = tables(spark, world)
     want = fuse_tracks(cands, gates, frames, lost=2, archive=4)
