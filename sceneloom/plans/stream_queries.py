@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from sceneloom.plans.registry import query
 from sceneloom.plans.track_queries import (
     _SEEN, _SEGS, _SINGLE, _WHOLE, ARCHIVE, FOREVER, LOST, WHOLE_PARTS, fusion_inputs, seen, whole_objects)
+from sceneloom.schema import FRAME
 from sceneloom.session import ensure_checkpoint_dir
 from sceneloom.sources.readers import stream_observations
-from sceneloom.streaming import live
+from sceneloom.streaming import live, order
 
 # the time of a frame: one second each
 def _timed(df):
@@ -77,3 +78,54 @@ def clean_arrivals(v):
     stream = stream_observations(v.spark, f"{base}/in", d.schema, files_per_trigger=2)
     live.run_to_end(live.clean_arrivals(stream, "2 hours"), f"{base}/out", f"{base}/state")
     return v.spark.read.parquet(f"{base}/out").select("video_id", "frame_idx")
+
+
+@query("reorder_frames", "select video_id, frame_idx, row_number() over (partition by video_id order by frame_idx) as place from (select distinct video_id, frame_idx from dets)")
+def reorder_frames(v):
+    """Frames that arrive shuffled over the whole stream's length, put in order by a buffer that waits that long."""
+    base = f"{ensure_checkpoint_dir(v.spark)}/shuffled-{uuid.uuid4().hex}"
+    d = _timed(v.detections.select("video_id", "frame_idx").distinct())
+    close = d.select("video_id").distinct().select("video_id", F.lit(10 ** 6).cast("bigint").alias("frame_idx"))
+    # by hash: neighbours in time arrive in different files
+    for part in range(3):
+        d.filter(F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(3)) == part).repartition(2).write.mode("append").parquet(f"{base}/in")
+    _timed(close).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = stream_observations(v.spark, f"{base}/in", d.schema, files_per_trigger=2)
+    live.run_to_end(order.in_order(stream, "5 minutes", "1 minute").withColumn("let_go", F.col("seq")), f"{base}/out", f"{base}/state")
+    out = v.spark.read.parquet(f"{base}/out").filter("not late and frame_idx < 1000000")
+    # all frames of a video are let go together, so seq is their order
+    return out.select("video_id", "frame_idx", (F.col("let_go") + 1).alias("place"))
+
+
+@query("stream_lives", """select video_id, local_obj_id as object_id, min(frame_idx) as t_start, max(frame_idx) as t_end, count(*) as n_obs
+    from segs group by video_id, local_obj_id, segment""", seen=_SEEN, segs=_SEGS)
+def stream_lives(v):
+    """Lives counted in processed frames, as the frames arrive."""
+    base = f"{ensure_checkpoint_dir(v.spark)}/lives-{uuid.uuid4().hex}"
+    shown = seen(v).groupBy(*FRAME).agg(F.collect_set("local_obj_id").alias("objects"))
+    rows = v.settle(v.frames.select(*FRAME).join(shown, FRAME, "left"))
+    for part in range(3):
+        rows.filter(F.expr(f"frame_idx div 40 = {part}")).repartition("video_id").write.mode("append").parquet(f"{base}/in")
+    stream = stream_observations(v.spark, f"{base}/in", rows.schema, files_per_trigger=8)
+    live.run_to_end(order.stream_lives(stream, LOST + ARCHIVE), f"{base}/out", f"{base}/state")
+    return order.latest_lives(v.spark.read.parquet(f"{base}/out")).drop("segment")
+
+
+@query("rolling_graph", """select f.video_id, f.frame_idx, count(distinct n.local_obj_id) as nodes, coalesce(any_value(e.edges), 0) as edges
+    from frames f left join seen n on n.video_id = f.video_id and n.frame_idx > f.frame_idx - 10 and n.frame_idx <= f.frame_idx
+    left join (select f.video_id, f.frame_idx, count(distinct (a.local_obj_id, b.local_obj_id)) as edges from frames f
+        join seen a on a.video_id = f.video_id and a.frame_idx > f.frame_idx - 10 and a.frame_idx <= f.frame_idx
+        join seen b on b.video_id = a.video_id and b.frame_idx = a.frame_idx and a.local_obj_id < b.local_obj_id group by all) e
+        on e.video_id = f.video_id and e.frame_idx = f.frame_idx group by f.video_id, f.frame_idx""", seen=_SEEN)
+def rolling_graph(v):
+    """The graph of the last ten frames after each frame: objects seen, and pairs seen together."""
+    base = f"{ensure_checkpoint_dir(v.spark)}/graph-{uuid.uuid4().hex}"
+    ids = F.array_sort(F.collect_set("local_obj_id"))
+    shown = seen(v).groupBy(*FRAME).agg(ids.alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda a: F.transform(F.filter("nodes", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = v.settle(v.frames.select(*FRAME).join(shown.withColumn("edges", pairs), FRAME, "left"))
+    for part in range(3):
+        rows.filter(F.expr(f"frame_idx div 40 = {part}")).repartition("video_id").write.mode("append").parquet(f"{base}/in")
+    stream = stream_observations(v.spark, f"{base}/in", rows.schema, files_per_trigger=8)
+    live.run_to_end(order.rolling_graph(stream, 10), f"{base}/out", f"{base}/state")
+    return order.graph_at(v.spark.read.parquet(f"{base}/out"), v.frames)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sceneloom.operators.chains import chain_ends
 from sceneloom.operators.fuse import EpisodeFold, Life
 from sceneloom.operators.tracks import ARCHIVE, LOST
 from sceneloom.schema import DET, FRAME
-from sceneloom.session import ensure_checkpoint_dir
 
 
 def clean_arrivals(stream: DataFrame, delay: str = "1 minute", keys: tuple[str, ...] = ("video_id", "frame_idx"),
@@ -86,7 +86,7 @@ class SceneState(StatefulProcessor):
                 out.append(("late", video, int(f.frame_idx), None, None, None))
                 continue
             last = frame_idx = int(f.frame_idx)
-            dets = sorted(f.dets if f.dets is not None else [], key=lambda d: d["det_seq"])
+            dets = self.detections(f.dets)
             fold.frame(count, frame_idx, [
                 (d["det_seq"], (d["run_id"], d["local_obj_id"]), d["score"],
                  tuple(d["mates"]) if d["mates"] is not None else ()) for d in dets])
@@ -101,6 +101,10 @@ class SceneState(StatefulProcessor):
             table[c] = table[c].astype("Int64")
         yield table
 
+    def detections(self, raw) -> list:
+        """A frame's detections in order."""
+        return sorted(raw if raw is not None else [], key=lambda d: d["det_seq"])
+
     def _save(self, fold, owners, lives) -> None:
         for k in owners.keys() - fold.owner.keys():
             self.owners.removeKey(k)
@@ -190,20 +194,11 @@ def absorbed(aliases: DataFrame) -> DataFrame:
     """Where every absorbed id ended: root, and its path of absorptions below it.
 
     Paths in array order are the order of precedence: a keeper before what it
-    absorbed, earlier absorptions before later ones. One join per link of a chain.
+    absorbed, earlier absorptions before later ones. A chain of n absorptions takes log2(n) joins.
     """
-    ensure_checkpoint_dir(aliases.sparkSession)
-    log = aliases.select("video_id", "frame_idx", F.col("object_id").alias("keep"), F.col("other_id").alias("gone")).checkpoint()
-    step = F.array(F.struct("frame_idx", "gone"))
-    top = log.join(log.select("video_id", F.col("gone").alias("keep")), ["video_id", "keep"], "left_anti")
-    level = top.select("video_id", F.col("gone").alias("object_id"), F.col("keep").alias("root"), step.alias("path")).checkpoint()
-    found = level
-    while level.limit(1).count():
-        level = (log.join(level.withColumnRenamed("object_id", "keep"), ["video_id", "keep"])
-                 .select("video_id", F.col("gone").alias("object_id"), "root",
-                         F.concat("path", step).alias("path")).checkpoint())
-        found = found.unionByName(level)
-    return found
+    log = aliases.select("video_id", F.col("other_id").alias("node"), F.col("object_id").alias("up"),
+                         F.array(F.struct("frame_idx", F.col("other_id").alias("gone"))).alias("path"))
+    return chain_ends(log, ["video_id"]).withColumnRenamed("node", "object_id")
 
 
 def relabel(observations: DataFrame, aliases: DataFrame) -> DataFrame:
