@@ -271,7 +271,9 @@ def repaired(rows: DataFrame, audited: DataFrame) -> DataFrame:
     head = audited.select("conv_id", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["turn"].dataType).alias("turn"),
                           F.lit(None).cast("string").alias("role"), F.col("audit").alias("text"), F.lit(None).cast("string").alias("key"))
     body = rows.select("conv_id", F.lit(1).alias("kind"), "turn", "role", "text", _text_key(F.col("role"), F.col("text")).alias("key"))
-    dealt = head.unionByName(body).repartition("conv_id").sortWithinPartitions(
+    # dealt by a value of its own, so that the shuffle stays even if both sides already are dealt by conv_id in ways that differ
+    both = head.unionByName(body).withColumn("_deal", F.xxhash64("conv_id"))
+    dealt = both.repartition("_deal").sortWithinPartitions(
         "conv_id", "kind", F.col("turn").asc_nulls_first(), "role", "key").select("conv_id", "kind", "role", "text")
 
     def run(batches):
