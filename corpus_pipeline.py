@@ -2,7 +2,11 @@
 
 Every stage works on all rows that the one before it kept. ``run`` writes each stage's
 result into the shared folder and reads it again, so that a lost executor costs no more
-than the stage at hand.
+than the stage at hand; what a stage read goes once it is written.
+
+Null and empty texts have no language and leave in the first stage. Rows equal in doc_id
+and text are one document: one of them stays. Further columns travel along, and empty
+tables pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from sceneloom.llm import decontaminate, langid, line_dedup, minhash, sentencepieces
 from sceneloom.llm.common import table
 from sceneloom.llm.queries import MIN_MARGIN, MODEL_PATH, SITES, taught
-from sceneloom.session import ensure_checkpoint_dir
+from sceneloom.session import discard_folder, ensure_checkpoint_dir
+
+#: A text that would lose more of itself to boilerplate lines is a copy, which near-dedup judges whole.
+MOST_LOST = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts; every row stays."""
-    return line_dedup.drop_spread_lines(docs, SITES).select(*docs.columns)
+    """Takes cross-site boilerplate lines out of the texts, but for texts that are mostly such lines; every row stays."""
+    return line_dedup.drop_spread_lines(docs, SITES, most=MOST_LOST).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard_folder(spark, before)
+        before = path
     return docs
