@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sceneloom.functions import geometry as g
 from sceneloom.functions.ordered import global_row_number, percentiles, with_previous
 from sceneloom.operators.masks import codes_jaccard, token_codes
+from sceneloom.operators.matching import least_cost
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
 
@@ -168,8 +169,8 @@ _SHAPE = [f"{a}_{m}" for a in "xyz" for m in ("sigma", "min", "max")]
 
 
 def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0, geometric: float = 0.5,
-                     semantic: float = 0.5, obj: str = "object_id") -> DataFrame:
-    """Objects of one frame matched to those of the frame before: mutual best below a cost.
+                     semantic: float = 0.5, obj: str = "object_id", matching: str = "mutual") -> DataFrame:
+    """Objects of one frame matched to those of the frame before, below a cost: mutual best, or ``least`` total cost.
 
     Cost: geometric*(centroid distance + 0.1*shape distance) + semantic*(1 - token
     overlap). A cost below the threshold bounds the centroid distance, which the
@@ -194,7 +195,11 @@ def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0,
             + F.lit(semantic) * (F.lit(1.0) - codes_jaccard(F.col("l_tau"), F.col("r_tau"))))
     met = met.withColumn("cost", cost).filter(F.col("cost") < threshold).select(
         "video_id", "ord", "l_frame", "r_frame", "l_id", "r_id", "cost")
-    return mutual_best(met, ["video_id", "ord"], "r_id", "l_id", "cost").select(
+    if matching == "least":
+        met = least_cost(met, ["video_id", "ord", "l_frame", "r_frame"], "r_id", "l_id", "cost", threshold)
+    else:
+        met = mutual_best(met, ["video_id", "ord"], "r_id", "l_id", "cost")
+    return met.select(
         "video_id", F.col("r_frame").alias("prev_frame"), F.col("l_frame").alias("frame_idx"),
         F.col("r_id").alias("prev_id"), F.col("l_id").alias("object_id"), "cost")
 
@@ -210,13 +215,14 @@ def mutual_best(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) ->
     return ranked.filter("_ra = 1 and _rb = 1").drop("_ra", "_rb")
 
 
-def match_views(obs: DataFrame, max_dist: float = 5.0, obj: str = "object_id") -> DataFrame:
-    """Objects seen by two cameras in one frame, matched by distance: mutual best."""
+def match_views(obs: DataFrame, max_dist: float = 5.0, obj: str = "object_id", matching: str = "mutual") -> DataFrame:
+    """Objects seen by two cameras in one frame, matched by distance: mutual best, or ``least`` total distance."""
     side = lambda s: obs.select(*FRAME, F.col("view").alias(f"{s}_view"), F.col(obj).alias(f"{s}_id"),
                                 *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
     met = grid_join(side("l"), side("r"), FRAME, max_dist).filter(F.col("l_view") < F.col("r_view"))
     keys = [*FRAME, "l_view", "r_view"]
-    return mutual_best(met, keys, "l_id", "r_id", "dist").select(*keys, "l_id", "r_id", "dist")
+    met = least_cost(met, keys, "l_id", "r_id", "dist", max_dist) if matching == "least" else mutual_best(met, keys, "l_id", "r_id", "dist")
+    return met.select(*keys, "l_id", "r_id", "dist")
 
 
 def project_points(points: DataFrame, cams: DataFrame, height: int, width: int, keys: list[str] = FRAME) -> DataFrame:

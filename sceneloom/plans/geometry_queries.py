@@ -10,6 +10,7 @@ from sceneloom.operators import lift as L
 from sceneloom.operators import raster as R
 from sceneloom.operators import relations as Rel
 from sceneloom.operators import sampling as S
+from sceneloom.operators import visibility as Vi
 from sceneloom.plans.registry import query
 from sceneloom.schema import DET, FRAME
 from sceneloom.sources.readers import frame_times
@@ -276,24 +277,30 @@ def elevation(v):
 _PROJ = """select point_id, cam, ix, iy, pz > 0 and ix >= 0 and ix < 64 and iy >= 0 and iy < 48 as valid from (
     select point_id, cam, pz, (5e1*px + 0e0*py + 32e0*pz) / case when pz = 0 then 1e-8 else pz end as ix,
         (0e0*px + 5e1*py + 24e0*pz) / case when pz = 0 then 1e-8 else pz end as iy from (
-    select object_id as point_id, f.frame_idx as cam, r[1]*x + r[2]*y + r[3]*z + t0 as px, r[4]*x + r[5]*y + r[6]*z + t1 as py,
-        r[7]*x + r[8]*y + r[9]*z + t2 as pz from points, (select * from turns where video_id = 0 and frame_idx < 8) f))"""
+    select p.object_id as point_id, f.frame_idx as cam, r[1]*x + r[2]*y + r[3]*z + t0 as px, r[4]*x + r[5]*y + r[6]*z + t1 as py,
+        r[7]*x + r[8]*y + r[9]*z + t2 as pz from points p join turns f on f.video_id = p.video_id))"""
 
 
-def _eight_cameras(v):
+def _all_cameras(v):
     k = F.array(*[F.lit(x) for x in (50.0, 0.0, 32.0, 0.0, 50.0, 24.0, 0.0, 0.0, 1.0)])
-    return v.turning_frames.filter("video_id = 0 and frame_idx < 8").select(
+    return v.turning_frames.select(
         "video_id", F.col("frame_idx").alias("cam"), "t_wc", k.alias("k"))
 
 
-def projected(v):
-    pts = v.points.select("video_id", F.col("object_id").alias("point_id"), "x", "y", "z")
-    return Rel.project_points(pts, _eight_cameras(v), 48, 64, keys=["video_id"])
+def _named_points(v):
+    return v.points.select("video_id", F.col("object_id").alias("point_id"), "x", "y", "z")
 
 
 @query("project_points", "select point_id, cam, ix as img_x, iy as img_y, valid from proj", turns=_TURNS, proj=_PROJ)
 def project_points(v):
-    return projected(v).select("point_id", "cam", "img_x", "img_y", "valid")
+    return Rel.project_points(_named_points(v), _all_cameras(v), 48, 64, keys=["video_id"]).select("point_id", "cam", "img_x", "img_y", "valid")
+
+
+@query("visible_points", "select point_id, cam, ix as img_x, iy as img_y from proj where valid", turns=_TURNS, proj=_PROJ)
+def visible_points(v):
+    """Only the points a camera sees meet it, through cells of space."""
+    d = Vi.visible_points(_named_points(v), _all_cameras(v), 48, 64, ["video_id"], cell=1.0)
+    return d.select("point_id", "cam", "img_x", "img_y")
 
 
 @query("assign_points", """select p.point_id, p.cam as frame_idx, coalesce(min(s.det_seq), -1) as det_seq
@@ -301,5 +308,5 @@ def project_points(v):
     left join (select * from spans where video_id = 0) s on s.frame_idx = p.cam and s.v = p.v and s.u0 <= p.u and p.u < s.u1
     group by all""", turns=_TURNS, proj=_PROJ)
 def assign_points(v):
-    pts = projected(v).filter("valid").withColumn("frame_idx", F.col("cam"))
+    pts = Vi.visible_points(_named_points(v), _all_cameras(v), 48, 64, ["video_id"], cell=1.0).withColumn("frame_idx", F.col("cam"))
     return Rel.assign_points(pts, v.spans, tile=16).select("point_id", "frame_idx", "det_seq")

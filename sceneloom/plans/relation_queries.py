@@ -148,6 +148,13 @@ def associate_frames(v):
     return R.associate_frames(v.settle(s).withColumnRenamed("det_seq", "object_id"), v.frames, threshold=0.5)
 
 
+@query("associate_least_cost")
+def associate_least_cost(v):
+    """The same pairs matched at the least total cost; tests compare it with all matchings."""
+    s = L.object_state(v.spans, v.depth_rows, v.frames, min_points=30, exact=True)
+    return R.associate_frames(v.settle(s).withColumnRenamed("det_seq", "object_id"), v.frames, threshold=0.5, matching="least")
+
+
 _VIEWS = """select frame_idx, a.object_id % 3 as l_view, b.object_id % 3 as r_view, a.object_id as l_id, b.object_id as r_id,
     sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) as dist
     from points a join points b using (frame_idx) where a.object_id % 3 < b.object_id % 3"""
@@ -161,6 +168,11 @@ def match_views(v):
     return R.match_views(v.points.withColumn("view", F.col("object_id") % 3), 5.0).drop("video_id")
 
 
+@query("match_views_least_cost")
+def match_views_least_cost(v):
+    return R.match_views(v.points.withColumn("view", F.col("object_id") % 3), 5.0, matching="least").drop("video_id")
+
+
 @query("merge_views", """select coalesce(l.label, p.object_id) as pooled_id, count(*) as n_points,
         sum(floor(x * 1e6)::bigint)::bigint as sx
     from points p left join (select node, min(hit) as label from walk group by all) l on l.node = p.object_id group by all""",
