@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,18 +74,135 @@ def overlap_pairs(points: DataFrame, conf_threshold: float = 0.2, depth_max: flo
                       F.least("_cs", "_ct").cast("double").alias("w"))
 
 
+def overlap_lines(lines: DataFrame, frames: DataFrame) -> DataFrame:
+    """Depth lines of the frames that neighbouring chunks share, side by side, each with its camera.
+
+    Both tables carry chunk_id: a chunk has depth and poses of its own. Lines meet, not
+    pixels; ``line_pairs`` makes the pixels inside the stage that sums over them. The
+    anchors of a pair are the two camera positions of its first shared frame.
+    """
+    key = ["video_id", "chunk_id", "frame_idx"]
+    held = frames.groupBy(*FRAME).agg(F.collect_set("chunk_id").alias("_in"))
+    cam = g.with_rays(frames.select(*key, "k", "t_wc").join(held, FRAME))
+    c = F.col("chunk_id")
+    cam = cam.select(*key, "ray", F.array_contains("_in", c + 1).alias("_earlier"), F.array_contains("_in", c - 1).alias("_later"))
+    at = lines.join(cam.filter("_earlier or _later"), key)
+    side = F.struct("depth", "conf", "ray")
+    earlier = at.filter("_earlier").select(*FRAME, "v", c.alias("pair_id"), side.alias("t"))
+    later = at.filter("_later").select(*FRAME, "v", (c - 1).alias("pair_id"), side.alias("s"))
+    first = [cam.filter(which).groupBy("video_id", pair.alias("pair_id")).agg(F.min_by("ray", "frame_idx").alias("_r")).select(
+        *PAIR, *[F.col("_r")[4 * i + 3].alias(f"{n}a{i}") for i in range(3)])
+        for which, pair, n in (("_earlier", c, "t"), ("_later", c - 1, "s"))]
+    met = earlier.join(later.hint(JOIN), [*FRAME, "v", "pair_id"])
+    return met.join(first[0].join(first[1], PAIR), PAIR)
+
+
+def line_pairs(met: DataFrame, conf_threshold: float = 0.2, depth_max: float = 100.0) -> DataFrame:
+    """The point pairs of ``overlap_lines``, under the rules of ``overlap_pairs``; a missing confidence counts as 1."""
+    more = [c for c in met.columns if c not in ("s", "t")]
+    d = met.select(*more, "s", "t", F.posexplode("s.depth").alias("u", "_ds"))
+    trust = lambda n: F.coalesce(F.col(f"{n}.conf")[F.col("u")], F.lit(1.0).cast("float"))
+    d = d.withColumn("_cs", trust("s")).withColumn("_ct", trust("t")).withColumn("_dt", F.col("t.depth")[F.col("u")])
+    for n in "st":
+        d = d.filter((F.col(f"_c{n}") > conf_threshold) & ~F.isnan(f"_c{n}"))
+        ray, far = F.col(f"{n}.ray"), F.col(f"_d{n}").cast("double")
+        for i, c in enumerate("xyz"):
+            d = d.withColumn(f"{n}{c}", (ray[4 * i] * F.col("u") + ray[4 * i + 1] * F.col("v") + ray[4 * i + 2]) * far + ray[4 * i + 3])
+    for n in "st":
+        d = d.filter(g.norm([F.col(f"{n}{c}") for c in "xyz"]) < F.lit(float(depth_max)))
+    return d.select(*more, "u", *[f"{n}{c}" for n in "st" for c in "xyz"], F.least("_cs", "_ct").cast("double").alias("w"))
+
+
+_ANCHORS = [f"{n}a{i}" for n in "st" for i in range(3)]
+
+
+def anchored(pairs: DataFrame) -> DataFrame:
+    """The pairs with a point near each cloud, from which moments are taken: its least coordinates."""
+    least = pairs.groupBy(*PAIR).agg(*[F.min(f"{n}{c}").alias(f"{n}a{i}") for n in "st" for i, c in enumerate("xyz")])
+    return pairs.join(least, PAIR)
+
+
 def umeyama_moments(pairs: DataFrame, weight: str = "w") -> DataFrame:
-    """The weighted sums a similarity needs, per pair of chunks: one aggregate of 18 sums."""
+    """The weighted sums a similarity needs, per pair of chunks: one aggregate of 18 sums.
+
+    With anchors (sa0..2, ta0..2, alike in all rows of a pair) the sums are taken about
+    them and they come along; sums far from the origin lose their digits otherwise.
+    """
     w = F.col(weight)
     s, t = [F.col(f"s{c}") for c in "xyz"], [F.col(f"t{c}") for c in "xyz"]
+    about = set(_ANCHORS) <= set(pairs.columns)
+    if about:
+        s, t = ([x - F.col(f"{n}a{i}") for i, x in enumerate(p)] for n, p in (("s", s), ("t", t)))
     sums = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("sw")]
     sums += [F.sum(w * s[i]).alias(f"ms{i}") for i in range(3)]
     sums += [F.sum(w * t[i]).alias(f"mt{i}") for i in range(3)]
     sums += [F.sum(w * t[i] * s[j]).alias(f"c{i}{j}") for i in range(3) for j in range(3)]
     sums += [F.sum(w * (s[0] * s[0] + s[1] * s[1] + s[2] * s[2])).alias("ss")]
+    sums += [F.first(a).alias(a) for a in _ANCHORS if about]
     return pairs.groupBy(*PAIR).agg(*sums)
 
 
+_SUMS = (["sw"] + [f"m{n}{i}" for n in "st" for i in range(3)] + [f"c{i}{j}" for i in range(3) for j in range(3)] + ["ss"])
+
+
+def line_moments(met: DataFrame, conf_threshold: float = 0.2, depth_max: float = 100.0, delta: float = 0.5) -> DataFrame:
+    """The sums of ``umeyama_moments`` straight from lines side by side, a batch of lines at a time.
+
+    Equals the moments of ``line_pairs``, but pixels never become rows: a batch gives one row for each
+    pair of chunks in it. With a column last (s, r, t) the weights are those of the next robust round.
+    """
+    again = "last" in met.columns
+    lists = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "st" for c in ("depth", "ray")]
+    lists += [F.coalesce(F.col(f"{n}.conf"), F.transform(f"{n}.depth", lambda _: F.lit(1.0).cast("float"))).alias(f"{n}_conf") for n in "st"]
+    lists += [F.concat(F.array("last.s"), "last.r", "last.t").alias("_last")] if again else []
+    rows = met.select(*PAIR, "v", *_ANCHORS, *lists)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            many = pc.list_value_length(b.column("s_depth")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(many)), many)
+            u = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            v = b.column("v").to_numpy()[row]
+
+            def flat(name: str, missing: float) -> np.ndarray:
+                return pc.fill_null(b.column(name).flatten(), missing).to_numpy(zero_copy_only=False).astype(float)
+
+            key = np.stack([b.column(c).to_numpy() for c in PAIR], axis=1)
+            pairs, start, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
+            anchor = {n: np.stack([b.column(f"{n}a{i}").to_numpy() for i in range(3)], axis=1) for n in "st"}
+            at, conf = {}, {}
+            for n in "st":
+                d, ray = flat(f"{n}_depth", np.nan), flat(f"{n}_ray", np.nan).reshape(-1, 12)[row]
+                at[n] = np.stack([(ray[:, k] * u + ray[:, k + 1] * v + ray[:, k + 2]) * d + ray[:, k + 3] for k in (0, 4, 8)], axis=1)
+                conf[n] = flat(f"{n}_conf", 1.0)
+            with np.errstate(invalid="ignore"):
+                keep = np.ones(len(row), dtype=bool)
+                for n in "st":
+                    keep &= (conf[n] > conf_threshold) & (np.sqrt((at[n] ** 2).sum(axis=1)) < depth_max)
+            row, w = row[keep], np.minimum(conf["s"], conf["t"])[keep]
+            p, q = at["s"][keep], at["t"][keep]
+            if again:
+                last = flat("_last", np.nan).reshape(-1, 13)[row]
+                moved = last[:, :1] * np.einsum("nij,nj->ni", last[:, 1:10].reshape(-1, 3, 3), p) + last[:, 10:]
+                res = np.sqrt(((moved - q) ** 2).sum(axis=1))
+                w = w * np.where(res < delta, 1.0, delta / (res + 1e-12))
+            p, q, group = p - anchor["s"][row], q - anchor["t"][row], group.ravel()[row]
+            cols = [w, *(w[:, None] * p).T, *(w[:, None] * q).T, *[w * q[:, i] * p[:, j] for i in range(3) for j in range(3)],
+                    w * (p ** 2).sum(axis=1)]
+            k = len(pairs)
+            out = [pairs[:, 0], pairs[:, 1], np.bincount(group, minlength=k).astype(np.int64)]
+            out += [np.bincount(group, weights=c, minlength=k) for c in cols]
+            out += [anchor[n][start, i] for n in "st" for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*PAIR, "n", *_SUMS, *_ANCHORS])
+
+    schema = "video_id long, pair_id long, n long, " + ", ".join(f"{c} double" for c in [*_SUMS, *_ANCHORS])
+    part = rows.mapInArrow(sums, schema)
+    total = part.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)], *[F.first(c).alias(c) for c in _ANCHORS])
+    return total.filter("n > 0")
+
+
 _SIM = "video_id long, pair_id long, n long, s double, r array<double>, t array<double>"
 
 
@@ -106,6 +225,8 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scale = np.where(spread > 1e-12, (sing * flip).sum(axis=1) / np.where(spread > 1e-12, spread, 1.0), 1.0)
         rot = np.where(ok[:, None, None], rot, np.eye(3))
         scale = np.where(ok, scale, 1.0)
+        if "sa0" in m:
+            mu_s, mu_t = (mu + m[[f"{n}a{i}" for i in range(3)]].to_numpy() for n, mu in (("s", mu_s), ("t", mu_t)))
         shift = np.where(ok[:, None], mu_t - scale[:, None] * np.einsum("nij,nj->ni", rot, mu_s), 0.0)
         yield pd.DataFrame({"video_id": m["video_id"], "pair_id": m["pair_id"], "n": m["n"], "s": scale,
                             "r": list(rot.reshape(k, 9)), "t": list(shift)})
@@ -115,24 +236,33 @@ def estimate_similarity(pairs: DataFrame, robust: bool = True, delta: float = 0.
     """Similarity target = s R source + t of every pair of chunks at once.
 
     Each robust round is one aggregate over all pairs with Huber weights from the
-    last estimate. A pair of chunks that has settled keeps its estimate.
+    last estimate. A pair of chunks that has settled keeps its estimate. ``pairs`` are
+    point pairs (``overlap_pairs``), or lines side by side (``overlap_lines``), which
+    are kept as lines between the rounds.
     """
     spark = pairs.sparkSession
     ensure_checkpoint_dir(spark)
-    if not robust:
-        return umeyama_moments(pairs).mapInPandas(_solve, _SIM)
     pairs = pairs.persist()
+    lines = "s" in pairs.columns
+    points = (lambda p: p) if set(_ANCHORS) <= set(pairs.columns) else anchored
     try:
-        sim = umeyama_moments(pairs).mapInPandas(_solve, _SIM).withColumn("done", F.lit(False)).checkpoint()
+        first = line_moments(pairs) if lines else umeyama_moments(points(pairs))
+        sim = first.mapInPandas(_solve, _SIM).withColumn("done", F.lit(not robust)).checkpoint()
         for _ in range(max_iters):
             if not sim.filter("not done").limit(1).count():
                 break
-            cur = pairs.join(sim.filter("not done").drop("n"), PAIR)
-            src = [F.col(f"s{c}") for c in "xyz"]
-            moved = [F.col("s") * m + F.col("t")[i] for i, m in enumerate(g.apply3(g.cells(F.col("r"), 9), src))]
-            res = g.distance(moved, [F.col(f"t{c}") for c in "xyz"])
-            huber = F.when(res < delta, F.lit(1.0)).otherwise(F.lit(delta) / (res + F.lit(1e-12)))
-            new = umeyama_moments(cur.withColumn("hw", F.col("w") * huber), "hw").mapInPandas(_solve, _SIM)
+            last = sim.filter("not done").select(*PAIR, F.struct("s", "r", "t").alias("last"))
+            cur = pairs.join(last, PAIR)
+            if lines:
+                sums = line_moments(cur, delta=delta)
+            else:
+                cur = points(cur)
+                src = [F.col(f"s{c}") for c in "xyz"]
+                moved = [F.col("last.s") * m + F.col("last.t")[i] for i, m in enumerate(g.apply3(g.cells(F.col("last.r"), 9), src))]
+                res = g.distance(moved, [F.col(f"t{c}") for c in "xyz"])
+                huber = F.when(res < delta, F.lit(1.0)).otherwise(F.lit(delta) / (res + F.lit(1e-12)))
+                sums = umeyama_moments(cur.withColumn("hw", F.col("w") * huber), "hw")
+            new = sums.mapInPandas(_solve, _SIM)
             new = new.select(*PAIR, F.struct("s", "r", "t").alias("new"))
             both = sim.join(new, PAIR, "left")
             near = F.forall(F.arrays_zip(F.col("r").alias("a"), F.col("new.r").alias("b")),
@@ -152,7 +282,16 @@ def align_chunks(points: DataFrame, chunk_pairs: DataFrame | None = None, min_pa
 
     ``chunk_pairs`` (video_id, pair_id) lists neighbours that may share no valid pixel.
     """
-    sim = estimate_similarity(overlap_pairs(points), robust)
+    return _accept(estimate_similarity(overlap_pairs(points), robust), chunk_pairs, min_pairs)
+
+
+def align_lines(lines: DataFrame, frames: DataFrame, chunk_pairs: DataFrame | None = None, min_pairs: int = 10,
+                robust: bool = True) -> DataFrame:
+    """``align_chunks`` from the depth lines and frames of the chunks; no pixel row is shuffled."""
+    return _accept(estimate_similarity(overlap_lines(lines, frames), robust), chunk_pairs, min_pairs)
+
+
+def _accept(sim: DataFrame, chunk_pairs: DataFrame | None, min_pairs: int) -> DataFrame:
     if chunk_pairs is not None:
         sim = chunk_pairs.select(*PAIR).distinct().join(sim, PAIR, "left")
     ok = (F.coalesce("n", F.lit(0)) >= min_pairs) & (F.col("s") >= 0.01) & (F.col("s") <= 100.0)
@@ -215,13 +354,12 @@ def apply_similarity(frames: DataFrame, sims: DataFrame, depth_rows: DataFrame |
     frames, or (frames, depth lines) when lines are given; those need chunk_id too.
     """
     j = frames.join(sims, ["video_id", "chunk_id"])
-    inv = g.pose_inverse(F.col("t_wc"))
-    j = j.withColumn("_cw", inv)
-    r = g.cells(F.col("r"), 9)
-    rot = g.product3(r, g.rotation_cells(F.col("_cw")))
-    moved = g.apply3(r, g.translation_cells(F.col("_cw")))
-    pos = [F.col("s") * m + F.col("t")[i] for i, m in enumerate(moved)]
-    j = j.withColumn("_new", g.pose_of(rot, pos)).withColumn("t_wc", g.pose_inverse(F.col("_new")))
+    # world to camera is A, d before and A R', s d - A R' t after: no inverse is needed
+    a, r = g.rotation_cells(F.col("t_wc")), g.cells(F.col("r"), 9)
+    rot = g.product3(a, [r[3 * k + i] for i in range(3) for k in range(3)])
+    back = g.apply3(rot, [F.col("t")[i] for i in range(3)])
+    pos = [F.col("s") * d - m for d, m in zip(g.translation_cells(F.col("t_wc")), back)]
+    j = j.withColumn("t_wc", g.pose_of(rot, pos))
     out = j.select(*frames.columns)
     if depth_rows is None:
         return out
@@ -230,6 +368,30 @@ def apply_similarity(frames: DataFrame, sims: DataFrame, depth_rows: DataFrame |
     return out, scaled.select(*depth_rows.columns)
 
 
+def align_video(frames: DataFrame, lines: DataFrame, size: int, overlap: int = 5, robust: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Long videos seen in chunks, each with poses and depth of its own, as one: (frames, lines).
+
+    ``frames`` has the columns of ``chunk_frames`` (chunk_id, local, n_chunks) beside its
+    own, ``lines`` has chunk_id. Neighbouring chunks are aligned over the frames they share, the
+    similarities chained to chunk 0 and applied, each frame kept from the chunk that owns it,
+    and the poses made relative to the video's first frame. Neighbours without enough
+    shared pixels count as aligned. Empty tables give empty tables.
+    """
+    step = frames.select("video_id", F.col("chunk_id").alias("pair_id"), "n_chunks").distinct()
+    pairs = step.filter("pair_id < n_chunks - 1").select(*PAIR)
+    chained = accumulate_similarity(align_lines(lines, frames, pairs, robust=robust))
+    # a video of one chunk has no pair, but keeps its frames
+    sims = step.select("video_id", F.col("pair_id").alias("chunk_id")).join(chained, ["video_id", "chunk_id"], "left")
+    eye = F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    sims = sims.select("video_id", "chunk_id", F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("r", eye).alias("r"),
+                       F.coalesce("t", F.array(*[F.lit(0.0)] * 3)).alias("t")).checkpoint()
+    owned = chunk_owner(frames, size, overlap)
+    key = ["video_id", "chunk_id", "frame_idx"]
+    moved, scaled = apply_similarity(owned, sims, lines.join(owned.select(*key), key, "left_semi"))
+    extra = ("chunk_id", "local", "n_chunks")
+    return normalise_poses(moved.drop(*extra)), scaled.drop("chunk_id")
+
+
 def normalise_poses(frames: DataFrame) -> DataFrame:
     """Poses relative to the first frame of each video, which becomes the identity."""
     first = frames.groupBy("video_id").agg(F.min("frame_idx").alias("_f0"), F.min_by("t_wc", "frame_idx").alias("_t0"))

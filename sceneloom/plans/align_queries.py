@@ -30,82 +30,117 @@ def frame_cover(v):
     return A.frame_cover(A.chunk_frames(v.frames, 20, 5), v.frames).withColumn("owners", F.col("owners").cast("bigint"))
 
 
-def chunk_points(v):
-    """Every fourth frame lifted in the coordinates of each chunk it belongs to.
+def chunk_views(v):
+    """Frames and depth lines as each chunk sees them.
 
     Chunk j sees the world scaled by 2^-j, turned j quarter turns about the
     vertical axis and shifted by j; halves and quarter turns are exact.
     """
-    chunks = A.chunk_frames(v.frames, 20, 5).select(*FRAME, "chunk_id")
-    lines = v.depth_rows.filter("frame_idx % 4 = 0 and v % 8 = 0")
-    pts = L.backproject_frame(lines, v.frames).join(chunks, FRAME)
+    chunks = A.chunk_frames(v.frames, 20, 5)
     j = F.col("chunk_id")
-    s = F.pow(F.lit(0.5), j.cast("double"))
-    x, y, z = (F.col(c) for c in "xyz")
-    q = j % 4
-    rx = F.when(q == 0, x).when(q == 1, z).when(q == 2, -x).otherwise(-z)
-    rz = F.when(q == 0, z).when(q == 1, -x).when(q == 2, -z).otherwise(x)
-    return pts.select(*FRAME, "chunk_id", "v", "u", (s * rx + j).alias("x"), (s * y - j).alias("y"), (s * rz).alias("z"), "conf")
+    turns = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in (
+        (1, 0, 0, 0, 1, 0, 0, 0, 1), (0, 0, 1, 0, 1, 0, -1, 0, 0), (-1, 0, 0, 0, 1, 0, 0, 0, -1), (0, 0, -1, 0, 1, 0, 1, 0, 0))])
+    far = j.cast("double")
+    sims = chunks.select("video_id", "chunk_id").distinct().select(
+        "video_id", "chunk_id", F.pow(F.lit(0.5), far).alias("s"), turns[(j % 4).cast("int")].alias("r"),
+        F.array(far, -far, F.lit(0.0)).alias("t"))
+    return A.apply_similarity(v.frames.join(chunks, FRAME), sims, v.depth_rows.join(chunks.select(*FRAME, "chunk_id"), FRAME))
+
+
+def shared_lines(v):
+    frames, lines = chunk_views(v)
+    return A.overlap_lines(lines, frames)
 
 
 _CPTS = """select c.video_id, c.frame_idx, c.chunk_id, v, u, s * rx + c.chunk_id as x, s * y - c.chunk_id as y, s * rz as z, conf from (
     select k.*, pow(5e-1, k.chunk_id) as s, v, u, y, conf, case k.chunk_id % 4 when 0 then x when 1 then z when 2 then -x else -z end as rx,
         case k.chunk_id % 4 when 0 then z when 1 then -x when 2 then -z else x end as rz
     from chunks k join (
-        select video_id, frame_idx, v, u, cast((1e0 / 5e2 * u + 0e0 * v + -32e0 / 5e2) * d + (0e0 - tx) as float)::double as x, cast((0e0 * u + 1e0 / 5e2 * v + -32e0 / 5e2) * d as float)::double as y,
+        select video_id, frame_idx, v, u, (u - 32) / 5e2 * d - tx as x, (v - 32) / 5e2 * d as y,
             d as z, cast(((u * 31 + v * 17 + frame_idx) % 100) / 1e2 as float) as conf from (
-            select *, 5e0 + v / 64e0 * 5e-1 as d from frames, (select unnest(range(0, 64, 8)) as v), (select unnest(range(64)) as u)
-            where frame_idx % 4 = 0)) p using (video_id, frame_idx)) c"""
+            select *, 5e0 + v / 64e0 * 5e-1 as d from frames, (select unnest(range(64)) as v), (select unnest(range(64)) as u))) p using (video_id, frame_idx)) c"""
+_SHARED = """select a.video_id, a.chunk_id as pair_id, b.x as sx, b.y as sy, b.z as sz, a.x as tx, a.y as ty, a.z as tz,
+        least(a.conf, b.conf)::double as w
+    from cpts a join cpts b using (video_id, frame_idx, v, u) where b.chunk_id = a.chunk_id + 1 and a.conf > 2e-1 and b.conf > 2e-1"""
+_BOTH = [f"{n}{c}" for n in "st" for c in "xyz"]
 
 
-@query("overlap_pairs", """select a.video_id, a.chunk_id as pair_id, count(*) as n, sum(floor(b.x * 1e6)::bigint)::bigint as ssx,
-        sum(floor(a.x * 1e6)::bigint)::bigint as stx, sum(floor(least(a.conf, b.conf)::double * 1e6)::bigint)::bigint as sw
-    from cpts a join cpts b using (video_id, frame_idx, v, u) where b.chunk_id = a.chunk_id + 1 and a.conf > 2e-1 and b.conf > 2e-1
-    group by all""", chunks=_CHUNKS, cpts=_CPTS)
+@query("overlap_pairs", "select video_id, pair_id, count(*) as n, round(avg(w), 6) as w, "
+       + ", ".join(f"round(avg({c}), 6) + 0e0 as {c}" for c in _BOTH) + " from shared group by all",
+       chunks=_CHUNKS, cpts=_CPTS, shared=_SHARED)
 def overlap_pairs(v):
-    q = lambda c: F.sum(F.floor(F.col(c) * F.lit(1e6)))
-    return A.overlap_pairs(chunk_points(v)).groupBy("video_id", "pair_id").agg(
-        F.count(F.lit(1)).alias("n"), q("sx").alias("ssx"), q("tx").alias("stx"), q("w").alias("sw"))
+    near = lambda c: (F.round(F.avg(c), 6) + F.lit(0.0)).alias(c)
+    return A.line_pairs(shared_lines(v)).groupBy("video_id", "pair_id").agg(F.count(F.lit(1)).alias("n"), *[near(c) for c in ["w", *_BOTH]])
 
 
-@query("umeyama_moments", """select a.video_id, a.chunk_id as pair_id, count(*) as n, round(sum(least(a.conf, b.conf)::double), 3) as sw
-    from cpts a join cpts b using (video_id, frame_idx, v, u) where b.chunk_id = a.chunk_id + 1 and a.conf > 2e-1 and b.conf > 2e-1
-    group by all""", chunks=_CHUNKS, cpts=_CPTS)
+@query("umeyama_moments", """select video_id, pair_id, n, round(sw, 3) as sw, round(ss / sw - mx * mx - my * my - mz * mz, 8) as spread, """
+       + ", ".join(f"round(c{i}{j} / sw - n{a} * m{b}, 8) + 0e0 as c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
+       + ", " + ", ".join(f"round({n}{a}, 6) + 0e0 as {n}{a}" for n in "mn" for a in "xyz")
+       + " from (select video_id, pair_id, count(*) as n, sum(w) as sw, sum(w * (sx * sx + sy * sy + sz * sz)) as ss, "
+       + ", ".join(f"sum(w * t{a} * s{b}) as c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz"))
+       + ", " + ", ".join(f"sum(w * {p}{a}) / sum(w) as {n}{a}" for n, p in (("m", "s"), ("n", "t")) for a in "xyz")
+       + " from shared group by all)", chunks=_CHUNKS, cpts=_CPTS, shared=_SHARED)
 def umeyama_moments(v):
-    m = A.umeyama_moments(A.overlap_pairs(chunk_points(v)))
-    return m.select("video_id", "pair_id", "n", F.round("sw", 3).alias("sw"))
-
-
-# chunk j+1 to chunk j: scale 2, and one quarter turn back; the truth to five decimals
-_TRUTH = """select f.video_id, c.pair_id, 2e0 as scale, 0e0 as r00, -1e0 as r02, 1e0 as r11, 1e0 as r20
+    """All sums about the anchors, as spread, covariance and means."""
+    m = A.umeyama_moments(A.line_pairs(shared_lines(v)))
+    sw = F.col("sw")
+    ms, mt = ([F.col(f"m{n}{i}") / sw for i in range(3)] for n in "st")
+    near = lambda c, n: F.round(c, n) + F.lit(0.0)
+    return m.select("video_id", "pair_id", "n", F.round(sw, 3).alias("sw"),
+                    near(F.col("ss") / sw - ms[0] * ms[0] - ms[1] * ms[1] - ms[2] * ms[2], 8).alias("spread"),
+                    *[near(F.col(f"c{i}{j}") / sw - mt[i] * ms[j], 8).alias(f"c{i}{j}") for i in range(3) for j in range(3)],
+                    *[near(x[i] + F.col(f"{p}a{i}"), 6).alias(f"{n}{a}") for n, p, x in (("m", "s", ms), ("n", "t", mt)) for i, a in enumerate("xyz")])
+
+
+# chunk j+1 to chunk j, composed from the two known views: scale 2, one quarter turn back, and the shift that is left
+_TRUTH = """select f.video_id, c.pair_id, 2e0 as scale, 0e0 as r00, -1e0 as r02, 1e0 as r11, 1e0 as r20,
+        pair_id::double as tx, pair_id + 2e0 as ty, -2e0 * (pair_id + 1) as tz
     from videos f, (select unnest(range(7)) as pair_id) c"""
 
 
 def _rounded(sim):
     near = lambda c: F.round(c, 5) + F.lit(0.0)
-    return sim.select("video_id", "pair_id", near(F.col("s")).alias("scale"), near(F.col("r")[0]).alias("r00"),
-                      near(F.col("r")[2]).alias("r02"), near(F.col("r")[4]).alias("r11"), near(F.col("r")[6]).alias("r20"))
+    r, t = F.col("r"), F.col("t")
+    return sim.select("video_id", "pair_id", near(F.col("s")).alias("scale"), near(r[0]).alias("r00"), near(r[2]).alias("r02"),
+                      near(r[4]).alias("r11"), near(r[6]).alias("r20"), *[near(t[i]).alias(n) for i, n in enumerate(("tx", "ty", "tz"))])
 
 
 @query("estimate_similarity", "select * from truth", truth=_TRUTH)
 def estimate_similarity(v):
-    return _rounded(A.estimate_similarity(A.overlap_pairs(chunk_points(v)), robust=False))
+    return _rounded(A.estimate_similarity(shared_lines(v), robust=False))
 
 
 @query("align_chunks", "select * from truth", truth=_TRUTH)
 def align_chunks(v):
-    return _rounded(A.align_chunks(chunk_points(v)))
+    frames, lines = chunk_views(v)
+    return _rounded(A.align_lines(lines, frames))
 
 
 @query("accumulate_similarity", """select video_id, c.chunk_id, pow(2e0, c.chunk_id) as scale,
         case c.chunk_id % 4 when 0 then 1e0 when 2 then -1e0 else 0e0 end as r00,
-        case c.chunk_id % 4 when 1 then -1e0 when 3 then 1e0 else 0e0 end as r02
-    from videos, (select unnest(range(8)) as chunk_id) c""")
+        case c.chunk_id % 4 when 1 then -1e0 when 3 then 1e0 else 0e0 end as r02,
+        case c.chunk_id % 4 when 0 then -far when 2 then far else 0e0 end + 0e0 as tx, far as ty,
+        case c.chunk_id % 4 when 1 then -far when 3 then far else 0e0 end + 0e0 as tz
+    from videos, (select chunk_id, pow(2e0, chunk_id) * chunk_id as far from (select unnest(range(8)) as chunk_id)) c""")
 def accumulate_similarity(v):
-    sims = A.accumulate_similarity(A.align_chunks(chunk_points(v), robust=False), bucket=3)
+    frames, lines = chunk_views(v)
+    sims = A.accumulate_similarity(A.align_lines(lines, frames, robust=False), bucket=3)
     near = lambda c: F.round(c, 3) + F.lit(0.0)
     return sims.select("video_id", "chunk_id", near(F.col("s")).alias("scale"), near(F.col("r")[0]).alias("r00"),
-                       near(F.col("r")[2]).alias("r02"))
+                       near(F.col("r")[2]).alias("r02"), *[near(F.col("t")[i]).alias(n) for i, n in enumerate(("tx", "ty", "tz"))])
+
+
+@query("align_video", """select video_id, frame_idx, round(tx, 5) as tx, 0e0 as ty, 0e0 as tz, 1e0 as r00, 0e0 as r02, sd from frames,
+    (select round(sum(64 * (5e0 + v / 64e0 * 5e-1)), 2) as sd from (select unnest(range(64)) as v))""")
+def align_video(v):
+    """The views of all chunks brought back to the one world they came from, every frame once."""
+    frames, lines = chunk_views(v)
+    frames, lines = A.align_video(frames, lines, 20, 5, robust=False)
+    near = lambda c, n: F.round(c, n) + F.lit(0.0)
+    t = F.col("t_wc")
+    total = lines.groupBy(*FRAME).agg(F.sum(F.aggregate("depth", F.lit(0.0), lambda a, d: a + d.cast("double"))).alias("sd"))
+    return frames.join(total, FRAME).select(*FRAME, near(t[3], 5).alias("tx"), near(t[7], 5).alias("ty"), near(t[11], 5).alias("tz"),
+                                            near(t[0], 5).alias("r00"), near(t[2], 5).alias("r02"), near(F.col("sd"), 2).alias("sd"))
 
 
 @query("apply_similarity", """select video_id, frame_idx, chunk_id, 2e0 * (0e0 - tx) + 3e0 as ego_x, -5e0 as ego_y, 2e0 * 0e0 + 1e0 as ego_z,

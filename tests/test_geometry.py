@@ -234,3 +234,85 @@ def test_exact_moments_of_far_pixels(spark):
     xs, ys = np.array([0.25, 1.5, -3.0, 2e5]), np.array([1e6, -1e6, 12.0, 7.5])
     assert np.isclose(got[1].x_sigma, xs.std(), rtol=1e-12) and np.isclose(got[1].y_sigma, ys.std(), rtol=1e-12)
     assert got[1].z_sigma == 0 and got[2].x_max == 1e30 and got[2].x_sigma == 0
+
+
+def clip_views(spark, far=0.0, chunks=3, n=12, size=6, overlap=2, h=6, w=8):
+    """A turning, moving camera over rough depth, seen by chunks that differ by known similarities."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    frames, lines, world = [], [], {}
+    k = [20.0, 0.0, w / 2, 0.0, 20.0, h / 2, 0.0, 0.0, 1.0]
+
+    def turn(a):
+        return np.array([[math.cos(a), 0, math.sin(a)], [0, 1, 0], [-math.sin(a), 0, math.cos(a)]])
+
+    depth = {f: np.float32(rng.uniform(2, 6, size=(h, w))) for f in range(n)}
+    for f in range(n):
+        world[f] = (turn(0.1 * f), np.array([0.3 * f + far, 0.1 * f - far, far]))
+    for c in range(chunks):
+        s, r, t = 1.5 ** -c, turn(0.7 * c), np.array([1.0, -2.0, 0.5]) * c
+        for local, f in enumerate(range(c * (size - overlap), min(n, c * (size - overlap) + size))):
+            rot, pos = r @ world[f][0], s * (r @ world[f][1]) + t
+            pose = np.eye(4)
+            pose[:3, :3], pose[:3, 3] = rot.T, -rot.T @ pos
+            frames.append((0, f, float(f), True, k, [float(x) for x in pose.ravel()], c, local, chunks))
+            lines += [(0, f, v, [float(x) for x in depth[f][v] * np.float32(s)], [float((v * 3 + u + f) % 10) / 10 for u in range(w)], c)
+                      for v in range(h)]
+    more = ", chunk_id long, local long, n_chunks long"
+    frames = spark.createDataFrame(frames, "video_id long, frame_idx long, ts double, is_metric boolean, k array<double>, t_wc array<double>" + more)
+    lines = spark.createDataFrame(lines, "video_id long, frame_idx long, v int, depth array<float>, conf array<float>, chunk_id long")
+    return frames, lines, depth, world
+
+
+def test_lines_side_by_side_hold_the_point_pairs(spark):
+    frames, lines, _, _ = clip_views(spark)
+    by_line = A.line_pairs(A.overlap_lines(lines, frames))
+    # the same pixels through rows of points; a chunk's frames are told apart by their number
+    apart = lambda d: d.withColumn("frame_idx", F.col("frame_idx") + 100 * F.col("chunk_id"))
+    pts = L.backproject_frame(apart(lines), apart(frames)).withColumn("chunk_id", F.expr("frame_idx div 100")).withColumn("frame_idx", F.col("frame_idx") % 100)
+    by_point = A.overlap_pairs(pts)
+    sums, plain = (d.orderBy("pair_id").collect() for d in (A.line_moments(A.overlap_lines(lines, frames)), A.umeyama_moments(by_line)))
+    assert [tuple(r) for r in sums] == [pytest.approx(tuple(r), abs=1e-9) for r in plain]
+    key = ["pair_id", "frame_idx", "v", "u"]
+    cols = [f"{n}{c}" for n in "st" for c in "xyz"] + ["w"]
+    a, b = rows(by_line, *key, *cols), rows(by_point, *key, *cols)
+    assert len(a) == len(b) > 50 and [r[:4] for r in a] == [r[:4] for r in b]
+    assert all(x[4:] == pytest.approx(y[4:], abs=1e-4) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("robust", [False, True])
+def test_chunks_come_back_to_one_world(spark, robust):
+    import numpy as np
+    frames, lines, depth, world = clip_views(spark)
+    got, scaled = A.align_video(frames, lines, 6, 2, robust)
+    poses = {r.frame_idx: np.array(r.t_wc).reshape(4, 4) for r in got.collect()}
+    assert sorted(poses) == sorted(world) and got.count() == len(world)
+    for f, pose in poses.items():
+        rot, pos = pose[:3, :3].T, -pose[:3, :3].T @ pose[:3, 3]
+        first, start = world[0]
+        assert np.allclose(rot, first.T @ world[f][0], atol=1e-5) and np.allclose(pos, first.T @ (world[f][1] - start), atol=1e-4)
+    found = {(r.frame_idx, r.v): r.depth for r in scaled.collect()}
+    assert len(found) == len(world) * 6
+    assert all(np.allclose(d, depth[f][v], rtol=1e-5) for (f, v), d in found.items())
+
+
+def test_one_chunk_and_no_chunk(spark):
+    frames, lines, _, world = clip_views(spark, chunks=1, n=6)
+    got, scaled = A.align_video(frames, lines, 6, 2)
+    assert got.count() == 6 and scaled.count() == 36
+    none, empty = A.align_video(frames.filter("false"), lines.filter("false"), 6, 2)
+    assert none.count() == 0 and empty.count() == 0
+
+
+def test_similarity_far_from_the_origin(spark):
+    """A scene at 1e5 m gives the similarity of the scene at 0."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    src = rng.normal(size=(200, 3))
+    fields = "video_id long, pair_id long, " + ", ".join(f"{n}{c} double" for n in "st" for c in "xyz") + ", w double"
+    dst = 1.25 * src[:, [2, 1, 0]] * np.array([1.0, 1.0, -1.0])
+    for far in (0.0, 1e5):
+        pairs = spark.createDataFrame([(0, 0, *map(float, s + far), *map(float, d - far), 1.0) for s, d in zip(src, dst)], fields)
+        got = A.estimate_similarity(pairs, robust=False).first()
+        assert got.s == pytest.approx(1.25, abs=1e-8)
+        assert got.r == pytest.approx([0, 0, 1, 0, 1, 0, -1, 0, 0], abs=1e-8)
