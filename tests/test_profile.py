@@ -62,3 +62,31 @@ def test_no_pixel_is_a_row_and_videos_are_dealt(spark, tmp_path):
     videos = SceneView(spark, str(tmp_path)).videos
     videos.count()
     assert videos.rdd.getNumPartitions() == n  # however few bytes the ids are
+
+
+def test_shared_lines_move_once(spark):
+    from sceneloom.plans import align_queries as Q2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q2.shared_lines(SceneView(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines[:-1]) if line in moved]
+    assert sum("depth" in line for line in below) == 1  # the lines of depth, shuffled by frame once
+
+
+def test_unweighted_line_sums(spark):
+    from sceneloom.operators import align as A
+    from sceneloom.plans import align_queries as Q2
+    met = Q2.shared_lines(SceneView(spark, "/root/testdata/sf0.001")).filter("video_id = 0 and pair_id < 2")
+    want = {r["pair_id"]: r for r in A.line_pairs(met).groupBy("video_id", "pair_id").agg(
+        F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("sx") - F.col("sa0")).alias("x")).collect()}
+    got = A.line_moments(met, weighted=False).collect()
+    assert {r["pair_id"] for r in got} == {0, 1}
+    for r in got:
+        w = want[r["pair_id"]]
+        assert r["n"] == w["n"] and math.isclose(r["sw"], w["w"], rel_tol=1e-9) and math.isclose(r["ms0"], w["x"], rel_tol=1e-9, abs_tol=1e-9)
