@@ -156,15 +156,19 @@ class _Graph(StatefulProcessor):
         self.length = length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # a ring of frames: what slot i last showed, and for each part of the graph when it was last shown
+        # a ring of frames: what slot i last showed
         self.ring = handle.getMapState("ring", "slot long", "parts string")
-        self.shown = handle.getMapState("shown", "kind string, a long, b long", "last long")
         self.clock = handle.getValueState("clock", "frames long, last_frame long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames = pd.concat(list(rows)).sort_values("frame_idx")
         count, last = self.clock.get() if self.clock.exists() else (0, -1)
-        out = []
+        # read once for all frames of the batch, and written once: each look at the state is a message to the JVM
+        ring = {k[0]: v[0] for k, v in self.ring.iterator()}
+        shown: dict[tuple, int] = {}  # when each part of the graph was last shown; the ring tells
+        for at in range(max(count - self.length, 0), count):
+            shown.update(dict.fromkeys(_parts(ring.get(at % self.length, "")), at))
+        touched, out = set(), []
         for frame, nodes, edges in zip(frames["frame_idx"], frames["nodes"], frames["edges"]):
             frame = int(frame)
             if frame <= last:
@@ -172,17 +176,19 @@ class _Graph(StatefulProcessor):
             now = {("node", int(n), -1) for n in (nodes if nodes is not None else [])}
             now |= {("edge", int(e["a"]), int(e["b"])) for e in (edges if edges is not None else [])}
             slot = count % self.length
-            old = self.ring.getValue((slot,)) if self.ring.containsKey((slot,)) else None
             for part in sorted(now):
-                if not self.shown.containsKey(part):
+                if part not in shown:
                     out.append((frame, "add", *part))
-                self.shown.updateValue(part, (count,))
-            for part in _parts(old[0]) if old else []:
-                if self.shown.containsKey(part) and self.shown.getValue(part)[0] <= count - self.length:
-                    self.shown.removeKey(part)
+                shown[part] = count
+            for part in _parts(ring.get(slot, "")):
+                if shown.get(part, count) <= count - self.length:
+                    del shown[part]
                     out.append((frame, "expire", *part))
-            self.ring.updateValue((slot,), (";".join(f"{k},{a},{b}" for k, a, b in sorted(now)),))
+            ring[slot] = ";".join(f"{k},{a},{b}" for k, a, b in sorted(now))
+            touched.add(slot)
             last, count = frame, count + 1
+        for slot in touched:
+            self.ring.updateValue((slot,), (ring[slot],))
         self.clock.update((count, last))
         yield pd.DataFrame([(int(key[0]), *row) for row in out], columns=["video_id", "frame_idx", "change", "kind", "a", "b"])
 
