@@ -10,6 +10,9 @@ from sceneloom import schema
 from sceneloom.functions.geometry import pose_to_4x4
 from sceneloom.operators.evaluate import tag_split_by_file
 
+#: Frames of a video that are written by one task.
+STRETCH = 1024
+
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frame manifest with the time of each source frame; a frame without rate is at 0."""
@@ -42,8 +45,13 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_depth_rows(depth_rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Depth lines by video, each file sorted by frame and line so that scans prune."""
-    (depth_rows.repartition("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx", "v")
+    """Depth lines by video, each file sorted by frame and line so that scans prune.
+
+    A video's lines are dealt by stretches of ``STRETCH`` frames: few files to a folder at any
+    size, while a long video still goes to many tasks.
+    """
+    stretch = F.floor(F.col("frame_idx") / STRETCH)
+    (depth_rows.repartition("video_id", stretch).sortWithinPartitions("video_id", "frame_idx", "v")
      .write.mode(mode).partitionBy("video_id").parquet(path))
 
 
