@@ -13,6 +13,7 @@ from sceneloom.operators.masks import codes_jaccard, token_codes
 from sceneloom.operators.matching import least_cost
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
+from sceneloom.session import ensure_checkpoint_dir
 
 
 def _cell(c: str | Column, size: float | Column) -> Column:
@@ -75,6 +76,38 @@ def top_k_edges(edges: DataFrame, k: int, keys: list[str] = FRAME) -> DataFrame:
     return edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def first_edges(obs: DataFrame, k: int, max_dist: float = 10.0, variant: str = "paper",
+                keys: list[str] = FRAME, obj: str = "object_id") -> DataFrame:
+    """``top_k_edges`` of ``spatial_edges``, without making the edges that are not among the first k.
+
+    Edges count in order of their source, so sources are taken by their id in blocks that double: a
+    frame needs no further block once it has k edges, and a crowded one has them after the first.
+    Where edges are rare all sources come up, each once. The driver sees how many frames are left.
+    """
+    ensure_checkpoint_dir(obs.sparkSession)
+    pts = obs.select(*keys, F.col(obj).alias("id"), "x", "y", "z").filter(F.col("id").isNotNull())
+    ranks = global_row_number(pts.select(*keys, "id").distinct(), keys, "id", name="_rank", count="_of")
+    pts = pts.join(ranks, [*keys, "id"]).checkpoint()
+    right = pts.select(*keys, "id", *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    first = Window.partitionBy(*keys).orderBy("src", "dst")
+    left, found, done, size = pts, None, 0, k
+    while True:
+        block = left.filter((F.col("_rank") > done) & (F.col("_rank") <= done + size))
+        met = grid_join(block.select(*keys, F.col("id").alias("src"), *[F.col(c).alias(f"l{c}") for c in "xyz"]),
+                        right.withColumnRenamed("id", "dst"), keys, max_dist).filter("src < dst")
+        dx, dy, dz = (F.col(f"r{c}") - F.col(f"l{c}") for c in "xyz")
+        dist = F.col("dist")
+        edges = met.select(*keys, "src", "dst", "dist", g.relation_label(dx, dy, dz, dist, variant).alias("relation"),
+                           *[(c / (dist + F.lit(1e-8))).alias(n) for c, n in zip((dx, dy, dz), ("ux", "uy", "uz"))])
+        edges = edges.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= k).drop("_rn")
+        found = (edges if found is None else found.unionByName(edges)).checkpoint()
+        done, size = done + size, 2 * size
+        full = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+        left = pts.filter(F.col("_of") > done).join(full, keys, "left_anti")
+        if not left.limit(1).count():
+            return top_k_edges(found, k, keys)
+
+
 def _morton(cols: list[Column], bits: int = 10) -> Column:
     """Interleaved bits of three small whole numbers: near in space, mostly near in order."""
     code = F.lit(0).cast("bigint")

@@ -48,7 +48,7 @@ def relation_label(v):
 @query("top_k_edges", """select frame_idx, src, dst, dist from (select *, row_number() over (
     partition by frame_idx order by src, dst) as rn from pairs where dist < 5e1) where rn <= 20""", pairs=_PAIRS)
 def top_k_edges(v):
-    return R.top_k_edges(R.spatial_edges(v.points, 50.0, "notebook"), 20).select("frame_idx", "src", "dst", "dist")
+    return R.first_edges(v.points, 20, 50.0, "notebook").select("frame_idx", "src", "dst", "dist")
 
 
 @query("relations_at", "select src, dst, dist from pairs where dist < 4e0 and frame_idx = 1", pairs=_PAIRS)
