@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.operators.components import components
+from sceneloom.session import written
 
 
 def cheapest_matching(pairs: list[tuple[int, int, float]], limit: float) -> list[int]:
@@ -72,22 +75,53 @@ def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, lim
 
     The sum of (cost - limit) over the chosen pairs is the least possible: leaving two objects
     apart costs as much as a match at the limit. Pairs that share no object do not touch
-    each other, so each key falls into connected components that are solved by themselves,
-    one to a group; most have a pair or two. Pairs at the limit or above, with a null cost
-    or a null id, take no part; of repeated pairs the cheapest counts.
+    each other, so each key falls into connected components that are solved by themselves;
+    most have a pair or two, so they pass in a stream sorted by component. Pairs at the limit
+    or above, with a null cost or a null id, take no part; of repeated pairs the cheapest counts.
     """
     node = lambda side, c: F.xxhash64(F.lit(side), F.col(c))
     good = pairs.filter(F.col(cost) < limit).groupBy(*keys, a, b).agg(F.min(cost).alias("_cost")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     good = good.withColumn("_group", F.xxhash64(*keys)).withColumn("_a", node("a", a)).withColumn("_b", node("b", b))
+    good = written(good)  # read by the components and by the matching
     labels = components(good.select(F.col("_group").alias("group"), F.col("_a").alias("a"), F.col("_b").alias("b")))
     labels = labels.select(F.col("group").alias("_group"), F.col("node").alias("_a"), F.col("label").alias("_label"))
     held = good.join(labels, ["_group", "_a"])
     fields = held.schema
+    names = fields.names
+    # dealt by a value of its own: a join by other columns may have dealt the rows already
+    held = held.withColumn("_deal", F.xxhash64("_group", "_label")).repartition("_deal").drop("_deal")
 
     def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_a", "ascending"), ("_b", "ascending")])
         rows = list(zip(*(table.column(c).to_pylist() for c in ("_a", "_b", "_cost"))))
+        if len(rows) == 1:
+            return table
         return table.take(cheapest_matching(rows, limit))
 
-    out = held.groupBy("_group", "_label").applyInArrow(solve, fields)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None  # the component that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([*open_, pa.Table.from_batches([batch])])
+            component = np.stack([table.column(c).to_numpy() for c in ("_group", "_label")])
+            starts = np.flatnonzero((component[:, 1:] != component[:, :-1]).any(axis=0)) + 1
+            if not len(starts):
+                open_ = [table]
+                continue
+            starts = np.concatenate([[0], starts])
+            yield from _solved(table, starts, solve)
+            open_ = [table.slice(int(starts[-1]))]
+        if open_ is not None:
+            yield from solve(open_[0]).select(names).to_batches()
+
+    out = held.sortWithinPartitions("_group", "_label", "_a", "_b").mapInArrow(run, fields)
     return out.select(*keys, a, b, F.col("_cost").alias(cost))
+
+
+def _solved(table: pa.Table, starts: np.ndarray, solve) -> Iterator[pa.RecordBatch]:
+    """The components but the last of a sorted table; those of one pair need no matching."""
+    size = np.diff(starts)
+    yield from table.take(pa.array(starts[:-1][size == 1])).to_batches()
+    many = [solve(table.slice(int(s), int(n))) for s, n in zip(starts[:-1], size) if n > 1]
+    if many:
+        yield from pa.concat_tables(many).combine_chunks().to_batches()

@@ -20,18 +20,17 @@ def _cell(c: str | Column, size: float | Column) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("bigint")
 
 
-def grid_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float, cell: float = 1.0) -> DataFrame:
     """Pairs within ``radius``: sides carry lx,ly,lz and rx,ry,rz; adds ``dist``.
 
-    The left side looks into the nine ground cells around it, the right side
-    stays in its own, so a crowded key spreads over its cells.
+    The left side looks into the ground cells that its radius touches, the right side
+    stays in its own, so a crowded key spreads over its cells. Cells are ``cell`` radii wide:
+    wider ones copy the left side less often, but more pairs meet in vain.
     """
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                       for i, j in product((-1, 0, 1), repeat=2)])
-    a = left.withColumn("_o", F.explode(around)).select(
-        *left.columns, (_cell("lx", radius) + F.col("_o")["i"]).alias("_gx"),
-        (_cell("lz", radius) + F.col("_o")["j"]).alias("_gz"))
-    b = right.select("*", _cell("rx", radius).alias("_gx"), _cell("rz", radius).alias("_gz"))
+    size = cell * radius
+    reach = lambda c: F.sequence(_cell(F.col(c) - F.lit(float(radius)), size), _cell(F.col(c) + F.lit(float(radius)), size))
+    a = left.select("*", F.explode(reach("lx")).alias("_gx")).select("*", F.explode(reach("lz")).alias("_gz"))
+    b = right.select("*", _cell("rx", size).alias("_gx"), _cell("rz", size).alias("_gz"))
     d = g.distance([F.col(c) for c in ("rx", "ry", "rz")], [F.col(c) for c in ("lx", "ly", "lz")])
     return a.join(b, [*keys, "_gx", "_gz"]).withColumn("dist", d).filter(
         F.col("dist") < radius).drop("_gx", "_gz")
@@ -217,7 +216,7 @@ def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0,
         F.col("frame_idx").alias(f"{s}_frame"), F.col(obj).alias(f"{s}_id"),
         *[F.col(pos[c]).alias(f"{s}{c}") for c in "xyz"],
         F.struct(*_SHAPE).alias(f"{s}_s"), F.col("_codes").alias(f"{s}_tau"))
-    met = grid_join(side("l", 0), side("r", 1), ["video_id", "ord"], threshold / geometric)
+    met = grid_join(side("l", 0), side("r", 1), ["video_id", "ord"], threshold / geometric, cell=4.0)
     sq = None
     for c in "xyz":
         t = (F.col(f"l{c}") - F.col(f"r{c}")) ** 2
