@@ -15,9 +15,15 @@ from sceneloom.session import written
 
 
 def cheapest_matching(pairs: list[tuple[int, int, float]], limit: float) -> list[int]:
-    """Places of the pairs (a, b, cost) of a one-to-one matching whose sum of (cost - limit) is least.
+    """Places of the pairs (a, b, cost) of a one-to-one matching whose sum of (cost - limit) is least."""
+    return priced_matching(pairs, limit)[0]
 
-    Each a in turn is let in by the cheapest chain of re-matchings, or stays out at ``limit``;
+
+def priced_matching(pairs: list[tuple[int, int, float]], limit: float) -> tuple[list[int], dict, dict]:
+    """``cheapest_matching``, with what each a pays and each b takes off: no pair costs less than both.
+
+    A pair (a, b) that was not given can make the matching cheaper only if it costs less than
+    ``pays[a] + takes[b]`` (``limit`` and 0 for those in no pair). Each a in turn is let in by the cheapest chain of re-matchings, or stays out at ``limit``;
     potentials keep reduced costs above zero, so each chain is one run of Dijkstra.
     """
     nodes_a = sorted({a for a, _, _ in pairs})
@@ -67,10 +73,11 @@ def cheapest_matching(pairs: list[tuple[int, int, float]], limit: float) -> list
             if a == start:
                 break
             target = before[0]
-    return sorted(place for _, place in chosen.values() if place >= 0)
+    takes = {t[1]: p for t, p in price.items() if t[0] == "b"}
+    return sorted(place for _, place in chosen.values() if place >= 0), profit, takes
 
 
-def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float) -> DataFrame:
+def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float, priced: bool = False) -> DataFrame:
     """The pairs of a one-to-one matching of least cost, where a match must be worth less than ``limit``.
 
     The sum of (cost - limit) over the chosen pairs is the least possible: leaving two objects
@@ -78,14 +85,21 @@ def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, lim
     each other, so each key falls into connected components that are solved by themselves;
     most have a pair or two, so they pass in a stream sorted by component. Pairs at the limit
     or above, with a null cost or a null id, take no part; of repeated pairs the cheapest counts.
+    ``priced`` gives all pairs that take part, with ``chosen`` and the ``pays`` and ``takes`` of priced_matching,
+    and takes each key as a whole, for few pairs of crowded keys, which hang together anyway.
     """
     node = lambda side, c: F.xxhash64(F.lit(side), F.col(c))
     good = pairs.filter(F.col(cost) < limit).groupBy(*keys, a, b).agg(F.min(cost).alias("_cost")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     good = good.withColumn("_group", F.xxhash64(*keys)).withColumn("_a", node("a", a)).withColumn("_b", node("b", b))
     good = written(good)  # read by the components and by the matching
-    labels = components(good.select(F.col("_group").alias("group"), F.col("_a").alias("a"), F.col("_b").alias("b")))
-    labels = labels.select(F.col("group").alias("_group"), F.col("node").alias("_a"), F.col("label").alias("_label"))
-    held = good.join(labels, ["_group", "_a"])
+    if priced:
+        held = good.withColumn("_label", F.lit(0).cast("bigint"))
+    else:
+        labels = components(good.select(F.col("_group").alias("group"), F.col("_a").alias("a"), F.col("_b").alias("b")))
+        labels = labels.select(F.col("group").alias("_group"), F.col("node").alias("_a"), F.col("label").alias("_label"))
+        held = good.join(labels, ["_group", "_a"])
+    if priced:
+        held = held.select("*", F.lit(True).alias("chosen"), F.col("_cost").alias("pays"), F.lit(0.0).alias("takes"))
     fields = held.schema
     names = fields.names
     # dealt by a value of its own: a join by other columns may have dealt the rows already
@@ -95,7 +109,15 @@ def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, lim
         rows = list(zip(*(table.column(c).to_pylist() for c in ("_a", "_b", "_cost"))))
         if len(rows) == 1:
             return table
-        return table.take(cheapest_matching(rows, limit))
+        places, pays, takes = priced_matching(rows, limit)
+        if not priced:
+            return table.take(places)
+        chosen = np.zeros(len(rows), dtype=bool)
+        chosen[places] = True
+        new = {"chosen": chosen, "pays": [pays[x] for x, _, _ in rows], "takes": [takes.get(y, 0.0) for _, y, _ in rows]}
+        for name, column in new.items():
+            table = table.set_column(names.index(name), table.schema.field(name), pa.array(column))
+        return table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = None  # the component that may go on in the next batch
@@ -115,7 +137,7 @@ def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, lim
             yield from solve(open_[0]).select(names).to_batches()
 
     out = held.sortWithinPartitions("_group", "_label", "_a", "_b").mapInArrow(run, fields)
-    return out.select(*keys, a, b, F.col("_cost").alias(cost))
+    return out.select(*keys, a, b, F.col("_cost").alias(cost), *(["chosen", "pays", "takes"] if priced else []))
 
 
 def _solved(table: pa.Table, starts: np.ndarray, solve) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from sceneloom.operators.masks import codes_jaccard, token_codes
 from sceneloom.operators.matching import least_cost
 from sceneloom.operators.tracks import frame_ordinals
 from sceneloom.schema import FRAME
-from sceneloom.session import ensure_checkpoint_dir
+from sceneloom.session import discard, ensure_checkpoint_dir, written
 
 
 def _cell(c: str | Column, size: float | Column) -> Column:
@@ -249,12 +249,57 @@ def mutual_best(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) ->
 
 def match_views(obs: DataFrame, max_dist: float = 5.0, obj: str = "object_id", matching: str = "mutual") -> DataFrame:
     """Objects seen by two cameras in one frame, matched by distance: mutual best, or ``least`` total distance."""
+    if matching == "least":
+        return _least_views(obs, max_dist, obj)
     side = lambda s: obs.select(*FRAME, F.col("view").alias(f"{s}_view"), F.col(obj).alias(f"{s}_id"),
                                 *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
     met = grid_join(side("l"), side("r"), FRAME, max_dist).filter(F.col("l_view") < F.col("r_view"))
     keys = [*FRAME, "l_view", "r_view"]
-    met = least_cost(met, keys, "l_id", "r_id", "dist", max_dist) if matching == "least" else mutual_best(met, keys, "l_id", "r_id", "dist")
-    return met.select(*keys, "l_id", "r_id", "dist")
+    return mutual_best(met, keys, "l_id", "r_id", "dist").select(*keys, "l_id", "r_id", "dist")
+
+
+#: Near objects an object starts with, and pairs it gets in a round of ``_least_views``.
+_FEW = 12
+
+
+def _least_views(obs: DataFrame, max_dist: float, obj: str) -> DataFrame:
+    """The least total distance over all pairs of two views, out of few pairs for each object.
+
+    Objects start with their nearest ones. What a matching of these charges its objects shows
+    which other pairs could make it cheaper; each object gets the best of them, until there are
+    none (by more than rounding): the matching is then the cheapest of all pairs. The test runs through
+    all pairs within the distance, but keeps and shuffles none that does not come in.
+    """
+    ensure_checkpoint_dir(obs.sparkSession)
+    keys, ends = [*FRAME, "l_view", "r_view"], ["l_id", "r_id"]
+    far = F.lit(float("inf"))
+    pts = obs.select(*FRAME, "view", F.col(obj).alias("id"), "x", "y", "z").filter(
+        F.col("id").isNotNull() & (F.abs("x") < far) & (F.abs("y") < far) & (F.abs("z") < far)).checkpoint()
+    views = pts.select(*FRAME, "view").distinct()
+    two = views.withColumnRenamed("view", "l_view").join(views.withColumnRenamed("view", "r_view"), FRAME).filter("l_view < r_view")
+    both = pts.join(two, FRAME).filter("view = l_view or view = r_view").withColumn("object_id", F.struct("view", "id")).checkpoint()
+    near = nearest(both.drop("view", "id"), _FEW, keys).filter("src.view <> dst.view and dist < %r" % float(max_dist))
+    own = F.col("src.view") == F.col("l_view")
+    pairs = written(near.select(*keys, F.when(own, F.col("src.id")).otherwise(F.col("dst.id")).alias("l_id"),
+                                F.when(own, F.col("dst.id")).otherwise(F.col("src.id")).alias("r_id"), "dist").dropDuplicates([*keys, *ends]))
+    side = lambda s: both.filter(f"view = {s}_view").select(*keys, F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
+    while True:
+        found = written(least_cost(pairs, keys, *ends, "dist", max_dist, priced=True))
+        pays = found.groupBy(*keys, "l_id").agg(F.first("pays").alias("pays"))
+        takes = found.groupBy(*keys, "r_id").agg(F.first("takes").alias("takes"))
+        left = side("l").join(pays, [*keys, "l_id"], "left").withColumn("pays", F.coalesce("pays", F.lit(float(max_dist))))
+        right = side("r").join(takes, [*keys, "r_id"], "left").withColumn("takes", F.coalesce("takes", F.lit(0.0)))
+        # a hair less: pairs that only rounding sets apart would come back for ever
+        gain = F.col("pays") + F.col("takes") - F.col("dist")
+        more = grid_join(left, right, keys, max_dist).withColumn("_gain", gain).filter("_gain > 1e-9")
+        best = Window.partitionBy(*keys, "l_id").orderBy(F.desc("_gain"), "r_id")
+        more = written(more.select(*keys, *ends, "dist", "_gain").withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= _FEW)
+                       .select(*keys, *ends, "dist").join(pairs.select(*keys, *ends), [*keys, *ends], "left_anti"))
+        if more.isEmpty():
+            return found.filter("chosen").select(*keys, *ends, "dist")
+        grown = written(pairs.unionByName(more))
+        discard(pairs, found, more)
+        pairs = grown
 
 
 def project_points(points: DataFrame, cams: DataFrame, height: int, width: int, keys: list[str] = FRAME) -> DataFrame:
