@@ -316,3 +316,15 @@ def test_similarity_far_from_the_origin(spark):
         got = A.estimate_similarity(pairs, robust=False).first()
         assert got.s == pytest.approx(1.25, abs=1e-8)
         assert got.r == pytest.approx([0, 0, 1, 0, 1, 0, -1, 0, 0], abs=1e-8)
+
+
+def test_whole_rasters_are_lifted_in_tasks_that_follow_the_pixels(spark, monkeypatch):
+    monkeypatch.setattr(L, "_A_TASK", 32)
+    lines = spark.createDataFrame([(0, f, v, [2.0] * 4, [1.0] * 4) for f in range(50) for v in range(4)], schema.DEPTH_ROWS)
+    k, pose = [100.0, 0.0, 0.0, 0.0, 100.0, 0.0, 0.0, 0.0, 1.0], [float(i % 5 == 0) for i in range(16)]
+    frames = spark.createDataFrame([(0, f, float(f), True, k, pose) for f in range(50)], "video_id long, frame_idx long, ts double, is_metric boolean, k array<double>, t_wc array<double>")
+    pts = L.backproject_frame(lines, frames)
+    assert rows(pts.filter("frame_idx = 7"), "v", "u", "x", "y", "z") == [
+        (v, u, pytest.approx(u / 50, abs=1e-7), pytest.approx(v / 50, abs=1e-7), 2.0) for v in range(4) for u in range(4)]
+    assert pts.count() == 800
+    assert pts.rdd.getNumPartitions() == 25  # 800 pixels
