@@ -1,5 +1,7 @@
 """Masks, detections, boxes, tags on hand-computed cases."""
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -112,3 +114,27 @@ def test_ids_continue_the_numbering(spark):
     new = spark.createDataFrame([(0, 2, 5, 10), (0, 1, 6, 4), (0, 1, 7, 9)], "video_id long, frame_idx long, det_seq long, area long")
     old = spark.createDataFrame([(0, 3)], "video_id long, local_obj_id long")
     assert rows(D.assign_new_ids(new, old), "det_seq", "new_id") == [(5, 6), (6, 5), (7, 4)]
+
+
+@pytest.mark.parametrize("tile, block", [(512, 1 << 14), (8, 40), (16, 7)])
+def test_overlaps_equal_those_of_pixel_sets(spark, tile, block):
+    """Ragged masks in several frames, one crowded; tiles and blocks change nothing, and no run meets by line in the plan."""
+    rng = random.Random(3)
+    table = [(0, f, d, v, u, u + rng.randint(-1, 5), 40, 40, rng.choice("xy") if d else None) for f, n in ((0, 12), (1, 3), (2, 1))
+             for d in range(n) for v in rng.sample(range(30), 6) for u in rng.sample(range(0, 30, 7), 2)]
+    runs = {r[:3]: rng.choice(["x", "y", None]) for r in table}
+    table = [(*r[:8], runs[r[:3]]) for r in table]
+    s = spark.createDataFrame(table, "video_id long, frame_idx long, det_seq long, v int, u0 int, u1 int, h int, w int, run_id string")
+    pixels = {k: {(r[3], u) for r in table if r[:3] == k for u in range(r[4], r[5])} for k in runs}
+
+    def want(keep):
+        return sorted((p[1], p[2], q[2], len(pixels[p]), len(pixels[q]), len(pixels[p] & pixels[q])) for p in runs for q in runs
+                      if p[:2] == q[:2] and keep(p, q) and pixels[p] & pixels[q])
+
+    cols = ("frame_idx", "det_seq_a", "det_seq_b", "area_a", "area_b", "inter")
+    assert rows(M.mask_iou_pairs(s, tile=tile, block=block), *cols) == want(lambda p, q: p[2] < q[2])
+    got = M.mask_iou_pairs(s, differ="run_id", tile=tile, block=block)
+    assert rows(got, *cols) == want(lambda p, q: p[2] < q[2] and None not in (runs[p], runs[q]) and runs[p] != runs[q])
+    assert "(v" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    odd, even = s.filter("det_seq % 2 = 1"), s.filter("det_seq % 2 = 0")
+    assert rows(M.mask_iou_cross(odd, even, tile, block), *cols) == want(lambda p, q: p[2] % 2 == 1 and q[2] % 2 == 0)
