@@ -138,3 +138,10 @@ def test_overlaps_equal_those_of_pixel_sets(spark, tile, block):
     assert "(v" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     odd, even = s.filter("det_seq % 2 = 1"), s.filter("det_seq % 2 = 0")
     assert rows(M.mask_iou_cross(odd, even, tile, block), *cols) == want(lambda p, q: p[2] % 2 == 1 and q[2] % 2 == 0)
+
+
+def test_packed_masks_pair_like_their_runs(spark):
+    s = mask(spark, (0, 0, 10, 0, 10), (1, 0, 10, 5, 15), (2, 20, 30, 0, 10)).withColumn("run_id", F.col("det_seq").cast("string"))
+    packed = M.pack_masks(s, True, "run_id")
+    assert M.pack_masks(packed) is packed and packed.count() == 3
+    assert rows(M.mask_iou_pairs(packed, "run_id")) == rows(M.mask_iou_pairs(s, "run_id")) == [(0, 0, 0, "0", 100, 1, "1", 100, 50, 1 / 3)]
