@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions import geometry as g
 from sceneloom.functions.ordered import global_row_number, percentiles, with_previous
+from sceneloom.operators.blocks import best_pairs, cheaper, closest, in_cells, meetings
 from sceneloom.operators.masks import JOIN, codes_jaccard, token_codes
 from sceneloom.operators.matching import least_cost
 from sceneloom.operators.tracks import frame_ordinals
@@ -279,57 +280,76 @@ def mutual_best(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) ->
 
 
 def match_views(obs: DataFrame, max_dist: float = 5.0, obj: str = "object_id", matching: str = "mutual") -> DataFrame:
-    """Objects seen by two cameras in one frame, matched by distance: mutual best, or ``least`` total distance."""
+    """Objects seen by two cameras in one frame, matched by distance: mutual best, or ``least`` total distance.
+
+    Objects without an id, a view or a place take no part. Of the pairs within the distance only the best of each object in
+    two blocks that meet leave their task (``best_pairs``): rows follow the objects and the blocks they meet, not the pairs.
+    """
+    both = _two_views(obs, max_dist, obj)
+    links, tasks = meetings(both, _VIEWS)
     if matching == "least":
-        return _least_views(obs, max_dist, obj)
-    side = lambda s: obs.select(*FRAME, F.col("view").alias(f"{s}_view"), F.col(obj).alias(f"{s}_id"),
-                                *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
-    met = grid_join(side("l"), side("r"), FRAME, max_dist).filter(F.col("l_view") < F.col("r_view"))
-    keys = [*FRAME, "l_view", "r_view"]
-    return mutual_best(met, keys, "l_id", "r_id", "dist").select(*keys, "l_id", "r_id", "dist")
+        return _least_views(both, links, tasks, max_dist)
+    found = best_pairs(both, links, tasks, _VIEWS, closest(max_dist))
+    own, other = (F.when(F.col("by_left"), F.col(f"{a}_id")).otherwise(F.col(f"{b}_id")) for a, b in ("lr", "rl"))
+    best = found.select(*_VIEWS, "by_left", own.alias("_own"), F.struct("dist", other.alias("other")).alias("_b"))
+    best = best.groupBy(*_VIEWS, "by_left", "_own").agg(F.min("_b").alias("_b"))
+    left = F.col("by_left")
+    ends = (F.when(left, F.col("_own")).otherwise(F.col("_b.other")).alias("l_id"), F.when(left, F.col("_b.other")).otherwise(F.col("_own")).alias("r_id"))
+    # a pair that both sides named
+    named = best.select(*_VIEWS, *ends, F.col("_b.dist").alias("dist")).groupBy(*_VIEWS, "l_id", "r_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("dist").alias("dist"))
+    return named.filter("_n = 2").select(*_VIEWS, "l_id", "r_id", "dist")
+
+
+_VIEWS = [*FRAME, "l_view", "r_view"]
+
+
+def _two_views(obs: DataFrame, max_dist: float, obj: str) -> DataFrame:
+    """The objects of every two views of a frame, with the side they are on and their cell."""
+    ensure_checkpoint_dir(obs.sparkSession)
+    pts = obs.select(*FRAME, "view", F.col(obj).alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).filter(
+        " and ".join([f"{k} is not null" for k in [*FRAME, "view", "id"]] + [f"abs({c}) < double('infinity')" for c in "xyz"])).checkpoint()
+    views = pts.select(*FRAME, "view").distinct()
+    two = views.withColumnRenamed("view", "l_view").join(views.withColumnRenamed("view", "r_view"), FRAME).filter("l_view < r_view")
+    both = pts.join(two, FRAME).filter("view = l_view or view = r_view").withColumn("left", F.col("view") == F.col("l_view"))
+    return in_cells(both.drop("view"), max_dist).checkpoint()
 
 
 #: Near objects an object starts with, and pairs it gets in a round of ``_least_views``.
 _FEW = 12
 
 
-def _least_views(obs: DataFrame, max_dist: float, obj: str) -> DataFrame:
+def _least_views(both: DataFrame, links: DataFrame, tasks: int, max_dist: float) -> DataFrame:
     """The least total distance over all pairs of two views, out of few pairs for each object.
 
     Objects start with their nearest ones. What a matching of these charges its objects shows
     which other pairs could make it cheaper; each object gets the best of them, until there are
     none (by more than rounding): the matching is then the cheapest of all pairs. The test runs through
-    all pairs within the distance, but keeps and shuffles none that does not come in.
+    all pairs within the distance, block by block, but keeps and shuffles none that does not come in.
     """
-    ensure_checkpoint_dir(obs.sparkSession)
-    keys, ends = [*FRAME, "l_view", "r_view"], ["l_id", "r_id"]
-    far = F.lit(float("inf"))
-    pts = obs.select(*FRAME, "view", F.col(obj).alias("id"), "x", "y", "z").filter(
-        F.col("id").isNotNull() & (F.abs("x") < far) & (F.abs("y") < far) & (F.abs("z") < far)).checkpoint()
-    views = pts.select(*FRAME, "view").distinct()
-    two = views.withColumnRenamed("view", "l_view").join(views.withColumnRenamed("view", "r_view"), FRAME).filter("l_view < r_view")
-    both = pts.join(two, FRAME).filter("view = l_view or view = r_view").withColumn("object_id", F.struct("view", "id")).checkpoint()
-    near = nearest(both.drop("view", "id"), _FEW, keys).filter("src.view <> dst.view and dist < %r" % float(max_dist))
-    own = F.col("src.view") == F.col("l_view")
-    pairs = written(near.select(*keys, F.when(own, F.col("src.id")).otherwise(F.col("dst.id")).alias("l_id"),
-                                F.when(own, F.col("dst.id")).otherwise(F.col("src.id")).alias("r_id"), "dist").dropDuplicates([*keys, *ends]))
-    side = lambda s: both.filter(f"view = {s}_view").select(*keys, F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}{c}") for c in "xyz"])
+    ends = ["l_id", "r_id"]
+
+    def few(points: DataFrame) -> DataFrame:
+        """The pairs that fall furthest below what their objects are charged, some for each left object."""
+        met = best_pairs(points, links, tasks, _VIEWS, cheaper(max_dist, _FEW), "price")
+        best = Window.partitionBy(*_VIEWS, "l_id").orderBy(F.desc("_gain"), "r_id")
+        met = met.withColumn("_gain", F.col("price") - F.col("dist")).withColumn("_rn", F.row_number().over(best))
+        return met.filter(F.col("_rn") <= _FEW).select(*_VIEWS, *ends, "dist")
+
+    free = F.when(F.col("left"), F.lit(float(max_dist))).otherwise(0.0)
+    pairs = written(few(both.withColumn("price", free)))
     while True:
-        found = written(least_cost(pairs, keys, *ends, "dist", max_dist, priced=True))
-        pays = found.groupBy(*keys, "l_id").agg(F.first("pays").alias("pays"))
-        takes = found.groupBy(*keys, "r_id").agg(F.first("takes").alias("takes"))
-        left = side("l").join(pays, [*keys, "l_id"], "left").withColumn("pays", F.coalesce("pays", F.lit(float(max_dist))))
-        right = side("r").join(takes, [*keys, "r_id"], "left").withColumn("takes", F.coalesce("takes", F.lit(0.0)))
-        # a hair less: pairs that only rounding sets apart would come back for ever
-        gain = F.col("pays") + F.col("takes") - F.col("dist")
-        more = grid_join(left, right, keys, max_dist).withColumn("_gain", gain).filter("_gain > 1e-9")
-        best = Window.partitionBy(*keys, "l_id").orderBy(F.desc("_gain"), "r_id")
-        more = written(more.select(*keys, *ends, "dist", "_gain").withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= _FEW)
-                       .select(*keys, *ends, "dist").join(pairs.select(*keys, *ends), [*keys, *ends], "left_anti"))
+        found = written(least_cost(pairs, _VIEWS, *ends, "dist", max_dist, priced=True))
+        charged = found.select(*_VIEWS, F.explode(F.array(
+            F.struct(F.lit(True).alias("left"), F.col("l_id").alias("id"), F.col("pays").alias("price")),
+            F.struct(F.lit(False).alias("left"), F.col("r_id").alias("id"), F.col("takes").alias("price")))).alias("_c")).select(*_VIEWS, "_c.*")
+        charged = charged.groupBy(*_VIEWS, "left", "id").agg(F.first("price").alias("price"))
+        priced = written(both.join(charged, [*_VIEWS, "left", "id"], "left").withColumn("price", F.coalesce("price", free)))
+        more = written(few(priced).join(pairs.select(*_VIEWS, *ends), [*_VIEWS, *ends], "left_anti"))
         if more.isEmpty():
-            return found.filter("chosen").select(*keys, *ends, "dist")
+            return found.filter("chosen").select(*_VIEWS, *ends, "dist")
         grown = written(pairs.unionByName(more))
-        discard(pairs, found, more)
+        discard(pairs, found, more, priced)
         pairs = grown
 
 
