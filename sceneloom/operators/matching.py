@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom.functions.batches import column
 from sceneloom.operators.components import components
 from sceneloom.session import written
 
@@ -77,73 +78,88 @@ def priced_matching(pairs: list[tuple[int, int, float]], limit: float) -> tuple[
     return sorted(place for _, place in chosen.values() if place >= 0), profit, takes
 
 
-def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float, priced: bool = False) -> DataFrame:
+#: Pairs of a key that one task takes as a whole; more are cut into connected components first.
+_WHOLE = 1 << 17
+
+
+def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float, priced: bool = False, whole: int = _WHOLE) -> DataFrame:
     """The pairs of a one-to-one matching of least cost, where a match must be worth less than ``limit``.
 
     The sum of (cost - limit) over the chosen pairs is the least possible: leaving two objects
-    apart costs as much as a match at the limit. Pairs that share no object do not touch
-    each other, so each key falls into connected components that are solved by themselves;
-    most have a pair or two, so they pass in a stream sorted by component. Pairs at the limit
-    or above, with a null cost or a null id, take no part; of repeated pairs the cheapest counts.
+    apart costs as much as a match at the limit. Keys pass in a stream sorted by key. Pairs that share no object
+    do not touch each other, so a key of more than ``whole`` pairs falls into connected components that are
+    solved by themselves. Pairs at the limit or above, with a null cost or a null id, take no part; of repeated pairs the cheapest counts.
     ``priced`` gives all pairs that take part, with ``chosen`` and the ``pays`` and ``takes`` of priced_matching,
     and takes each key as a whole, for few pairs of crowded keys, which hang together anyway.
     """
     node = lambda side, c: F.xxhash64(F.lit(side), F.col(c))
-    good = pairs.filter(F.col(cost) < limit).groupBy(*keys, a, b).agg(F.min(cost).alias("_cost")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    good = pairs.filter((F.col(cost) < limit) & F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b, F.col(cost).alias("_cost"))
+    if not priced:
+        good = written(good)  # counted, and then matched
     good = good.withColumn("_group", F.xxhash64(*keys)).withColumn("_a", node("a", a)).withColumn("_b", node("b", b))
-    good = written(good)  # read by the components and by the matching
-    if priced:
-        held = good.withColumn("_label", F.lit(0).cast("bigint"))
-    else:
-        labels = components(good.select(F.col("_group").alias("group"), F.col("_a").alias("a"), F.col("_b").alias("b")))
-        labels = labels.select(F.col("group").alias("_group"), F.col("node").alias("_a"), F.col("label").alias("_label"))
-        held = good.join(labels, ["_group", "_a"])
+    held = good.withColumn("_label", F.lit(0).cast("bigint"))
+    if not priced:
+        crowded = written(good.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole).select("_group"))
+        if not crowded.isEmpty():
+            many = good.join(crowded, "_group", "left_semi")
+            labels = components(many.select(F.col("_group").alias("group"), F.col("_a").alias("a"), F.col("_b").alias("b")))
+            labels = labels.select(F.col("group").alias("_group"), F.col("node").alias("_a"), F.col("label").alias("_label"))
+            held = good.join(crowded, "_group", "left_anti").withColumn("_label", F.lit(0).cast("bigint")).unionByName(many.join(labels, ["_group", "_a"]))
     if priced:
         held = held.select("*", F.lit(True).alias("chosen"), F.col("_cost").alias("pays"), F.lit(0.0).alias("takes"))
     fields = held.schema
-    names = fields.names
     # dealt by a value of its own: a join by other columns may have dealt the rows already
     held = held.withColumn("_deal", F.xxhash64("_group", "_label")).repartition("_deal").drop("_deal")
 
-    def solve(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("_a", "_b", "_cost"))))
-        if len(rows) == 1:
-            return table
-        places, pays, takes = priced_matching(rows, limit)
-        if not priced:
-            return table.take(places)
-        chosen = np.zeros(len(rows), dtype=bool)
-        chosen[places] = True
-        new = {"chosen": chosen, "pays": [pays[x] for x, _, _ in rows], "takes": [takes.get(y, 0.0) for _, y, _ in rows]}
-        for name, column in new.items():
-            table = table.set_column(names.index(name), table.schema.field(name), pa.array(column))
-        return table
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = None  # the component that may go on in the next batch
+        open_: list[pa.RecordBatch] = []  # the key that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([*open_, pa.Table.from_batches([batch])])
-            component = np.stack([table.column(c).to_numpy() for c in ("_group", "_label")])
-            starts = np.flatnonzero((component[:, 1:] != component[:, :-1]).any(axis=0)) + 1
-            if not len(starts):
-                open_ = [table]
-                continue
-            starts = np.concatenate([[0], starts])
-            yield from _solved(table, starts, solve)
-            open_ = [table.slice(int(starts[-1]))]
-        if open_ is not None:
-            yield from solve(open_[0]).select(names).to_batches()
-
-    out = held.sortWithinPartitions("_group", "_label", "_a", "_b").mapInArrow(run, fields)
+            table = pa.Table.from_batches([*open_, batch])
+            starts = _starts(table, ["_group", "_label"])
+            if len(starts) > 1:
+                yield from _matched(table.slice(0, int(starts[-1])), limit, priced)
+                table = table.slice(int(starts[-1]))
+            open_ = table.to_batches()
+        if open_:
+            yield from _matched(pa.Table.from_batches(open_), limit, priced)
+
+    out = held.sortWithinPartitions("_group", "_label", "_a", "_b", "_cost").mapInArrow(run, fields)
     return out.select(*keys, a, b, F.col("_cost").alias(cost), *(["chosen", "pays", "takes"] if priced else []))
 
 
-def _solved(table: pa.Table, starts: np.ndarray, solve) -> Iterator[pa.RecordBatch]:
-    """The components but the last of a sorted table; those of one pair need no matching."""
-    size = np.diff(starts)
-    yield from table.take(pa.array(starts[:-1][size == 1])).to_batches()
-    many = [solve(table.slice(int(s), int(n))) for s, n in zip(starts[:-1], size) if n > 1]
-    if many:
-        yield from pa.concat_tables(many).combine_chunks().to_batches()
+def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Where rows of other values begin in a sorted table."""
+    values = np.stack([column(table, c).to_numpy() for c in names])
+    return np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1])
+
+
+def _matched(table: pa.Table, limit: float, priced: bool) -> Iterator[pa.RecordBatch]:
+    """The matching of whole keys; a pair that meets no other needs none."""
+    table = table.take(pa.array(_starts(table, ["_group", "_label", "_a", "_b"])))
+    begin = _starts(table, ["_group", "_label"])
+    a, b, cost = (column(table, c).to_numpy() for c in ("_a", "_b", "_cost"))
+    n = len(a)
+    key = np.repeat(np.arange(len(begin)), np.diff([*begin, n]))
+    alone = np.ones(n, dtype=bool)
+    for side in (a, b):
+        order = np.lexsort((side, key))
+        same = (side[order][1:] == side[order][:-1]) & (key[order][1:] == key[order][:-1])
+        alone[order[1:][same]] = alone[order[:-1][same]] = False
+    chosen, pays, takes = alone.copy(), cost.copy(), np.zeros(n)
+    rest = np.flatnonzero(~alone)
+    a, b, cost = a[rest].tolist(), b[rest].tolist(), cost[rest].tolist()
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[rest])) + 1, [len(rest)]]).tolist() if len(rest) else []
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        places, pay, take = priced_matching(list(zip(a[s:e], b[s:e], cost[s:e])), limit)
+        at = rest[s:e]
+        chosen[at[places]] = True
+        if priced:
+            pays[at], takes[at] = [pay[x] for x in a[s:e]], [take.get(y, 0.0) for y in b[s:e]]
+    if priced:
+        for name, values in (("chosen", chosen), ("pays", pays), ("takes", takes)):
+            table = table.set_column(table.schema.get_field_index(name), table.schema.field(name), pa.array(values))
+        yield from table.to_batches()
+    else:
+        yield from table.take(pa.array(np.flatnonzero(chosen))).combine_chunks().to_batches()

@@ -255,9 +255,12 @@ def associate_frames(obs: DataFrame, frames: DataFrame, threshold: float = 2.0,
         sq = t if sq is None else sq + t
     for m in _SHAPE:
         sq = sq + (F.col("l_s")[m] - F.col("r_s")[m]) ** 2
-    cost = (F.lit(geometric) * (F.col("dist") + F.lit(0.1) * F.sqrt(sq))
-            + F.lit(semantic) * (F.lit(1.0) - codes_jaccard(F.col("l_tau"), F.col("r_tau"))))
-    met = met.withColumn("cost", cost).filter(F.col("cost") < threshold).select(
+    place = F.lit(geometric) * (F.col("dist") + F.lit(0.1) * F.sqrt(sq))
+    # tokens are compared once, and only where the place leaves room: a row generated is not worked out again by filters
+    met = met.filter(place < threshold) if semantic >= 0 else met
+    shared = F.array(F.size(F.array_intersect("l_tau", "r_tau")))
+    cost = F.transform(shared, lambda n: place + F.lit(semantic) * (F.lit(1.0) - codes_jaccard(F.col("l_tau"), F.col("r_tau"), n)))
+    met = met.withColumn("cost", F.explode(cost)).filter(F.col("cost") < threshold).select(
         "video_id", "ord", "l_frame", "r_frame", "l_id", "r_id", "cost")
     if matching == "least":
         met = least_cost(met, ["video_id", "ord", "l_frame", "r_frame"], "r_id", "l_id", "cost", threshold)
