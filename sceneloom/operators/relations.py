@@ -340,7 +340,7 @@ def _least_views(both: DataFrame, links: DataFrame, tasks: int, max_dist: float)
         return met.filter(F.col("_rn") <= _FEW).select(*_VIEWS, *ends, "dist")
 
     free = F.when(F.col("left"), F.lit(float(max_dist))).otherwise(0.0)
-    pairs = written(few(both.withColumn("price", free)))
+    pairs, state = written(few(both.withColumn("price", free))), ["chosen", "pays", "takes"]
     while True:
         found = written(least_cost(pairs, _VIEWS, *ends, "dist", max_dist, priced=True))
         charged = found.select(*_VIEWS, F.explode(F.array(
@@ -348,12 +348,13 @@ def _least_views(both: DataFrame, links: DataFrame, tasks: int, max_dist: float)
             F.struct(F.lit(False).alias("left"), F.col("r_id").alias("id"), F.col("takes").alias("price")))).alias("_c")).select(*_VIEWS, "_c.*")
         charged = charged.groupBy(*_VIEWS, "left", "id").agg(F.first("price").alias("price"))
         priced = written(both.join(charged, [*_VIEWS, "left", "id"], "left").withColumn("price", F.coalesce("price", free)))
-        more = written(few(priced).join(pairs.select(*_VIEWS, *ends), [*_VIEWS, *ends], "left_anti"))
+        more = written(few(priced).join(found.select(*_VIEWS, *ends), [*_VIEWS, *ends], "left_anti"))
+        discard(pairs, priced)
         if more.isEmpty():
             return found.filter("chosen").select(*_VIEWS, *ends, "dist")
-        grown = written(pairs.unionByName(more))
-        discard(pairs, found, more, priced)
-        pairs = grown
+        # the matching goes on from what the last one found
+        pairs = written(found.select(*_VIEWS, *ends, "dist", *state).unionByName(more, allowMissingColumns=True))
+        discard(found, more)
 
 
 def project_points(points: DataFrame, cams: DataFrame, height: int, width: int, keys: list[str] = FRAME) -> DataFrame:
