@@ -171,6 +171,8 @@ def repaired_matching(pairs: list[tuple[int, int, float]], limit: float, chosen:
 
 #: Pairs of a key that one task takes as a whole; more are cut into connected components first.
 _WHOLE = 1 << 17
+#: Pairs for each new one from which a matching is carried on: a chain that has to end in one place is sought further than one that may end anywhere.
+_MANY = 20
 
 
 def least_cost(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float, priced: bool = False, whole: int = _WHOLE) -> DataFrame:
@@ -248,7 +250,7 @@ def _matched(table: pa.Table, limit: float, priced: bool) -> Iterator[pa.RecordB
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[rest])) + 1, [len(rest)]]).tolist() if len(rest) else []
     for s, e in zip(cuts[:-1], cuts[1:]):
         here = list(zip(a[s:e], b[s:e], cost[s:e]))
-        if priced and old[s:e].any():
+        if priced and _MANY * (e - s - np.count_nonzero(old[s:e])) < e - s:
             known = np.flatnonzero(old[s:e])
             first = [int(i) for i in known if had[s + i]]
             places, pay, take = repaired_matching(here, limit, first, {here[i][0]: float(old_pays[s + i]) for i in known},
